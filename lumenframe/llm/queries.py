@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import bpe, decontamination, exact_dedup, licenses, line_dedup, quality, secrets
+from lumenframe.llm import bpe, decontamination, exact_dedup, licenses, line_dedup, quality, secrets, suffix_arrays
 from lumenframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_arrays.digests(suffix_arrays.suffix_dedup(table(spark, sf_dir, "documents")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Query]:
         "op2_line_dedup": op2_line_dedup,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_quality_classifier": op4_quality_classifier,
+        "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_secret_scan": op9_secret_scan,
