@@ -24,14 +24,18 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def rid_of(id_col: str, text_col: str) -> Column:
+    """A key of doc_id and text (null: empty)."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (null: empty) and rid, a key of the two.
 
     Rows that repeat both doc_id and text share a rid; every operator gives them the same row.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    doc_id = F.col(id_col).cast("long")
-    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(doc_id, F.lit(-1)), text).alias("rid"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), rid_of(id_col, text_col).alias("rid"))
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, decontamination, exact_dedup, licenses, line_dedup, quality, secrets, suffix_arrays
+from lumenframe.llm import bpe, decontamination, exact_dedup, html_extraction, licenses, line_dedup, ngram_join, quality, secrets, suffix_arrays
 from lumenframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +16,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
@@ -27,6 +32,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies", "n_shingles")
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_arrays.digests(suffix_arrays.suffix_dedup(table(spark, sf_dir, "documents")))
 
@@ -48,16 +57,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.flat(licenses.license_scan(table(spark, sf_dir, "documents")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # the module stands at the top of the repository, not in the package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_line_dedup": op2_line_dedup,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_secret_scan": op9_secret_scan,
         "op10_license_scan": op10_license_scan,
+        "pipeline": pipeline,
     }
 
 
