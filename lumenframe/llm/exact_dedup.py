@@ -118,9 +118,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated = repeated_fingerprints(printed.select("fp"), bits)
     groups = (
         printed.join(repeated, "fp")
-        .groupBy("fp", "norm")
+        .groupBy("norm")  # not by fp too: the join's partitions would do then, and a hot text would not be counted before its shuffle
         .agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("size"))
-        .select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep", "size")
+        .select(F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha"), "keep", "size")
     )
     slim = printed.select("doc_id", "fp", F.unhex(F.sha2("norm", 256)).alias("sha"))
     grouped = slim.join(groups, ["fp", "sha"], "left")
