@@ -9,8 +9,8 @@ is the same or mostly the same) do not count, so a copied article does not look
 Extraction aligns a page again, drops template nodes and elements that say what they are (navigation, footers,
 adverts, forms, comments and so on), finds the article's element and joins its blocks.
 
-Exemplars and sums are one small row a host. They are broadcast while their measured size is below BROADCAST_BYTES;
-beyond that, pages and wrappers are joined by host with a plain join, whose hot hosts Spark can split.
+Exemplars and sums are one small row a host. They are broadcast while their measured size is below BROADCAST_BYTES, so
+that no page is shuffled; beyond that, pages and wrappers are joined by host with a plain join, whose hot hosts Spark can split.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from lumenframe.llm.common import staged
 
 SLOTS = 3
 BROADCAST_BYTES = 32 << 20
+#: The same for the list of exemplars' keys, of about 50 bytes a row.
+BROADCAST_ROWS = 400_000
 #: A node is template if at least MATCHED other pages have it and SAME of them have the exemplar's text there.
 MATCHED, SAME = 5, 0.8
 
@@ -390,8 +392,8 @@ def prepared(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
 def exemplars(rows: DataFrame) -> DataFrame:
     """(host, wrapper): up to SLOTS exemplars of each host as JSON."""
     printed = rows.select("host", "html", F.xxhash64("page_id", "html").alias("h")).withColumn("slot", F.pmod(F.xxhash64("h"), F.lit(SLOTS)))
-    least = printed.groupBy("host", "slot").agg(F.min("h").alias("h"))
-    chosen = printed.join(least, ["host", "slot", "h"])
+    least = staged(printed.groupBy("host", "slot").agg(F.min("h").alias("h")), "least")
+    chosen = printed.join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, ["host", "slot", "h"])
     schema = pa.schema([("host", pa.string()), ("slot", pa.int64()), ("exemplar", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
