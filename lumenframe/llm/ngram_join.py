@@ -344,7 +344,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     whole = sets.select("sid", "documents").join(total, "sid", "left").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "documents", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "sid").alias("root"))
     every = described_.select("doc_id", "rid", "size", sid.alias("sid"))
     member = every.where("size > 0").join(whole, "sid")
-    firsts = member.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("head"), F.min("doc_id").alias("class_id"))
+    # Written first, so that the join below has two shuffled sides and Spark can split a large class.
+    firsts = staged(member.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("head"), F.min("doc_id").alias("class_id")), "firsts")
     classed = member.join(firsts, "root").select(
         "doc_id",
         "rid",
