@@ -307,7 +307,8 @@ def merge_prints(table: pa.Table) -> pa.Table:
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(rid, spans): the maximal runs of bytes to remove, by start. rows has rid and text."""
     listed = staged(list_segments(rows, length, gram), "segments")
-    keys = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("least"), F.max("seg").alias("most")).where("n > 1")
+    # Written first, so that the join below has two shuffled sides and Spark can split a hot key.
+    keys = staged(listed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("least"), F.max("seg").alias("most")).where("n > 1"), "keys")
     shared = staged(listed.join(keys, "key").select("rid", "key", "seg", "start", "wins", (F.col("least") != F.col("most")).alias("mixed")), "shared")
     covers = shared.where("not mixed").select("rid", "start", "wins")
 
