@@ -313,11 +313,11 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     covers = shared.where("not mixed").select("rid", "start", "wins")
 
     mixed = shared.where("mixed")
-    different = mixed.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "start", "wins")).alias("rep")).select("key", "seg", "c", "rep.*")
+    different = staged(mixed.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "start", "wins")).alias("rep")).select("key", "seg", "c", "rep.*"), "different")
     several = different.where("c > 1").select("key", "seg")
     covers = covers.unionByName(mixed.join(several, ["key", "seg"]).select("rid", "start", "wins"))
 
-    sizes = different.groupBy("key").agg(F.count(F.lit(1)).alias("d"), F.sum(F.col("wins") + length).alias("bytes"))
+    sizes = staged(different.groupBy("key").agg(F.count(F.lit(1)).alias("d"), F.sum(F.col("wins") + length).alias("bytes")), "sizes")
     total = sizes.agg(F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("d") > KEY_SEGMENTS, F.col("bytes"))).alias("spread")).first()
     if total["bytes"]:
         shards, buckets = max(1, -(-total["bytes"] // SHARD)), max(1, -(-(total["spread"] or 0) // MERGE_ROWS))
