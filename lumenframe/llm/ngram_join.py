@@ -280,15 +280,16 @@ def members_of(rows: DataFrame) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b), root being the least node of its component.
 
-    Alternates large-star and small-star steps; each is an aggregate and a join on plain keys.
+    Alternates large-star and small-star steps; each is an aggregate and a join. The aggregates group by a struct, so
+    that their partitions do not serve for the join: both its sides are shuffled and Spark can split a hub.
     """
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = both.groupBy(F.struct("a").alias("k")).agg(F.min("b").alias("m")).select(F.col("k.a").alias("a"), F.least("k.a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        below = large.groupBy("a").agg(F.min("b").alias("m"))
+        below = large.groupBy(F.struct("a").alias("k")).agg(F.min("b").alias("m")).select(F.col("k.a").alias("a"), "m")
         small = large.join(below, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct()
         now = staged(small, "edges")
         new = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
