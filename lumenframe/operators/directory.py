@@ -61,8 +61,8 @@ def directory_records(decoded: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in zip(*batch.columns, strict=True):
-                yield pa.RecordBatch.from_pylist(records_in(a.as_py(), b.as_py()), schema=schema)
+            for file_id, own in zip(batch.column(0).to_pylist(), binary.element_rows(batch.column(1)), strict=True):
+                yield pa.RecordBatch.from_pylist(records_in(file_id, own), schema=schema)
 
     return decoded.where("status = 'ok'").select("file_id", "elements").mapInArrow(run, RECORD)
 

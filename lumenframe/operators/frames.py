@@ -306,10 +306,15 @@ def frames_of(decoded: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file_id, syntax, elements in zip(*batch.columns, strict=True):
-                rows = frames_in(file_id.as_py(), syntax.as_py(), elements.as_py())
-                for k in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_pylist(rows[k : k + 64], schema=schema)
+            rows: list[dict] = []
+            for file_id, syntax, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary.element_rows(batch.column(2)), strict=True):
+                rows += frames_in(file_id, syntax, own)
+                # Frames are large: batches hold a few megabytes of them.
+                while rows and (len(rows) >= 256 or sum(len(r.get("value") or b"") for r in rows) > 8 << 20):
+                    yield pa.RecordBatch.from_pylist(rows[:64], schema=schema)
+                    rows = rows[64:]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return decoded.where("status = 'ok'").select("file_id", "transfer_syntax_uid", "elements").mapInArrow(run, FRAME)
 
@@ -471,15 +476,15 @@ def float_frames(decoded: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file_id, elements in zip(*batch.columns, strict=True):
-                ds = DataSet(binary.tree([e for e in elements.as_py() if not e["is_meta"]]))
+            for file_id, elements in zip(batch.column(0).to_pylist(), binary.element_rows(batch.column(1)), strict=True):
+                ds = DataSet(binary.tree([e for e in elements if not e["is_meta"]]))
                 rows, columns, frames = ds.us("Rows"), ds.us("Columns"), frame_count(ds)
                 values = ds.array("FloatPixelData", "<f4")
                 values = ds.array("DoubleFloatPixelData", "<f8") if values is None else values
                 if None in (rows, columns, frames) or values is None or len(values) != rows * columns * frames:
                     continue
                 cut = values.astype(float).reshape(frames, -1)
-                yield pa.RecordBatch.from_pylist([{"file_id": file_id.as_py(), "frame_index": k, "rows": rows, "columns": columns, "values": v.tolist()} for k, v in enumerate(cut)], schema=to_arrow_schema(out))
+                yield pa.RecordBatch.from_pylist([{"file_id": file_id, "frame_index": k, "rows": rows, "columns": columns, "values": v.tolist()} for k, v in enumerate(cut)], schema=to_arrow_schema(out))
 
     return decoded.where("status = 'ok'").select("file_id", "elements").mapInArrow(run, out)
 

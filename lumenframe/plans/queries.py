@@ -17,7 +17,7 @@ from lumenframe.functions import pixels, values
 from lumenframe.model import TAG
 from lumenframe.operators import deidentify, directory, frames, hierarchy, lookup, presentation, validate
 from lumenframe.plans.sql import SQL
-from lumenframe.plans.tables import bytes_text, customers, decoded_customers, image_files, images, table, text, words_bytes
+from lumenframe.plans.tables import bytes_text, customers, decoded_customers, image_files, images, spread, table, text, words_bytes
 from lumenframe.sources import dicom_json, part10
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,7 +64,7 @@ def hierarchy_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as instances: orders are series, the position's z is the quantity."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("int").alias("q"))
     uid = F.concat_ws(".", F.lit("1.2"), "l_orderkey", "l_linenumber")
-    files = li.select(uid.alias("file_id"), part10.data_set({"SOPInstanceUID": text(uid), "StudyInstanceUID": text(F.lit("1.2")), "SeriesInstanceUID": text("l_orderkey"), "InstanceNumber": text("l_linenumber"), "ImagePositionPatient": text(F.concat(F.lit("0\\0\\"), F.col("q")))}).alias("elements"))
+    files = spread(li, "l_orderkey").select(uid.alias("file_id"), part10.data_set({"SOPInstanceUID": text(uid), "StudyInstanceUID": text(F.lit("1.2")), "SeriesInstanceUID": text("l_orderkey"), "InstanceNumber": text("l_linenumber"), "ImagePositionPatient": text(F.concat(F.lit("0\\0\\"), F.col("q")))}).alias("elements"))
     own = hierarchy.instances(part10.elements_of(part10.decode_files(part10.encode_arrays(files))))
     return hierarchy.ordered(own, ["study_uid", "series_uid"]).select(F.col("series_uid").cast("long").alias("l_orderkey"), F.col("place").cast("long").alias("place"), F.col("instance_number").alias("l_linenumber"))
 
@@ -85,7 +85,7 @@ def deid_basic_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def module_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers lack most image attributes; every third has an empty modality, every fifth no name."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"), "c_custkey")
     third, fifth = F.pmod("c_custkey", F.lit(3)) == 0, F.pmod("c_custkey", F.lit(5)) == 0
     files = c.select(
         F.col("c_custkey").cast("string").alias("file_id"),
@@ -305,7 +305,7 @@ def file_meta_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cine_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"), "p_partkey")
     third = F.pmod("p_size", F.lit(3))
     files = p.select(F.col("p_partkey").cast("string").alias("file_id"), part10.data_set({"FrameTime": F.when(third == 0, text(F.col("p_size") * 10)), "CineRate": F.when(third == 1, text("p_size")), "RecommendedDisplayFrameRate": F.when(F.pmod("p_size", F.lit(4)) == 1, text(F.col("p_size") + 1)), "PatientID": text("p_partkey")}).alias("elements"))
     own = part10.decode_files(part10.encode_arrays(files)).select("file_id", lookup.cine("elements").alias("c"))
@@ -315,7 +315,7 @@ def cine_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def frame_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two frames a file: the shared group sets the rescale, the second frame overrides the intercept, the data set has the window."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"), "p_partkey")
     shared, own = TAG["SharedFunctionalGroupsSequence"], TAG["PerFrameFunctionalGroupsSequence"]
     transform = TAG["PixelValueTransformationSequence"]
     e = part10.element

@@ -13,6 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Slim rows dealt out to all cores before files are made of them: what follows costs far more than their bytes say,
+    which is what Spark sizes partitions by."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, key)
+
+
 def words_bytes(numbers: Column) -> Column:
     """An array of 16-bit numbers as little-endian bytes."""
     swapped = F.transform(numbers, lambda x: F.concat(F.substring(F.lpad(F.hex(F.pmod(x, F.lit(65536)).cast("long")), 4, "0"), 3, 2), F.substring(F.lpad(F.hex(F.pmod(x, F.lit(65536)).cast("long")), 4, "0"), 1, 2)))
@@ -25,7 +33,7 @@ def text(column: Column | str) -> Column:
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, elements): one data set a customer."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"), "c_custkey")
     return c.select(
         F.col("c_custkey").cast("string").alias("file_id"),
         part10.data_set(
@@ -51,7 +59,7 @@ def decoded_customers(spark: SparkSession, sf_dir: str, syntax: str, **options)
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, vec_id, label, samples): embeddings as 16-bit samples."""
-    e = table(spark, sf_dir, "embeddings")
+    e = spread(table(spark, sf_dir, "embeddings"), "vec_id")
     samples = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(4095), F.round((x.cast("double") + 1) * 1000))).cast("int"))
     return e.select(F.col("vec_id").cast("string").alias("file_id"), "vec_id", "label", samples.alias("samples"))
 

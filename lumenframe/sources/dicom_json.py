@@ -155,7 +155,7 @@ def write_json(decoded: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([one(a.as_py(), b.as_py()) for a, b in zip(*batch.columns, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_pylist([one(a, b) for a, b in zip(batch.column(0).to_pylist(), binary.element_rows(batch.column(1)), strict=True)], schema=schema)
 
     return decoded.where("status = 'ok'").select("file_id", "elements").mapInArrow(run, JSON)
 

@@ -166,8 +166,8 @@ def encode_arrays(files: DataFrame, transfer_syntax: str = EXPLICIT_LE, *, datas
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[dict, int]]:
             for batch in batches:
-                for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                    row = one(a.as_py(), b.as_py() or [])
+                for a, own in zip(batch.column(0).to_pylist(), binary.element_rows(batch.column(1)), strict=True):
+                    row = one(a, own)
                     yield row, len(row["content"] or b"")
 
         return _batches(rows(), schema)
