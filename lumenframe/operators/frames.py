@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenframe import binary
-from lumenframe.codecs import jpeg_lossless, jpeg_ls, rle
+from lumenframe.codecs import jpeg_baseline, jpeg_lossless, jpeg_ls, rle
 from lumenframe.codecs.rle import FrameError
 from lumenframe.dataset import INTEGER, DataSet
 from lumenframe.model import TRANSFER_SYNTAXES
@@ -203,6 +203,7 @@ def fragments_by_frame(fragments: list[bytes], offsets: list[int], bot: bytes, e
 class Decoded:
     value: bytes
     bits_stored: int | None = None
+    photometric: str | None = None
 
 
 def decoded_frame(kind: str, fragments: list[bytes], rows: int, columns: int, samples: int, allocated: int, stored: int | None, photometric: str) -> Decoded:
@@ -215,6 +216,10 @@ def decoded_frame(kind: str, fragments: list[bytes], rows: int, columns: int, sa
         image = jpeg_lossless.decode(b"".join(fragments))
         if kind == "jpeg_lossless_sv1" and image.predictor != 1:
             raise FrameError("unsupportedPixelFormat")
+    elif kind == "jpeg_baseline":
+        image = jpeg_baseline.decode(b"".join(fragments))
+        if image.components == 1 and photometric not in ("MONOCHROME1", "MONOCHROME2"):
+            raise FrameError("unsupportedPixelFormat")
     elif kind in ("jpeg_ls", "jpeg_ls_near"):
         image = jpeg_ls.decode(b"".join(fragments))
         if kind == "jpeg_ls" and image.predictor:
@@ -225,7 +230,8 @@ def decoded_frame(kind: str, fragments: list[bytes], rows: int, columns: int, sa
         raise FrameError("invalidImageAttributes")
     if stored is not None and stored != image.precision or (8 if image.precision <= 8 else 16) != allocated:
         raise FrameError("unsupportedPixelFormat")
-    return Decoded(image.native(), image.precision)
+    # The baseline decoder turns the stream's own colour space to RGB.
+    return Decoded(image.native(), image.precision, "RGB" if kind == "jpeg_baseline" and image.components == 3 else None)
 
 
 def frames_in(file_id: str, syntax: str, elements: list[dict]) -> list[dict]:
@@ -289,6 +295,7 @@ def resolved(ds: DataSet, syntax: str) -> list[dict]:
             shared
             | {
                 "frame_index": k,
+                "photometric": frame.photometric or photometric,
                 "bits_stored": frame.bits_stored or or_default(ds.us("BitsStored"), allocated),
                 "rescale_slope": pick("rescale_slope", ds.number("RescaleSlope"), 1.0),
                 "rescale_intercept": pick("rescale_intercept", ds.number("RescaleIntercept"), 0.0),
