@@ -209,8 +209,12 @@ def runs(marked: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def list_segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(rid, key, seg, start, wins) of all segments of all texts."""
-    schema = pa.schema([("rid", pa.int64()), ("key", pa.int64()), ("seg", pa.int64()), ("start", pa.int64()), ("wins", pa.int64())])
+    """(rid, key, seg, start, wins, c, again) of all segments of all texts.
+
+    Equal segments of a block are counted there: the first has their number in c, the others have zero, and again says
+    that there is more than one. What is counted further on is then one row a block, however common a segment is.
+    """
+    schema = pa.schema([("rid", pa.int64()), ("key", pa.int64()), ("seg", pa.int64()), ("start", pa.int64()), ("wins", pa.int64()), ("c", pa.int64()), ("again", pa.bool_())])
 
     def block(rids: list[int], pieces: list[bytes], offsets: list[int]) -> pa.RecordBatch:
         raw = b"".join(pieces)
@@ -219,7 +223,13 @@ def list_segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
         doc, at, wins, key = segments_of(np.frombuffer(raw, np.uint8), starts, lengths, length, gram)
         seg = np.fromiter((xxhash.xxh3_64_intdigest(raw[a : a + w + length - 1]) for a, w in zip(at.tolist(), wins.tolist(), strict=True)), U, len(at))
         place = at - starts[doc] + np.array(offsets, np.int64)[doc]
-        return pa.RecordBatch.from_arrays([pa.array(np.array(rids, np.int64)[doc]), pa.array(key.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(place), pa.array(wins)], schema=schema)
+        order = np.lexsort((seg, key))
+        new = np.ones(len(at), bool)
+        new[1:] = (key[order][1:] != key[order][:-1]) | (seg[order][1:] != seg[order][:-1])
+        size = np.diff(np.append(np.flatnonzero(new), len(at)))
+        count, again = np.zeros(len(at), np.int64), np.empty(len(at), bool)
+        count[order[new]], again[order] = size, np.repeat(size > 1, size)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(rids, np.int64)[doc]), pa.array(key.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(place), pa.array(wins), pa.array(count), pa.array(again)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rids, pieces, offsets, size = [], [], [], 0
@@ -244,7 +254,7 @@ def list_segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
         if pieces:
             yield block(rids, pieces, offsets)
 
-    return rows.select("rid", F.col("text").cast("binary").alias("raw")).where(F.length("raw") >= length).mapInArrow(run, "rid long, key long, seg long, start long, wins long")
+    return rows.select("rid", F.col("text").cast("binary").alias("raw")).where(F.length("raw") >= length).mapInArrow(run, "rid long, key long, seg long, start long, wins long, c long, again boolean")
 
 
 COVERS = pa.schema([("rid", pa.int64()), ("start", pa.int64()), ("wins", pa.int64()), ("bucket", pa.int64()), ("prints", pa.binary())])
@@ -307,15 +317,17 @@ def merge_prints(table: pa.Table) -> pa.Table:
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(rid, spans): the maximal runs of bytes to remove, by start. rows has rid and text."""
     listed = staged(list_segments(rows, length, gram), "segments")
-    # Written first, so that the join below has two shuffled sides and Spark can split a hot key.
-    keys = staged(listed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("least"), F.max("seg").alias("most")).where("n > 1"), "keys")
-    shared = staged(listed.join(keys, "key").select("rid", "key", "seg", "start", "wins", (F.col("least") != F.col("most")).alias("mixed")), "shared")
-    covers = shared.where("not mixed").select("rid", "start", "wins")
+    covers = listed.where("again").select("rid", "start", "wins")
+    counted = listed.where("c > 0")
+    # Written first, so that the joins below have two shuffled sides and Spark can split a hot key.
+    keys = staged(counted.groupBy("key").agg(F.sum("c").alias("n"), F.min("seg").alias("least"), F.max("seg").alias("most")).where("n > 1"), "keys")
+    shared = staged(counted.join(keys, "key").select("rid", "key", "seg", "start", "wins", "c", (F.col("least") != F.col("most")).alias("mixed")), "shared")
+    covers = covers.unionByName(shared.where("not mixed and c = 1").select("rid", "start", "wins"))
 
     mixed = shared.where("mixed")
-    different = staged(mixed.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "start", "wins")).alias("rep")).select("key", "seg", "c", "rep.*"), "different")
+    different = staged(mixed.groupBy("key", "seg").agg(F.sum("c").alias("c"), F.min(F.struct("rid", "start", "wins")).alias("rep")).select("key", "seg", "c", "rep.*"), "different")
     several = different.where("c > 1").select("key", "seg")
-    covers = covers.unionByName(mixed.join(several, ["key", "seg"]).select("rid", "start", "wins"))
+    covers = covers.unionByName(mixed.where("c = 1").join(several, ["key", "seg"]).select("rid", "start", "wins"))
 
     sizes = staged(different.groupBy("key").agg(F.count(F.lit(1)).alias("d"), F.sum(F.col("wins") + length).alias("bytes")), "sizes")
     total = sizes.agg(F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("d") > KEY_SEGMENTS, F.col("bytes"))).alias("spread")).first()
