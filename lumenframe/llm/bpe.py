@@ -188,7 +188,8 @@ class BytePairEncoder:
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         # The same pattern for texts of Latin characters without number signs above ASCII, in the faster standard library.
         latin = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{LATIN_SPACE}{LATIN_LETTER}0-9]").replace(r"\p{L}", f"[{LATIN_LETTER}]").replace(r"\p{N}", "[0-9]").replace(r"\s", f"[{LATIN_SPACE}]").replace(r"\S", f"[^{LATIN_SPACE}]")
-        self.latin = None if r"\p" in latin else re.compile(latin)
+        # Patterns with other classes of these kinds have no such form here.
+        self.latin = None if r"\p" in latin or re.search(r"\[[^\]]*\\[psS]", pattern.replace(r"[^\s\p{L}\p{N}]", "")) else re.compile(latin)
         self.beyond = re.compile(r"[^\x00-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
         self.known: dict[str, bytes] = {}
 
