@@ -459,6 +459,126 @@ def page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.page(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), ["lang", "n_chars", "doc_id"], 25, 50)
 
 
+@query
+def accepted_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first accepted context of each association and service: line items as contexts, odd ones accepted."""
+    li = table(spark, sf_dir, "lineitem")
+    own = li.select(F.col("l_orderkey").alias("assoc_id"), (F.col("l_linenumber") * 2 + 1).alias("id"), (F.col("l_partkey") % 3).cast("string").alias("abstract_syntax"), F.when(F.col("l_suppkey") % 2 == 1, "acceptance").otherwise("no_reason").alias("result"), F.concat(F.lit("ts"), F.col("l_linenumber")).alias("transfer_syntax"))
+    return protocol.accepted_context(own).select(F.col("assoc_id").alias("l_orderkey"), "abstract_syntax", F.col("id").cast("long").alias("id"), "transfer_syntax")
+
+
+@query
+def window_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two centres, but every fourth part has one width only."""
+    p = table(spark, sf_dir, "part")
+    centers = F.array((F.col("p_size") * 10).cast("double"), F.col("p_size").cast("double"))
+    widths = F.when(F.pmod("p_size", F.lit(4)) == 0, F.array(F.lit(1.0))).otherwise(F.array(F.lit(400.0), F.lit(80.0)))
+    own = lookup.presets(centers, widths, F.array(F.col("p_brand")))
+    return p.select("p_partkey", F.size(own).cast("long").alias("n"), F.get(own, F.lit(0))["center"].cast("long").alias("center"), F.get(own, F.lit(0))["explanation"].alias("first"), F.get(own, F.lit(1))["explanation"].alias("second"))
+
+
+@query
+def frame_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector of durations where it reaches, else the frame time."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.array(F.lit(0.0), F.lit(33.0), F.lit(40.0)).alias("vector"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", pixels.frame_duration(F.col("vector"), F.lit(50.0), F.col("l_linenumber") - 1).cast("long").alias("duration"))
+
+
+@query
+def private_creators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Private elements with the creator of their block; blocks without one have none."""
+    c = table(spark, sf_dir, "customer")
+    block = 0x10 + F.pmod("c_custkey", F.lit(3))
+    own = lambda tag, value: F.struct(F.array().cast(model.PATH).alias("path"), tag.cast("long").alias("tag"), value.alias("value"))
+    rows = F.array(own(F.lit(0x00290011), text("c_name")), own(F.lit(0x00290000) + block * 256 + 1, text("c_custkey")))
+    elements = c.select(F.col("c_custkey").cast("string").alias("file_id"), F.explode(rows).alias("e")).select("file_id", "e.*")
+    return lookup.with_private_creator(elements).where("tag % 65536 >= 4096").select(F.col("file_id").cast("long").alias("c_custkey"), "creator")
+
+
+@query
+def derived_file_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, "1.2").alias("sop_class"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey").cast("string")).otherwise("").alias("sop_instance"))
+    return lookup.derive_file_meta(o, "1.9").select("o_orderkey", "problem", "media_class", "media_instance", "implementation")
+
+
+@query
+def transfer_syntaxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by the encoding that their transfer syntax stands for; unknown ones are kept."""
+    e = table(spark, sf_dir, "events")
+    uid = F.element_at(F.array(F.lit(model.IMPLICIT_LE), F.lit(model.EXPLICIT_BE), F.lit(model.RLE), F.lit("1.2.3")), (F.pmod("event_id", F.lit(4)) + 1).cast("int"))
+    own = e.select(uid.alias("uid")).join(F.broadcast(model.transfer_syntax_dim(spark)), "uid", "left")
+    return own.groupBy("uid", F.coalesce("name", F.lit("unknown")).alias("name"), "big_endian", "encapsulated").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def command_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as store requests, encoded as command sets and decoded."""
+
+    @F.udf("binary")
+    def encoded(key: int, customer: int) -> bytes:
+        return protocol.encode_command({"command": "c_store_rq", "sop_class": f"1.2.{customer}", "message_id": key % 65536, "sop_instance": f"1.2.{customer}.{key}"})
+
+    @F.udf("struct<command:string,message_id:int,sop_class:string,sop_instance:string,has_data_set:boolean>")
+    def decoded(raw: bytes) -> dict:
+        return protocol.decode_command(bytes(raw))
+
+    o = spread(table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", encoded("o_orderkey", "o_custkey").alias("raw"))
+    return o.select("o_orderkey", decoded("raw").alias("c")).select("o_orderkey", "c.*")
+
+
+@query
+def nested_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sequences of line items, two levels deep, with undefined lengths; the inner values come back by path."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part"))
+    outer, inner = TAG["ReferencedSeriesSequence"], TAG["ReferencedImageSequence"]
+    empty = F.lit(b"").alias("value")
+    row = lambda path, depth, k, tag, vr, value, items: F.struct(F.lit(False).alias("is_meta"), path.cast(model.PATH).alias("path"), F.lit(depth).alias("depth"), k.cast("int").alias("ordinal"), F.lit(tag).cast("long").alias("tag"), F.lit(vr).alias("vr"), value.cast("binary").alias("value"), items.cast("int").alias("item_count"), F.lit(None).cast("array<binary>").alias("fragments"), F.lit(None).cast("binary").alias("bot"))
+    step = lambda tag, item: F.struct(F.lit(tag).cast("long").alias("tag"), item.cast("int").alias("item"))
+    none = F.lit(None)
+    lists = spread(li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "part"))).alias("own")), "l_orderkey")
+    heads = F.array(row(F.array(), 0, F.lit(0), outer, "SQ", empty, F.size("own")))
+    seqs = F.transform("own", lambda x, i: row(F.array(step(outer, i)), 1, i + 1, inner, "SQ", empty, F.lit(1)))
+    leaves = F.transform("own", lambda x, i: row(F.array(step(outer, i), step(inner, F.lit(0))), 2, i + 1000, TAG["ReferencedSOPInstanceUID"], "UI", F.encode(F.concat(F.lit("1."), x["part"]), "UTF-8"), none))
+    files = lists.select(F.col("l_orderkey").cast("string").alias("file_id"), F.concat(heads, seqs, leaves).alias("elements"))
+    read = part10.elements_of(part10.decode_files(part10.encode_arrays(files, model.IMPLICIT_LE, undefined_lengths=True)))
+    return read.where(F.col("tag") == TAG["ReferencedSOPInstanceUID"]).select(F.col("file_id").cast("long").alias("l_orderkey"), F.get("path", F.lit(0))["item"].cast("long").alias("item"), "depth", values.text("value").alias("uid"))
+
+
+@query
+def float_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two float frames a part from IEEE bytes; a third of the files lack half of their data."""
+
+    @F.udf("binary")
+    def raw(a: float, b: float, whole: bool) -> bytes:
+        import struct
+
+        return struct.pack("<2d", a, b) if whole else struct.pack("<d", a)
+
+    p = spread(table(spark, sf_dir, "part"), "p_partkey")
+    files = p.select(F.col("p_partkey").cast("string").alias("file_id"), part10.data_set({"Rows": values.us_bytes(F.lit(1)), "Columns": values.us_bytes(F.lit(1)), "NumberOfFrames": text(F.lit("2")), "DoubleFloatPixelData": raw(F.col("p_size").cast("double"), "p_retailprice", F.col("p_size") % 3 != 0)}).alias("elements"))
+    own = frames.float_frames(part10.decode_files(part10.encode_arrays(files)))
+    return own.select(F.col("file_id").cast("long").alias("p_partkey"), "frame_index", F.round(F.get("values", F.lit(0)) * 100).cast("long").alias("cents"))
+
+
+@query
+def json_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' texts as bulk data that JSON refers to; every tenth reference is missing."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.coalesce("text", F.lit("")).alias("text"))
+    uri = F.concat(F.lit("bulk/"), "file_id")
+    texts = d.select("file_id", F.concat(F.lit('{"00091002":{"vr":"OB","BulkDataURI":"'), uri, F.lit('"},"00100020":{"vr":"LO","Value":["'), "file_id", F.lit('"]}}')).alias("json"))
+    content = d.where("cast(file_id as long) % 10 <> 0").select("file_id", uri.alias("uri"), F.encode("text", "UTF-8").alias("content"))
+    own = dicom_json.read_json(texts, bulk=content)
+    return own.select(F.col("file_id").cast("long").alias("doc_id"), "status", F.sha2(lookup.attribute("elements", 0x00091002)["value"], 256).alias("content"))
+
+
+@query
+def dangling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as records that link to the record of another key; links beyond the last have no target."""
+    s = table(spark, sf_dir, "supplier")
+    own = s.select(F.lit("d").alias("file_id"), F.col("s_suppkey").alias("offset"), (F.col("s_suppkey") * 2).alias("next_offset"), F.when(F.col("s_suppkey") % 2 == 0, F.lit(0)).otherwise(F.col("s_suppkey") + 1).cast("long").alias("child_offset"))
+    return directory.dangling(own).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -133,4 +133,30 @@ SELECT uid, image_storage, sum(n)::BIGINT AS n FROM (SELECT c_nationkey, count(*
 JOIN (VALUES (0, '1.2.840.10008.5.1.4.1.1.2', true), (1, '1.2.840.10008.5.1.4.1.1.4', true), (2, '1.2.840.10008.5.1.4.1.1.11.1', false), (3, '1.2.840.10008.1.1', false), (4, '1.2.840.10008.5.1.4.1.1.6.1', true)) u(k, uid, image_storage) ON u.k = c.c_nationkey % 5
 GROUP BY uid, image_storage""",
     "page": "SELECT doc_id, lang, n_chars FROM documents ORDER BY lang, n_chars, doc_id LIMIT 25 OFFSET 50",
+    "accepted_contexts": """
+SELECT l_orderkey, (l_partkey % 3)::VARCHAR AS abstract_syntax, min(l_linenumber * 2 + 1)::BIGINT AS id, 'ts' || min(l_linenumber) AS transfer_syntax
+FROM lineitem WHERE l_suppkey % 2 = 1 GROUP BY 1, 2""",
+    "window_presets": """
+SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 0 ELSE 2 END::BIGINT AS n, CASE WHEN p_size % 4 <> 0 THEN p_size * 10 END::BIGINT AS center,
+       CASE WHEN p_size % 4 <> 0 THEN p_brand END AS first, NULL::VARCHAR AS second FROM part""",
+    "frame_durations": "SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber WHEN 1 THEN 0 WHEN 2 THEN 33 WHEN 3 THEN 40 ELSE 50 END::BIGINT AS duration FROM lineitem",
+    "private_creators": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN c_name END AS creator FROM customer",
+    "derived_file_meta": """
+SELECT o_orderkey, p AS problem, CASE WHEN p IS NULL THEN '1.2' END AS media_class, CASE WHEN p IS NULL THEN o_custkey::VARCHAR END AS media_instance, CASE WHEN p IS NULL THEN '1.9' END AS implementation
+FROM (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 'missingSOPClassUID' WHEN o_orderkey % 3 = 0 THEN 'missingSOPInstanceUID' END AS p FROM orders)""",
+    "transfer_syntaxes": """
+SELECT uid, name, big_endian, encapsulated, count(*) AS n FROM events
+JOIN (VALUES (0, '1.2.840.10008.1.2', 'implicit_le', false, false), (1, '1.2.840.10008.1.2.2', 'explicit_be', true, false), (2, '1.2.840.10008.1.2.5', 'rle', false, true), (3, '1.2.3', 'unknown', NULL, NULL)) t(k, uid, name, big_endian, encapsulated) ON k = event_id % 4
+GROUP BY ALL""",
+    "command_roundtrip": "SELECT o_orderkey, 'c_store_rq' AS command, (o_orderkey % 65536)::INTEGER AS message_id, '1.2.' || o_custkey AS sop_class, '1.2.' || o_custkey || '.' || o_orderkey AS sop_instance, true AS has_data_set FROM orders",
+    "nested_sequences": """
+WITH l AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS part FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS item, 2::INTEGER AS depth, '1.' || part AS uid FROM l""",
+    "float_pixels": """
+SELECT p_partkey, f::INTEGER AS frame_index, CAST(round(CASE WHEN f = 0 THEN p_size ELSE p_retailprice END * 100) AS BIGINT) AS cents FROM part, range(2) t(f) WHERE p_size % 3 <> 0""",
+    "json_bulk": """
+SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN doc_id % 10 <> 0 THEN sha256(coalesce(text, '')) END AS content FROM documents""",
+    "dangling_links": """
+WITH l AS (SELECT s_suppkey * 2 AS target FROM supplier UNION ALL SELECT s_suppkey + 1 FROM supplier WHERE s_suppkey % 2 = 1)
+SELECT target, count(*) AS n FROM l WHERE target NOT IN (SELECT s_suppkey FROM supplier) AND target <> 0 GROUP BY target""",
 }
