@@ -33,6 +33,8 @@ RECALL = 1 - 1e-6
 PER_RUN = 0.7
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - PER_RUN))
 BUCKET, TILE, DEPTH = 256, 512, 5
+#: Shingles that the sets of one block should have together, which bounds a tile's memory for very long texts.
+TILE_SHINGLES = 1 << 20
 #: Least number of equal sketch bytes of a pair worth comparing.
 SKETCH_MATCHES = 32
 
@@ -151,12 +153,12 @@ def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], list[dic
 
 
 def leaves_of(sets: DataFrame) -> DataFrame:
-    """(leaf, sid, m): leaves of at least two sets, with the number of their sets, over all runs."""
-    nodes = sets.select("sid", F.posexplode(F.slice("mins", 1, RUNS)).alias("run", "token")).select("sid", F.xxhash64("run", "token").alias("leaf"))
+    """(leaf, sid, m, total): leaves of at least two sets, with the number of their sets and shingles, over all runs."""
+    nodes = sets.select("sid", "size", F.posexplode(F.slice("mins", 1, RUNS)).alias("run", "token")).select("sid", "size", F.xxhash64("run", "token").alias("leaf"))
     done = []
     for depth in range(1, DEPTH + 1):
-        sizes = nodes.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        sized = staged(nodes.join(sizes, "leaf").select("leaf", "sid", "m"), f"nodes{depth}")
+        sizes = nodes.groupBy("leaf").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("total")).where("m > 1")
+        sized = staged(nodes.join(sizes, "leaf").select("leaf", "sid", "m", "total"), f"nodes{depth}")
         last = depth == DEPTH
         done.append(sized if last else sized.where(F.col("m") <= BUCKET))
         large = sized.where(F.col("m") > BUCKET)
@@ -164,7 +166,7 @@ def leaves_of(sets: DataFrame) -> DataFrame:
             break
         branches = F.explode(F.when(F.pmod(F.xxhash64("leaf", F.lit("branch")), F.lit(4)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
         chosen = large.select("leaf", "sid", branches.alias("branch")).withColumn("at", F.pmod(F.xxhash64("leaf", "branch"), F.lit(COORDINATES)).cast("int"))
-        nodes = chosen.join(sets.select("sid", "mins"), "sid").select("sid", F.xxhash64("leaf", "branch", F.get("mins", F.col("at"))).alias("leaf")).distinct()
+        nodes = chosen.join(sets.select("sid", "size", "mins"), "sid").select("sid", "size", F.xxhash64("leaf", "branch", F.get("mins", F.col("at"))).alias("leaf")).distinct()
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -172,9 +174,9 @@ def leaves_of(sets: DataFrame) -> DataFrame:
 
 
 def tiled(leaves: DataFrame) -> DataFrame:
-    """(leaf, i, j, side, sid): every set of a leaf goes to the tiles of its block's row and column; most leaves are one tile."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / TILE)).cast("int")
-    own = leaves.withColumn("blocks", F.when(F.col("m") <= BUCKET, 1).otherwise(blocks)).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    """(leaf, i, j, block, sid): every set of a leaf goes to the tiles of its block's row and column; most leaves are one tile."""
+    by_number = F.when(F.col("m") <= BUCKET, 1).otherwise(F.ceil(F.col("m") / TILE))
+    own = leaves.withColumn("blocks", F.greatest(F.lit(1), by_number, F.ceil(F.col("total") / TILE_SHINGLES)).cast("int")).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     tiles = own.select("leaf", "sid", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     return tiles.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid")
 

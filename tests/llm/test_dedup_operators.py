@@ -115,8 +115,9 @@ def linked(rows):
     return sorted((rows[i][0], min(groups[root[i]]), len(links[i])) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize(("bucket", "tile"), [(256, 512), (8, 7)])
-def test_chosen_path_join_loses_no_link(spark, monkeypatch, bucket, tile):
+@pytest.mark.parametrize(("bucket", "tile", "shingles_"), [(256, 512, 1 << 20), (8, 7, 1 << 20), (256, 512, 1000)])
+def test_chosen_path_join_loses_no_link(spark, monkeypatch, bucket, tile, shingles_):
+    monkeypatch.setattr(ngram_join, "TILE_SHINGLES", shingles_)
     monkeypatch.setattr(ngram_join, "BUCKET", bucket)
     monkeypatch.setattr(ngram_join, "TILE", tile)
     rnd = random.Random(5)
