@@ -109,7 +109,7 @@ def directory_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions, nations and suppliers as linked records: siblings and children by offset."""
     nodes = directory_nodes(spark, sf_dir)
     tree = directory.directory_tree(nodes)
-    return tree.select("offset", F.col("level").cast("long").alias("level"), "parent_offset")
+    return tree.select("offset", F.col("level").cast("long").alias("level"), F.col("parent_offset").cast("string").alias("parent_offset"))
 
 
 def directory_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +136,7 @@ def fragments_to_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("long").alias("size"))
     own = lookup.fragment_offsets(li, ["l_orderkey"], ["l_linenumber"])
     numbered = own.where(F.pmod("l_linenumber", F.lit(2)) == 1).select("l_orderkey", "offset", F.floor(F.col("l_linenumber") / 2).alias("frame"))
-    return lookup.fragments_to_frames(own, numbered, ["l_orderkey"]).select("l_orderkey", "l_linenumber", F.col("frame").cast("long").alias("frame"))
+    return lookup.fragments_to_frames(own, numbered, ["l_orderkey"]).select("l_orderkey", "l_linenumber", F.col("frame").cast("string").alias("frame"))
 
 
 @query
@@ -240,7 +240,7 @@ def decimal_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.encode(F.concat(F.lit(" "), cents, F.lit(" \\"), F.when(F.pmod("o_orderkey", F.lit(7)) == 0, "x").otherwise(F.lit("1.5e1")), F.lit("\\-"), F.col("o_custkey"), F.lit("  ")), "UTF-8")
     own = o.select("o_orderkey", raw.alias("raw"))
     parts = values.decimals("raw")
-    return own.select("o_orderkey", F.size(parts).cast("long").alias("n"), F.get(parts, F.lit(0)).cast("long").alias("first"), F.get(parts, F.lit(2)).cast("long").alias("last"), values.strict_int(F.get(values.texts("raw"), F.lit(0))).alias("strict"), values.strict_int(F.get(values.texts("raw"), F.lit(2))).alias("strict_last"))
+    return own.select("o_orderkey", F.size(parts).cast("string").alias("n"), F.get(parts, F.lit(0)).cast("long").cast("string").alias("first"), F.get(parts, F.lit(2)).cast("long").cast("string").alias("last"), values.strict_int(F.get(values.texts("raw"), F.lit(0))).cast("string").alias("strict"), values.strict_int(F.get(values.texts("raw"), F.lit(2))).alias("strict_last"))
 
 
 @query
@@ -309,7 +309,7 @@ def cine_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.pmod("p_size", F.lit(3))
     files = p.select(F.col("p_partkey").cast("string").alias("file_id"), part10.data_set({"FrameTime": F.when(third == 0, text(F.col("p_size") * 10)), "CineRate": F.when(third == 1, text("p_size")), "RecommendedDisplayFrameRate": F.when(F.pmod("p_size", F.lit(4)) == 1, text(F.col("p_size") + 1)), "PatientID": text("p_partkey")}).alias("elements"))
     own = part10.decode_files(part10.encode_arrays(files)).select("file_id", lookup.cine("elements").alias("c"))
-    return own.select(F.col("file_id").cast("long").alias("p_partkey"), F.round(F.col("c.frame_rate") * 1000).cast("long").alias("millirate"))
+    return own.select(F.col("file_id").cast("long").alias("p_partkey"), F.round(F.col("c.frame_rate") * 1000).cast("long").cast("string").alias("millirate"))
 
 
 @query
@@ -374,7 +374,7 @@ def negotiate_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     transfer = spark.createDataFrame([("ts3", 0), ("ts1", 1), ("ts2", 2)], "uid string, preference int")
     titles = spark.createDataFrame([("BUILDING",), ("MACHINERY",), ("FURNITURE",)], "title string")
     associations, contexts, _ = protocol.negotiated(requests, titles, abstract, transfer)
-    return associations.join(contexts, "assoc_id", "left").select(F.col("assoc_id").alias("c_custkey"), "accepted", "reason", "result", "transfer_syntax")
+    return associations.join(contexts, "assoc_id", "left").select(F.col("assoc_id").alias("c_custkey"), "accepted", F.col("reason").cast("string").alias("reason"), "result", "transfer_syntax")
 
 
 @query
@@ -421,7 +421,7 @@ def geometry_arity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = images(spark, sf_dir)
     cut = lambda n: F.slice("samples", 1, n).cast("array<double>")
     g = lookup.geometry(cut(F.pmod("vec_id", F.lit(4)).cast("int")), F.lit(None).cast("array<int>"), cut(F.pmod("vec_id", F.lit(5)).cast("int")), cut(F.pmod("vec_id", F.lit(8)).cast("int")))
-    return e.select("vec_id", F.size(g["pixel_spacing"]).alias("spacing"), F.size(g["image_position"]).alias("position"), F.size(g["image_orientation"]).alias("orientation"))
+    return e.select("vec_id", F.size(g["pixel_spacing"]).cast("string").alias("spacing"), F.size(g["image_position"]).cast("string").alias("position"), F.size(g["image_orientation"]).cast("string").alias("orientation"))
 
 
 @query
@@ -474,7 +474,7 @@ def window_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     centers = F.array((F.col("p_size") * 10).cast("double"), F.col("p_size").cast("double"))
     widths = F.when(F.pmod("p_size", F.lit(4)) == 0, F.array(F.lit(1.0))).otherwise(F.array(F.lit(400.0), F.lit(80.0)))
     own = lookup.presets(centers, widths, F.array(F.col("p_brand")))
-    return p.select("p_partkey", F.size(own).cast("long").alias("n"), F.get(own, F.lit(0))["center"].cast("long").alias("center"), F.get(own, F.lit(0))["explanation"].alias("first"), F.get(own, F.lit(1))["explanation"].alias("second"))
+    return p.select("p_partkey", F.size(own).cast("long").alias("n"), F.get(own, F.lit(0))["center"].cast("long").cast("string").alias("center"), F.get(own, F.lit(0))["explanation"].alias("first"), F.get(own, F.lit(1))["explanation"].alias("second"))
 
 
 @query
@@ -507,7 +507,7 @@ def transfer_syntaxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     uid = F.element_at(F.array(F.lit(model.IMPLICIT_LE), F.lit(model.EXPLICIT_BE), F.lit(model.RLE), F.lit("1.2.3")), (F.pmod("event_id", F.lit(4)) + 1).cast("int"))
     own = e.select(uid.alias("uid")).join(F.broadcast(model.transfer_syntax_dim(spark)), "uid", "left")
-    return own.groupBy("uid", F.coalesce("name", F.lit("unknown")).alias("name"), "big_endian", "encapsulated").agg(F.count(F.lit(1)).alias("n"))
+    return own.groupBy("uid", F.coalesce("name", F.lit("unknown")).alias("name"), F.col("big_endian").cast("string").alias("big_endian"), F.col("encapsulated").cast("string").alias("encapsulated")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

@@ -32,16 +32,16 @@ UNION ALL SELECT c_custkey, 1, 'missing', NULL, NULL FROM customer WHERE c_custk
 UNION ALL SELECT c_custkey, 2, 'unexpectedVR', 'LO', 'SH' FROM customer
 UNION ALL SELECT c_custkey, 4, 'missing', NULL, NULL FROM customer""",
     "directory_tree": """
-SELECT r_regionkey + 1::BIGINT AS "offset", 0::BIGINT AS level, NULL::BIGINT AS parent_offset FROM region
-UNION ALL SELECT n_nationkey + 101, 1, n_regionkey + 1 FROM nation
-UNION ALL SELECT s_suppkey + 1000, 2, s_nationkey + 101 FROM supplier""",
+SELECT r_regionkey + 1::BIGINT AS "offset", 0::BIGINT AS level, NULL::VARCHAR AS parent_offset FROM region
+UNION ALL SELECT n_nationkey + 101, 1, (n_regionkey + 1)::VARCHAR FROM nation
+UNION ALL SELECT s_suppkey + 1000, 2, (s_nationkey + 101)::VARCHAR FROM supplier""",
     "fragment_offsets": """
 SELECT l_orderkey, l_linenumber, l_partkey, size,
        coalesce(sum(size + size % 2 + 8) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
 FROM (SELECT l_orderkey, l_linenumber, l_partkey, CAST(trunc(l_quantity) AS BIGINT) AS size FROM lineitem)""",
     "fragments_to_frames": """
 WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
-SELECT l_orderkey, l_linenumber, (SELECT max(m.l_linenumber // 2) FROM l m WHERE m.l_orderkey = l.l_orderkey AND m.l_linenumber % 2 = 1 AND m.l_linenumber <= l.l_linenumber)::BIGINT AS frame
+SELECT l_orderkey, l_linenumber, (SELECT max(m.l_linenumber // 2) FROM l m WHERE m.l_orderkey = l.l_orderkey AND m.l_linenumber % 2 = 1 AND m.l_linenumber <= l.l_linenumber)::VARCHAR AS frame
 FROM l""",
     "scoped_voi": """
 SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey * 10 ELSE (SELECT min(n_nationkey) + 5000 FROM nation WHERE n_nationkey % 7 = 3) END::BIGINT AS center FROM customer""",
@@ -81,8 +81,8 @@ SELECT vec_id, array_to_string(u, ',') AS us, array_to_string(list_transform(u,
        array_to_string(v, ',') AS uv, array_to_string(list_transform(v, lambda x: CASE WHEN x >= 9223372036854775808::HUGEINT THEN x - 18446744073709551616::HUGEINT ELSE x END), ',') AS sv,
        array_to_string(list_transform(l, lambda x: (x % 65536) * 65536 + x // 65536), ',') AS at FROM v""",
     "decimal_strings": """
-SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN 3 END::BIGINT AS n, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(round(o_totalprice * 100) AS BIGINT) END AS first,
-       CASE WHEN o_orderkey % 7 <> 0 THEN -o_custkey END AS last, NULL::BIGINT AS strict, -o_custkey AS strict_last FROM orders""",
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN '3' END AS n, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(round(o_totalprice * 100) AS BIGINT) END::VARCHAR AS first,
+       CASE WHEN o_orderkey % 7 <> 0 THEN -o_custkey END::VARCHAR AS last, NULL::VARCHAR AS strict, -o_custkey AS strict_last FROM orders""",
     "date_time_parts": """
 SELECT event_id, year(ts)::INTEGER AS year, month(ts)::INTEGER AS month, day(ts)::INTEGER AS day, hour(ts)::INTEGER AS hour, minute(ts)::INTEGER AS minute, second(ts)::INTEGER AS second,
        250000000::INTEGER AS nanosecond, CASE WHEN event_id % 2 = 0 THEN 34200 ELSE -18000 END::INTEGER AS offset_seconds, hour(ts)::INTEGER AS zoned_hour FROM events""",
@@ -98,7 +98,7 @@ SELECT keyword, vr, n, n AS same FROM (SELECT count(*) AS n FROM customer),
     "file_meta_check": """
 SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 'missingRequiredIdentifier' WHEN 2 THEN 'sopInstanceUIDMismatch' WHEN 3 THEN 'sopClassUIDMismatch' END AS problem FROM orders""",
     "cine_rates": """
-SELECT p_partkey, CAST(round(CASE WHEN p_size % 4 = 1 THEN p_size + 1 WHEN p_size % 3 = 1 THEN p_size WHEN p_size % 3 = 0 AND p_size > 0 THEN 1000 / (p_size * 10.0) END * 1000) AS BIGINT) AS millirate FROM part""",
+SELECT p_partkey, CAST(round(CASE WHEN p_size % 4 = 1 THEN p_size + 1 WHEN p_size % 3 = 1 THEN p_size WHEN p_size % 3 = 0 AND p_size > 0 THEN 1000 / (p_size * 10.0) END * 1000) AS BIGINT)::VARCHAR AS millirate FROM part""",
     "frame_attributes": """
 SELECT p_partkey, f::INTEGER AS frame_index, 2::BIGINT AS slope, CASE WHEN f = 0 THEN p_size ELSE p_partkey END::BIGINT AS intercept, 40::BIGINT AS center, (p_size + f)::INTEGER AS sample FROM part, range(2) t(f)""",
     "presentation_windows": f"""
@@ -110,7 +110,7 @@ WITH q AS (SELECT c_custkey, c_nationkey, c_custkey % 11 = 0 AS other, c_mktsegm
   'ts' || c_custkey % 4 AS a, 'ts' || c_custkey % 3 AS b FROM customer),
 r AS (SELECT *, NOT other AND known AS accepted, CASE WHEN 'ts3' IN (a, b) THEN 'ts3' WHEN 'ts1' IN (a, b) THEN 'ts1' WHEN 'ts2' IN (a, b) THEN 'ts2' END AS best FROM q),
 s AS (SELECT *, CASE WHEN NOT accepted THEN NULL WHEN c_nationkey % 2 = 1 THEN 'abstract_syntax_not_supported' WHEN best IS NULL THEN 'transfer_syntaxes_not_supported' ELSE 'acceptance' END AS result FROM r)
-SELECT c_custkey, accepted, CASE WHEN other THEN 2 WHEN NOT known THEN 7 END::INTEGER AS reason, result,
+SELECT c_custkey, accepted, CASE WHEN other THEN 2 WHEN NOT known THEN 7 END::VARCHAR AS reason, result,
        CASE WHEN result = 'acceptance' THEN best WHEN accepted THEN a END AS transfer_syntax FROM s""",
     "status_category": """
 SELECT event_id, CASE event_id % 13 WHEN 0 THEN 'success' WHEN 1 THEN 'pending' WHEN 2 THEN 'pending' WHEN 3 THEN 'cancel'
@@ -125,7 +125,7 @@ WITH l AS (SELECT o_custkey, max(o_orderkey) AS last FROM orders GROUP BY o_cust
 SELECT o_custkey, coalesce(string_agg(CASE WHEN o_orderkey <> last THEN o_orderkey::VARCHAR END, ',' ORDER BY o_orderkey), '') AS identifiers, 0::INTEGER AS final_status
 FROM orders JOIN l USING (o_custkey) GROUP BY o_custkey""",
     "geometry_arity": """
-SELECT vec_id, CASE WHEN vec_id % 4 = 2 THEN 2 END::INTEGER AS spacing, CASE WHEN vec_id % 5 = 3 THEN 3 END::INTEGER AS position, CASE WHEN vec_id % 8 = 6 THEN 6 END::INTEGER AS orientation FROM embeddings""",
+SELECT vec_id, CASE WHEN vec_id % 4 = 2 THEN 2 END::VARCHAR AS spacing, CASE WHEN vec_id % 5 = 3 THEN 3 END::VARCHAR AS position, CASE WHEN vec_id % 8 = 6 THEN 6 END::VARCHAR AS orientation FROM embeddings""",
     "overlay_planes": """
 SELECT p_partkey, (24576 + (p_size % 4) * 2)::BIGINT AS group_number, p_size AS rows, 7::INTEGER AS columns, CASE WHEN p_size % 3 <> 0 THEN '-1,2' END AS origin FROM part WHERE p_size % 5 <> 0""",
     "sop_classes": """
@@ -137,7 +137,7 @@ GROUP BY uid, image_storage""",
 SELECT l_orderkey, (l_partkey % 3)::VARCHAR AS abstract_syntax, min(l_linenumber * 2 + 1)::BIGINT AS id, 'ts' || min(l_linenumber) AS transfer_syntax
 FROM lineitem WHERE l_suppkey % 2 = 1 GROUP BY 1, 2""",
     "window_presets": """
-SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 0 ELSE 2 END::BIGINT AS n, CASE WHEN p_size % 4 <> 0 THEN p_size * 10 END::BIGINT AS center,
+SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 0 ELSE 2 END::BIGINT AS n, CASE WHEN p_size % 4 <> 0 THEN p_size * 10 END::VARCHAR AS center,
        CASE WHEN p_size % 4 <> 0 THEN p_brand END AS first, NULL::VARCHAR AS second FROM part""",
     "frame_durations": "SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber WHEN 1 THEN 0 WHEN 2 THEN 33 WHEN 3 THEN 40 ELSE 50 END::BIGINT AS duration FROM lineitem",
     "private_creators": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN c_name END AS creator FROM customer",
@@ -145,7 +145,7 @@ SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 0 ELSE 2 END::BIGINT AS n, CASE
 SELECT o_orderkey, p AS problem, CASE WHEN p IS NULL THEN '1.2' END AS media_class, CASE WHEN p IS NULL THEN o_custkey::VARCHAR END AS media_instance, CASE WHEN p IS NULL THEN '1.9' END AS implementation
 FROM (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 'missingSOPClassUID' WHEN o_orderkey % 3 = 0 THEN 'missingSOPInstanceUID' END AS p FROM orders)""",
     "transfer_syntaxes": """
-SELECT uid, name, big_endian, encapsulated, count(*) AS n FROM events
+SELECT uid, name, big_endian::VARCHAR AS big_endian, encapsulated::VARCHAR AS encapsulated, count(*) AS n FROM events
 JOIN (VALUES (0, '1.2.840.10008.1.2', 'implicit_le', false, false), (1, '1.2.840.10008.1.2.2', 'explicit_be', true, false), (2, '1.2.840.10008.1.2.5', 'rle', false, true), (3, '1.2.3', 'unknown', NULL, NULL)) t(k, uid, name, big_endian, encapsulated) ON k = event_id % 4
 GROUP BY ALL""",
     "command_roundtrip": "SELECT o_orderkey, 'c_store_rq' AS command, (o_orderkey % 65536)::INTEGER AS message_id, '1.2.' || o_custkey AS sop_class, '1.2.' || o_custkey || '.' || o_orderkey AS sop_instance, true AS has_data_set FROM orders",
