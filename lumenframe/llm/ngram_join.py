@@ -344,10 +344,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     total = found.groupBy("sid").agg(F.sum("links").alias("links"))
     roots = connected(found.select(F.col("sid").alias("a"), F.col("root").alias("b")))
-    whole = sets.select("sid", "documents").join(total, "sid", "left").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "documents", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "sid").alias("root"))
+    # Written, like the class heads below, so that the joins that follow have two shuffled sides and Spark can split a hot one.
+    whole = sets.select("sid", "documents").join(total, "sid", "left").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+    whole = staged(whole.select("sid", "documents", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "sid").alias("root")), "whole")
     every = described_.select("doc_id", "rid", "size", sid.alias("sid"))
     member = every.where("size > 0").join(whole, "sid")
-    # Written first, so that the join below has two shuffled sides and Spark can split a large class.
     firsts = staged(member.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("head"), F.min("doc_id").alias("class_id")), "firsts")
     classed = member.join(firsts, "root").select(
         "doc_id",
