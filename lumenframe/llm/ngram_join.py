@@ -3,11 +3,13 @@
 Documents of equal sets are one class from the start; the join runs over distinct sets. A set is embedded by
 COORDINATES min-hashes. In each of RUNS runs a set goes down a tree: every node samples coordinates, and the sets
 that share the sampled token go to the same child. Nodes of at most BUCKET sets are leaves and are brute-forced;
-larger ones split again (now and then by two coordinates, so that a similar pair stays together with a steady
-chance) down to DEPTH. Runs repeat until a pair at the threshold is missed with a chance below 1 - RECALL.
+larger ones split again (now and then by two coordinates, so that a similar pair is lost more slowly) down to DEPTH.
+A pair whose shared nodes are small stays together in one run with its similarity. In a crowd it has to survive the
+splits too, so all sets of a large node go on to CROWD_RUNS runs: as many as bring the chance of missing a pair at the
+threshold, split down to DEPTH in each of them, below 1 - RECALL, whatever share of the coordinates it agrees in.
 
-Brute force first compares byte sketches of the min-hashes, which rules out a pair at the threshold with a chance
-below 1e-8, then the sets themselves. A pair that shares several leaves counts in the least of them only. A leaf that
+Brute force first compares byte sketches of SKETCH min-hashes, which rules out a pair at the threshold with a chance
+of 2e-8, then the sets themselves. A pair that shares several leaves counts in the least of them only. A leaf that
 does not split (a large group of near copies) is dealt out in tiles of TILE x TILE sets. Pairs are never written out:
 a tile gives each set's number of links and a star for each connected part, and the stars' components are the classes.
 """
@@ -27,17 +29,36 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import keyed, staged
 
 SHINGLE, SIMILARITY = 5, 0.8
-COORDINATES = 64
+COORDINATES, SKETCH = 128, 64
 RECALL = 1 - 1e-6
-#: Chance that one run keeps a pair at the threshold together (0.8 at depth one, less below).
-PER_RUN = 0.7
-RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - PER_RUN))
+#: Runs of every set; one keeps a pair at the threshold in one node with chance 0.8, and 0.2 ** RUNS is far below 1 - RECALL.
+RUNS = 12
 BUCKET, TILE, DEPTH = 256, 512, 5
+#: One node in BRANCHING splits by two coordinates.
+BRANCHING = 4
 #: Shingles that the sets of one block should have together, which bounds a tile's memory for very long texts.
 TILE_SHINGLES = 1 << 20
 #: Least number of equal sketch bytes of a pair worth comparing.
 SKETCH_MATCHES = 32
 
+
+def survival(agreeing: float, depth: int) -> float:
+    """Chance that one run keeps a pair together down to depth, if it agrees in that share of the coordinates."""
+    kept = 1.0
+    for _ in range(depth - 1):
+        kept = (1 - 1 / BRANCHING) * agreeing * kept + (1 - (1 - agreeing * kept) ** 2) / BRANCHING
+    return agreeing * kept
+
+
+def missed(runs: int, depth: int) -> float:
+    """Chance that no run keeps a pair at the threshold together; the runs share the coordinates, so they are not independent."""
+    n = COORDINATES
+    return sum(math.comb(n, k) * SIMILARITY**k * (1 - SIMILARITY) ** (n - k) * (1 - survival(k / n, depth)) ** runs for k in range(n + 1))
+
+
+#: Runs of a set that was in a node of more than BUCKET sets.
+CROWD_RUNS = next(r for r in range(RUNS, COORDINATES) if missed(r, DEPTH) < 1 - RECALL)
+
 U = np.uint64
 WORD = re.compile(r"[^\W_]+")
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -94,7 +115,7 @@ def described(texts: list[str]) -> list[tuple[bytes, int, list[int], bytes]]:
             mins[some, k] = np.minimum.reduceat((h * FACTORS[k] + OFFSETS[k]) >> U(32), starts).astype(np.uint32)
     for i in range(len(texts)):
         own = np.unique(h[ends[i] - n[i] : ends[i]])
-        out.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), mins[i].view(np.int32).tolist(), (mins[i] & 255).astype(np.uint8).tobytes()))
+        out.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), mins[i].view(np.int32).tolist(), (mins[i, :SKETCH] & 255).astype(np.uint8).tobytes()))
     return out
 
 
@@ -154,17 +175,29 @@ def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], list[dic
 
 def leaves_of(sets: DataFrame) -> DataFrame:
     """(leaf, sid, m, total): leaves of at least two sets, with the number of their sets and shingles, over all runs."""
-    nodes = sets.select("sid", "size", F.posexplode(F.slice("mins", 1, RUNS)).alias("run", "token")).select("sid", "size", F.xxhash64("run", "token").alias("leaf"))
+
+    def roots(own: DataFrame, first: int, end: int) -> DataFrame:
+        tokens = F.posexplode(F.slice("mins", first + 1, end - first)).alias("run", "token")
+        return own.select("sid", "size", tokens).select("sid", "size", F.xxhash64(F.col("run") + first, "token").alias("leaf"))
+
+    def with_sizes(nodes: DataFrame, name: str) -> DataFrame:
+        sizes = nodes.groupBy("leaf").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("total")).where("m > 1")
+        return staged(nodes.join(sizes, "leaf").select("leaf", "sid", "m", "total"), name)
+
+    nodes = roots(sets, 0, RUNS)
     done = []
     for depth in range(1, DEPTH + 1):
-        sizes = nodes.groupBy("leaf").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("total")).where("m > 1")
-        sized = staged(nodes.join(sizes, "leaf").select("leaf", "sid", "m", "total"), f"nodes{depth}")
+        sized = with_sizes(nodes, f"nodes{depth}")
+        if depth == 1 and not (large := sized.where(F.col("m") > BUCKET)).isEmpty():
+            # Both sets of a pair that no small node holds are in a large one, so both go on.
+            crowd = sets.join(large.select("sid").distinct(), "sid", "left_semi")
+            sized = sized.unionByName(with_sizes(roots(crowd, RUNS, CROWD_RUNS), "crowd"))
         last = depth == DEPTH
         done.append(sized if last else sized.where(F.col("m") <= BUCKET))
         large = sized.where(F.col("m") > BUCKET)
         if last or large.isEmpty():
             break
-        branches = F.explode(F.when(F.pmod(F.xxhash64("leaf", F.lit("branch")), F.lit(4)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+        branches = F.explode(F.when(F.pmod(F.xxhash64("leaf", F.lit("branch")), F.lit(BRANCHING)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
         chosen = large.select("leaf", "sid", branches.alias("branch")).withColumn("at", F.pmod(F.xxhash64("leaf", "branch"), F.lit(COORDINATES)).cast("int"))
         nodes = chosen.join(sets.select("sid", "size", "mins"), "sid").select("sid", "size", F.xxhash64("leaf", "branch", F.get("mins", F.col("at"))).alias("leaf")).distinct()
     out = done[0]
@@ -194,7 +227,7 @@ def earlier(paths: list[list[int]], leaf: int) -> np.ndarray:
 
 def plausible(group: dict, leaf: int) -> np.ndarray:
     """The pairs of a tile that this leaf must compare: symmetric, False on the diagonal."""
-    sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(-1, COORDINATES)
+    sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(-1, SKETCH)
     size = np.array(group["size"], np.float64)
     m = len(size)
     block = np.array(group["block"])
@@ -204,7 +237,7 @@ def plausible(group: dict, leaf: int) -> np.ndarray:
         ok &= block[:, None] != block[None, :]
     if ok.any():
         equal = np.zeros((m, m), np.int16)
-        for k in range(COORDINATES):
+        for k in range(SKETCH):
             equal += sketch[:, k][:, None] == sketch[:, k][None, :]
         ok &= equal >= SKETCH_MATCHES
     return ok & ~earlier(group["paths"], leaf) if ok.any() else ok

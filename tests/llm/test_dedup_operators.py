@@ -142,6 +142,33 @@ def test_chosen_path_join_loses_no_link(spark, monkeypatch, bucket, tile, shingl
     assert got == linked(rows)
 
 
+def test_crowd_loses_no_link(spark):
+    """More different sets than BUCKET, nearly all of whose pairs have a similarity of 0.80 to 0.85."""
+    rnd = random.Random(6)
+    base = [f"w{k}" for k in range(300)]
+    docs = []
+    for k in range(600):
+        w = list(base)
+        for i in rnd.sample(range(300), 3):
+            w[i] = f"z{k}x{i}"
+        docs.append(" ".join(w))
+    sets = [shingles(t) for t in docs]
+    place = {s: i for i, s in enumerate(set().union(*sets))}
+    member = np.zeros((len(docs), len(place)), np.float32)
+    for i, own in enumerate(sets):
+        member[i, [place[s] for s in own]] = 1
+    both, size = member @ member.T, member.sum(axis=1)
+    alike = both / (size[:, None] + size[None, :] - both)
+    assert np.mean((alike >= 0.8) & (alike < 0.85)) > 0.8
+    expected = ((alike >= 0.8 - 1e-9).sum(axis=1) - 1).tolist()
+    got = {r.doc_id: r.n_links for r in ngram_join.similar_documents(frame(spark, list(enumerate(docs)))).collect()}
+    assert sum(expected) - sum(got.values()) == 0 and [got[k] for k in range(len(docs))] == expected
+
+
+def test_chance_of_a_missed_link():
+    assert ngram_join.missed(ngram_join.CROWD_RUNS, ngram_join.DEPTH) < 1e-6 and ngram_join.missed(ngram_join.RUNS, 1) < 1e-6
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.similar_documents(frame(spark, [(1, "a")]).limit(0)).count() == 0
     rows = ngram_join.similar_documents(frame(spark, [(None, None), (3, "one two three")])).collect()
