@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Identifiers and texts of public licences' sentences. An asterisk stands for up to eight words.
+#: Identifiers and texts of public licences' sentences. An asterisk stands for any words: inside, up to where the
+#: sentence goes on, and before it begins anew; at the end, up to the end of the line or sentence.
 SENTENCES = {
     "mit-released": "Released under the MIT License.",
     "mit-licensed": "Licensed under the MIT License.",
@@ -89,11 +90,12 @@ RULES = (
     ("Unlicense", ("unlicense",)),
     ("CC0-1.0", ("cc0",)),
 )
-GAP = 8
 
 WORD = re.compile(r"[^\W_]+")
 #: Between two words: the end of a sentence or line.
 BREAK = re.compile(r"\n|[.;:!?]+[\s\"')\]]|[.;:!?]+$")
+#: The end of a line, or of a sentence within it; a point inside a version is none.
+STOP = re.compile(r"\n|[.;:!?]+\s")
 
 
 class SentenceBook:
@@ -122,9 +124,10 @@ class SentenceBook:
         words = [low[a:b] for a, b in spans]
         opens = [i == 0 or bool(BREAK.search(low[spans[i - 1][1] : spans[i][0]])) for i in range(len(words))]
         closes = [*opens[1:], True]
+        stops = lambda j: j + 1 == len(words) or bool(STOP.search(low[spans[j][1] : spans[j + 1][0]]))
         i = 0
         while i < len(words):
-            end = next((e for head in (tuple(words[i : i + 2]), (words[i],)) for e in self._at(words, opens, closes, i, head)), None) if opens[i] else None
+            end = next((e for head in (tuple(words[i : i + 2]), (words[i],)) for e in self._at(words, closes, stops, i, head)), None) if opens[i] else None
             if end:
                 found.append((end[0], spans[i][0], spans[end[1] - 1][1]))
                 i = end[1]
@@ -132,17 +135,18 @@ class SentenceBook:
                 i += 1
         return found
 
-    def _at(self, words, opens, closes, i, head) -> Iterator[tuple[str, int]]:
+    def _at(self, words, closes, stops, i, head) -> Iterator[tuple[str, int]]:
         for name, parts, to_line_end in self.by_head.get(head, ()):
             at, ok = i, True
             for k, part in enumerate(parts):
-                if not part and k:  # trailing asterisk: the rest of the line, GAP words at most
-                    stop = next((j for j in range(at, min(at + GAP, len(words))) if closes[j]), None)
+                if not part and k:  # trailing asterisk: the rest of the line
+                    stop = next((j for j in range(at, len(words)) if stops(j)), None)
                     ok = stop is not None
                     at = stop + 1 if ok else at
                     break
-                starts = [at] if not k else range(at + 1, min(at + GAP, len(words)) + 1)
-                hit = next((s for s in starts if words[s : s + len(part)] == part), None)
+                hit = at if words[at : at + len(part)] == part else None
+                if k:
+                    hit = next((s for s in self._until_again(words, at + 1, head) if words[s] == part[0] and words[s : s + len(part)] == part), None)
                 if hit is None:
                     ok = False
                     break
@@ -150,6 +154,14 @@ class SentenceBook:
             if ok and closes[at - 1]:
                 yield name, at
 
+    @staticmethod
+    def _until_again(words, at, head) -> Iterator[int]:
+        """Places from at on, up to where the head of the sentence stands again."""
+        for s in range(at, len(words)):
+            if words[s] == head[0] and tuple(words[s : s + len(head)]) == head:
+                return
+            yield s
+
     def licences(self, names: list[str]) -> list[str]:
         """Licences that the ordered rules see in a sequence of identifiers, in the order of the rules' last use."""
         free, out = list(enumerate(names)), []
@@ -169,6 +181,16 @@ class SentenceBook:
         return [x for _, x in sorted(out)]
 
 
+def expression(text: str, start: int, end: int) -> str:
+    """What an SPDX line names, with the plus sign and the brackets after its last word that belong to it."""
+    own = text[start:end].split(":", 1)[-1].strip()
+    for c in text[end:]:
+        if c != "+" and (c != ")" or own.count("(") <= own.count(")")):
+            break
+        own += c
+    return own
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules=RULES) -> DataFrame:
     """One row per document: doc_id, sentences (array of id, start, end), licences (distinct, sorted).
 
@@ -186,7 +208,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for value in batch.column(1):
                 text = value.as_py() or ""
                 own = book.sentences(text)
-                spdx = [text[a:b].split(":", 1)[-1].strip() for n, a, b in own if n == "spdx"]
+                spdx = [expression(text, a, b) for n, a, b in own if n == "spdx"]
                 found.append([{"id": n, "start": a, "end": b} for n, a, b in own])
                 names.append(sorted({*book.licences([n for n, _, _ in own]), *spdx}))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(item)), pa.array(names, pa.list_(pa.string()))], schema=schema)

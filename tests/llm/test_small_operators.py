@@ -130,6 +130,19 @@ def test_licence_rules_are_ordered():
     assert [n for n, _, _ in book.sentences(text)] == ["bsd-endorse"]
 
 
+def test_wildcards_have_no_word_cap(spark):
+    lines = ["(GPL-2.0 WITH Linux-syscall-note) OR MIT", "GPL-2.0-or-later WITH Classpath-exception-2.0", "MIT OR (GPL-2.0+ AND (Apache-2.0 WITH LLVM-exception OR BSD-3-Clause))", "GPL-2.0+"]
+    holder = "the very long name of the Regents of the University of Somewhere, Department of Things, Inc."
+    bsd = "\n".join(licenses.SENTENCES[k].replace("*", holder) for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"))
+    texts = [bsd, "Neither the name of a. " * 50 + "\n" + bsd, "x", "y", *[f"# SPDX-License-Identifier: {x}\ncode follows here" for x in lines]]
+    got = {r.doc_id: r.licences for r in license_rows(spark, texts)}
+    assert got[0] == got[1] == ["BSD-3-Clause"] and [got[4 + k] for k in range(len(lines))] == [[x] for x in lines]
+
+
+def license_rows(spark, texts):
+    return licenses.license_scan(table(spark, texts)).collect()
+
+
 def page(k: int, body: str, notice: str = "We use things like this on every page.") -> str:
     return f"<html><head><title>t</title><script>var x='</p>';</script></head><body><nav><a href=/>Home</a></nav><div class=box>{notice}</div><div class=text><h1>Title {k}</h1>{body}</div><footer>&copy; host</footer>"
 
