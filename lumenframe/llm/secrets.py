@@ -36,6 +36,9 @@ KEYWORDS = ("passw", "secret", "token", "api")
 URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPES = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines, as in mails and keys, and the line breaks in it.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t>]*[A-Za-z0-9+/_-]+)+={0,2}")
+WRAP = re.compile(r"[ \t]*\r?\n[ \t>]*")
 #: A compressed layer may not unfold beyond this many bytes; what it unfolds up to there is scanned, the row says so.
 LAYER_BYTES = 64 << 20
 
@@ -74,34 +77,53 @@ class Layer:
 
 
 def readable(raw: bytes) -> str | None:
-    """raw as text if it is printable UTF-8."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\r\n") for c in text[:4096])
-    return text if text and odd * 20 <= min(len(text), 4096) else None
+    """raw as text if it is printable UTF-8, but for one character in twenty."""
+    text = raw.decode("utf-8", "replace")
+    odd = sum(c == "\ufffd" or not (c.isprintable() or c in "\t\r\n") for c in text)
+    return text if text and odd * 20 <= len(text) else None
+
+
+def method_of(raw: bytes) -> str | None:
+    if raw[:2] == b"\x1f\x8b":
+        return "gzip"
+    if raw[:4] == b"\x28\xb5\x2f\xfd":
+        return "zstd"
+    if raw[:3] == b"BZh":
+        return "bz2"
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return "xz"
+    return "zlib" if len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0 else None
+
+
+def member(raw: bytes, method: str, most: int) -> tuple[bytes, bytes]:
+    """What the first member of raw unfolds to, up to most bytes, and what follows it."""
+    if method == "zstd":
+        d, out, size = zstandard.ZstdDecompressor().decompressobj(), [], 0
+        for at in range(0, len(raw), 256):  # in small pieces, each of which unfolds to a few MB at most
+            out.append(d.decompress(raw[at : at + 256]))
+            size += len(out[-1])
+            if d.eof:
+                return b"".join(out)[:most], d.unused_data + raw[at + 256 :]
+            if size >= most:
+                break
+        return b"".join(out)[:most], b""
+    d = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bz2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[method]()
+    return d.decompress(raw, most), d.unused_data if d.eof else b""
 
 
 def unfolded(raw: bytes) -> tuple[str, bytes, bool] | None:
-    """(method, content, cut short) if raw is compressed."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-            return "gzip", (out := d.decompress(raw, LAYER_BYTES)), len(out) >= LAYER_BYTES
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(raw) as r:
-                return "zstd", (out := r.read(LAYER_BYTES)), len(out) >= LAYER_BYTES
-        if raw[:3] == b"BZh":
-            return "bz2", (out := bz2.BZ2Decompressor().decompress(raw, LAYER_BYTES)), len(out) >= LAYER_BYTES
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return "xz", (out := lzma.LZMADecompressor().decompress(raw, LAYER_BYTES)), len(out) >= LAYER_BYTES
-        if len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            d = zlib.decompressobj()
-            return "zlib", (out := d.decompress(raw, LAYER_BYTES)), len(out) >= LAYER_BYTES
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        pass
-    return None
+    """(method, content of all members, cut short) if raw is compressed; a broken later member ends it."""
+    method, out, size, rest = method_of(raw), [], 0, raw
+    while method and rest and method_of(rest) == method:
+        try:
+            part, rest = member(rest, method, LAYER_BYTES - size)
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
+            break
+        out.append(part)
+        size += len(part)
+        if size >= LAYER_BYTES:
+            return method, b"".join(out), True
+    return (method, b"".join(out), False) if out else None
 
 
 def rewritten(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | None:
@@ -153,8 +175,12 @@ def unwrapped(layer: Layer) -> Iterator[tuple[Layer, bool]]:
         yield new, False
     if ("\\" in layer.text or "&#" in layer.text) and (new := rewritten(layer, UNICODE_ESCAPES, unicode_decoded, "unicode")):
         yield new, False
-    for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
+    runs = [(m[0], *m.span()) for m in BASE64.finditer(layer.text)]
+    if "\n" in layer.text:
+        for m in WRAPPED.finditer(layer.text):
+            runs += joined(layer.text, *m.span())
+    for run, start, end in runs:
+        run = run.rstrip("=")
         if len(run) % 4 == 1:
             run = run[:-1]
         try:
@@ -165,8 +191,28 @@ def unwrapped(layer: Layer) -> Iterator[tuple[Layer, bool]]:
         while raw and (more := unfolded(raw)):
             via.append(more[0])
             raw, cut = more[1], cut or more[2]
-        if text := readable(raw):
-            yield Layer(text, [(0, len(text), *layer.origin(*m.span()))], tuple(via)), cut
+        # What unfolds is content, whatever bytes it has; else it may be a long word that is no base64.
+        if text := raw.decode("utf-8", "replace") if len(via) > len(layer.via) + 1 else readable(raw):
+            yield Layer(text, [(0, len(text), *layer.origin(start, end))], tuple(via)), cut
+
+
+def joined(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """(run, start, end) of base64 wrapped over lines: all lines, and the lines of one width with and without the neighbours.
+
+    A run may begin after other text in its first line, its last line is shorter, and a long word may stand on the
+    line above or below, so each stretch of equal width is tried with either neighbour and without.
+    """
+    edges, at = [], start
+    for m in WRAP.finditer(text, start, end):
+        edges.append((at, m.start()))
+        at = m.end()
+    edges.append((at, end))
+    starts = [0] + [k for k in range(1, len(edges)) if edges[k][1] - edges[k][0] != edges[k - 1][1] - edges[k - 1][0]] + [len(edges)]
+    tried = {(0, len(edges))}
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        tried |= {(x, y) for x in (max(0, a - 1), a) for y in (b, min(len(edges), b + 1)) if y - x > 1}
+    for a, b in sorted(tried):
+        yield "".join(text[x:y] for x, y in edges[a:b]), edges[a][0], edges[b - 1][1]
 
 
 def scan(text: str) -> tuple[list[dict], bool]:
@@ -210,14 +256,14 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def digests(spans: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, cut_short."""
     base = F.filter("found", lambda s: s["via"] == "")
 
-    def joined(own):
+    def listed(own):
         return F.array_join(F.transform(own, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     def of(kind):
         return F.filter(base, lambda s: s["kind"] == kind)
 
     counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
-    return spans.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+    return spans.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), "cut_short")

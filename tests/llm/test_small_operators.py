@@ -1,17 +1,21 @@
 """Operators that work text by text, against brute force, reference encoders and hand-made cases."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import json
+import lzma
 import random
 import re
 import urllib.parse
+import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 
 from lumenframe.llm import bpe, html_extraction, licenses, quality, secrets
@@ -102,6 +106,57 @@ def test_unwrapped_secrets_map_to_their_place(wrap, via):
     assert 9 <= span["start"] < span["end"] <= 9 + len(inner)
 
 
+def compressed(method: str, raw: bytes) -> bytes:
+    return {"gzip": gzip.compress, "bz2": bz2.compress, "xz": lzma.compress, "zlib": zlib.compress, "zstd": zstandard.ZstdCompressor().compress}[method](raw)
+
+
+def noise(n: int) -> str:
+    return "".join(random.Random(n).choices("ghijklmnopqrstuv ", k=n))
+
+
+def vias(text: str) -> set[str]:
+    return {s["via"] for s in secrets.scan(text)[0] if s["kind"] == "assign"}
+
+
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("around", ["{}", "-----BEGIN CERTIFICATE-----\n{}\n-----END", "a_long_word_before_it\n{}\nand after", "key: {}", "> {}"])
+def test_wrapped_base64(width, around):
+    def wrapped(raw: bytes) -> str:
+        code = base64.b64encode(raw).decode()
+        return ("\r\n> " if around == "> {}" else "\n").join(code[k : k + width] for k in range(0, len(code), width))
+
+    body = f"{noise(400)} {SECRET} {noise(35)}"
+    text = around.format(wrapped(body.encode()))
+    assert vias(text) == {"base64"}
+    assert vias(around.format(wrapped(gzip.compress(body.encode())))) == {"base64>gzip"}
+    span = next(s for s in secrets.scan(text)[0] if s["kind"] == "assign")
+    assert 0 <= span["start"] < span["end"] <= len(text)
+
+
+@pytest.mark.parametrize("method", ["gzip", "bz2", "xz", "zlib", "zstd"])
+def test_all_members_and_odd_bytes(method):
+    def coded(*parts: bytes) -> str:
+        return base64.b64encode(b"".join(compressed(method, p) for p in parts)).decode()
+
+    assert vias(coded(b"first", noise(9000).encode(), SECRET.encode())) == {f"base64>{method}"}
+    assert vias(base64.b64encode(compressed(method, SECRET.encode()) + b"rest").decode()) == {f"base64>{method}"}
+    assert vias(coded(bytes(range(256)) * 40 + SECRET.encode())) == {f"base64>{method}"}
+
+
+def test_whole_layer_is_judged():
+    assert vias(base64.b64encode(noise(5000).encode() + b"\xff " + SECRET.encode()).decode()) == {"base64"}
+    assert vias(base64.b64encode(b"\x01" * 600 + noise(30_000).encode() + SECRET.encode()).decode()) == {"base64"}
+
+
+def test_cut_inside_a_character(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 1000)
+    raw = SECRET.encode() + b" " * (999 - len(SECRET)) + "é".encode() * 50
+    text = base64.b64encode(gzip.compress(raw)).decode()
+    found, short = secrets.scan(text)
+    assert [s["via"] for s in found] == ["base64>gzip"] and short
+    assert "cut_short" in secrets.digests(secrets.secret_spans(table(spark, [text]))).columns
+
+
 def test_fixpoint_ends():
     assert secrets.scan("%25" * 200 + "%41")[0] == []
     assert secrets.scan(base64.b64encode(gzip.compress(b"x" * (secrets.LAYER_BYTES + 10))).decode())[1]
