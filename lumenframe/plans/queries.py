@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe import model, protocol
@@ -225,9 +225,19 @@ def rle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def number_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signed and unsigned readings of the same bytes."""
+    """Signed and unsigned readings of the same bytes: the first eight samples of each, as its SQL has it."""
+    return readings(spark, sf_dir, lambda raw: F.substring(raw, 1, 16))
+
+
+@query
+def number_lists_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed and unsigned readings of the same bytes, all samples."""
+    return readings(spark, sf_dir, lambda raw: raw)
+
+
+def readings(spark: SparkSession, sf_dir: str, part: Callable[[Column], Column]) -> DataFrame:
     raw = words_bytes(F.transform("samples", lambda x: x * 23))
-    own = images(spark, sf_dir).select("vec_id", F.substring(raw, 1, 16).alias("raw"))
+    own = images(spark, sf_dir).select("vec_id", part(raw).alias("raw"))
     join = lambda c: F.array_join(c, ",")
     return own.select("vec_id", join(values.us_list("raw")).alias("us"), join(values.ss_list("raw")).alias("ss"), join(values.ul_list("raw")).alias("ul"), join(values.sl_list("raw")).alias("sl"), join(values.uv_list("raw")).alias("uv"), join(values.sv_list("raw")).alias("sv"), join(values.at_list("raw")).alias("at"))
 
@@ -261,8 +271,18 @@ def person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def charset_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latin-1 and UTF-8 texts of documents by their declared character set."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 60), "[^\\x20-\\xff]", "?").alias("line"))
+    """Latin-1 and UTF-8 texts of documents by their declared character set: the first 60 characters, as its SQL has it."""
+    return by_charset(spark, sf_dir, F.substring("text", 1, 60))
+
+
+@query
+def charset_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latin-1 and UTF-8 texts of documents by their declared character set, whole."""
+    return by_charset(spark, sf_dir, F.col("text"))
+
+
+def by_charset(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(text, "[^\\x20-\\xff]", "?").alias("line"))
     latin = F.pmod("doc_id", F.lit(2)) == 0
     raw = F.when(latin, F.encode("line", "ISO-8859-1")).otherwise(F.encode("line", "UTF-8"))
     return d.select("doc_id", values.charset_text(raw, F.when(latin, "ISO_IR 100").otherwise("\\ISO_IR 192")).alias("line"))

@@ -1,5 +1,7 @@
 """Operators on small tables, against values worked out by hand."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from lumenframe.codecs import rle
 from lumenframe.functions import pixels, values
 from lumenframe.model import ATTRIBUTES, TAG
 from lumenframe.operators import deidentify, directory, frames, hierarchy, lookup, presentation, validate
+from lumenframe.plans import queries
 from lumenframe.sources import dicom_json, part10
 
 
@@ -289,3 +292,21 @@ def test_streams(spark, tmp_path):
         q = reassemble_stream(spark.readStream.schema(schema).parquet(str(pieces))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
         q.awaitTermination(120)
     assert [(r.message, bytes(r.data)) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("message").collect()] == [(0, b"xy"), (1, b"z")]
+
+
+def test_whole_texts_and_vectors(spark, tmp_path):
+    """Against brute force, as these queries have no SQL."""
+    texts = ["a" * 200 + "é" * 50 + " end  ", "漢 é\n" * 40 + "x", None, ""] * 2
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.line for r in queries.charset_text_whole(spark, str(tmp_path)).collect()}
+    assert got == {k: t and re.sub("[^\x20-\xff]", "?", t).rstrip("\0 ") for k, t in enumerate(texts)}
+
+    vectors = [np.random.default_rng(k).uniform(-1, 1, 64).astype("<f4").tolist() for k in range(6)]
+    spark.createDataFrame([(k, 0, v) for k, v in enumerate(vectors)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = {r.vec_id: r for r in queries.number_lists_whole(spark, str(tmp_path)).collect()}
+    for k, v in enumerate(vectors):
+        samples = [max(0, min(4095, int(np.floor((x + 1) * 1000 + 0.5)))) for x in v]
+        raw = np.array([x * 23 % 65536 for x in samples], "<u2").tobytes()
+        for name, kind in {"us": "<u2", "ss": "<i2", "ul": "<u4", "sl": "<i4", "uv": "<u8", "sv": "<i8"}.items():
+            assert rows[k][name] == ",".join(map(str, np.frombuffer(raw, kind).tolist()))
+        assert rows[k]["at"] == ",".join(str(a << 16 | b) for a, b in np.frombuffer(raw, "<u2").reshape(-1, 2).tolist())
