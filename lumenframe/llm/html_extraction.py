@@ -3,7 +3,8 @@
 Pages of one host share a wrapper. For each host a few exemplar pages (the least hashes of its pages, at most SLOTS)
 give reference trees. Every page's tree of block elements is aligned with its best exemplar by simple tree matching;
 sums over all pages say for each exemplar node how many pages have it and how many have the same text there. Nodes
-with the same text almost everywhere are template; the others are slots. Copies of an exemplar (pages whose article
+with the same text almost everywhere are template; the others are slots. Siblings of the same label are one node, whose
+elements are matched by their text and counted each on its own. Copies of an exemplar (pages whose article
 is the same or mostly the same) do not count, so a copied article does not look like a template.
 
 Extraction aligns a page again, drops template nodes and elements that say what they are (navigation, footers,
@@ -215,12 +216,15 @@ def article_of(root: Node) -> list[Node]:
 
 
 class Shape:
-    """The tree of block elements: label, hash of the text below, children; runs of equal siblings are one node."""
+    """The tree of block elements: label, hash of the text below, children; runs of equal siblings are one node.
 
-    __slots__ = ("label", "text", "children", "nodes", "index")
+    members has the text hash of each sibling of a run, in order, and is empty where there is one.
+    """
+
+    __slots__ = ("label", "text", "children", "nodes", "members", "index")
 
-    def __init__(self, label: str, text: int, children: list[Shape], nodes: list[Node] | None = None):
-        self.label, self.text, self.children, self.nodes, self.index = label, text, children, nodes or [], -1
+    def __init__(self, label: str, text: int, children: list[Shape], nodes: list[Node] | None = None, members: list[int] | None = None):
+        self.label, self.text, self.children, self.nodes, self.members, self.index = label, text, children, nodes or [], members or [], -1
 
     def number(self) -> list[Shape]:
         flat, work = [], [self]
@@ -232,16 +236,35 @@ class Shape:
         return flat
 
     def dump(self) -> list:
-        return [self.label, self.text, [c.dump() for c in self.children]]
+        return [self.label, self.text, [c.dump() for c in self.children], self.members]
 
     @classmethod
     def load(cls, raw: list) -> Shape:
-        return cls(raw[0], raw[1], [cls.load(c) for c in raw[2]])
-
+        return cls(raw[0], raw[1], [cls.load(c) for c in raw[2]], None, raw[3])
 
 DEEP = 60
 
 
+#: A run's elements are numbered after it: node * RUN + 1, 2 and so on; the run as a whole is node * RUN.
+RUN = 1 << 20
+
+
+def text_hash(node: Node) -> int:
+    """Hash of all text below; 0 if there is none."""
+    out, work = [], [node]
+    while work:
+        n = work.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.tag not in RAW:
+            if n.tag not in INLINE:
+                out.append(" ")
+                work.append(" ")
+            work += reversed(n.children)
+    text = SPACE.sub(" ", "".join(out)).strip()
+    return xxhash.xxh3_64_intdigest(text) if text else 0
+
+
 def shape_of(nodes: list[Node], depth: int = 0) -> Shape:
     """The shape of one element, or of a run of siblings with the same label."""
     groups: list[list[Node]] = []
@@ -274,7 +297,7 @@ def shape_of(nodes: list[Node], depth: int = 0) -> Shape:
     children = [shape_of(g, depth + 1) for g in groups] if depth < DEEP else []
     own = SPACE.sub(" ", "".join(texts)).strip()
     text = xxhash.xxh3_64_intdigest(f"{own}|{'|'.join(str(c.text) for c in children)}") if own or any(c.text for c in children) else 0
-    return Shape(nodes[0].label(), text, children, nodes)
+    return Shape(nodes[0].label(), text, children, nodes, [text_hash(n) for n in nodes] if len(nodes) > 1 else None)
 
 
 def match(a: Shape, b: Shape, memo: dict) -> tuple[int, list]:
@@ -367,7 +390,12 @@ def counted(page: str, own: Wrapper) -> tuple[int, list[tuple[int, bool]]]:
     hashes = block_hashes(root)
     if hashes and 2 * sum(h in own.articles[slot] for h in hashes) > len(hashes):
         return slot, []
-    return slot, [(y.index, x.text == y.text) for x, y in pairs if y.text]
+    out = [(y.index * RUN, x.text == y.text) for x, y in pairs if y.text]
+    for x, y in pairs:
+        if y.members:
+            have = set(x.members or [text_hash(n) for n in x.nodes])
+            out += [(y.index * RUN + k, h in have) for k, h in enumerate(y.members, 1) if h]
+    return slot, out
 
 
 def main_text(page: str, own: Wrapper | None) -> str:
@@ -375,9 +403,12 @@ def main_text(page: str, own: Wrapper | None) -> str:
     if own is not None and any(own.template):
         slot, pairs = own.align(shape_of([root]))
         for x, y in pairs:
-            if y.index in own.template[slot] and x.text == y.text:
+            if y.index * RUN in own.template[slot] and x.text == y.text:
                 for n in x.nodes:
                     n.drop = n.tag not in ("#root", "html", "body")
+            elif same := {h for k, h in enumerate(y.members, 1) if y.index * RUN + k in own.template[slot]}:
+                for n, h in zip(x.nodes, x.members or [text_hash(n) for n in x.nodes], strict=True):
+                    n.drop = n.drop or h in same
     return " ".join(t for a in article_of(root) for t in blocks(a, a.tag != "#root"))
 
 

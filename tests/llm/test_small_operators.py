@@ -216,6 +216,14 @@ def test_copied_articles_are_not_template(spark):
     assert all(t.endswith("The same article on many pages") for t in got)
 
 
+def test_constant_sibling_among_varying_ones(spark):
+    body = "<p>Body {k} one</p><p>We use <b>things</b> like this.</p><p>Body {k} two</p><p>Body {k} three</p>"
+    foot = "</div><div><p>Made by us</p></div><div><p>More {k}</p></div>"
+    rows = [(k, f"http://a.example/{k}", f"<body><div>{body.format(k=k)}{foot.format(k=k)}</body>") for k in range(20)]
+    got = {r.page_id: r.text for r in html_extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Body {k} one Body {k} two Body {k} three More {k}" for k in range(20)}
+
+
 def test_simple_tree_matching():
     shape = lambda html: html_extraction.shape_of([html_extraction.parse(html)])
     a, b = shape("<div><p>x</p><ul><li>1</li><li>2</li></ul><table></table></div>"), shape("<div><ul><li>3</li></ul><p>y</p></div>")
