@@ -59,14 +59,21 @@ def find(text: str) -> list[tuple[str, int, int]]:
 class Layer:
     """Decoded text; edges lists (start, end, origin start, origin end) of its stretches in order.
 
-    A stretch as long as its origin maps character by character, any other maps to its origin as a whole.
+    A stretch as long as its origin maps character by character, any other maps to its origin as a whole. raw has the
+    bytes of a layer that is compressed.
     """
 
     text: str
     edges: list[tuple[int, int, int, int]]
     via: tuple[str, ...] = ()
+    raw: bytes = b""
     starts: list[int] = field(default_factory=list)
 
+    def mark(self) -> tuple[bytes, int, int]:
+        """What tells it from other layers: its content and where it comes from."""
+        own = self.raw + b"\0" + self.text.encode("utf-8", "surrogatepass")
+        return hashlib.blake2b(own, digest_size=16).digest(), self.edges[0][2], self.edges[-1][3]
+
     def origin(self, start: int, end: int) -> tuple[int, int]:
         if not self.starts:
             self.starts = [e[0] for e in self.edges]
@@ -171,6 +178,9 @@ def unicode_decoded(m: re.Match) -> str | None:
 
 def unwrapped(layer: Layer) -> Iterator[tuple[Layer, bool]]:
     """The layers one step below: (layer, cut short)."""
+    if layer.raw and (more := unfolded(layer.raw)) and more[1]:
+        again = more[1] if method_of(more[1]) else b""
+        yield placed(more[1].decode("utf-8", "replace"), again, layer.edges[0][2:], (*layer.via, more[0])), more[2]
     if "%" in layer.text and (new := rewritten(layer, URL_ESCAPES, url_decoded, "url")):
         yield new, False
     if ("\\" in layer.text or "&#" in layer.text) and (new := rewritten(layer, UNICODE_ESCAPES, unicode_decoded, "unicode")):
@@ -187,13 +197,15 @@ def unwrapped(layer: Layer) -> Iterator[tuple[Layer, bool]]:
             raw = base64.b64decode(run + "=" * (-len(run) % 4), altchars=b"-_" if "-" in run or "_" in run else None)
         except (binascii.Error, ValueError):
             continue
-        via, cut = [*layer.via, "base64"], False
-        while raw and (more := unfolded(raw)):
-            via.append(more[0])
-            raw, cut = more[1], cut or more[2]
+        packed = bool(raw) and method_of(raw) is not None
         # What unfolds is content, whatever bytes it has; else it may be a long word that is no base64.
-        if text := raw.decode("utf-8", "replace") if len(via) > len(layer.via) + 1 else readable(raw):
-            yield Layer(text, [(0, len(text), *layer.origin(start, end))], tuple(via)), cut
+        text = readable(raw)
+        if packed or text:
+            yield placed(text or "", raw if packed else b"", layer.origin(start, end), (*layer.via, "base64")), False
+
+
+def placed(text: str, raw: bytes, origin: tuple[int, int], via: tuple[str, ...]) -> Layer:
+    return Layer(text, [(0, len(text), *origin)], via, raw)
 
 
 def joined(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
@@ -227,8 +239,7 @@ def scan(text: str) -> tuple[list[dict], bool]:
             found.setdefault((kind, *span), ">".join(layer.via))
         for new, cut in unwrapped(layer):
             short |= cut
-            mark = (hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), new.edges[0][2], new.edges[-1][3])
-            if mark not in seen:
+            if (mark := new.mark()) not in seen:
                 seen.add(mark)
                 work.append(new)
     order = {k: i for i, k in enumerate(KINDS)}
@@ -241,7 +252,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Offsets are code points, end exclusive; via is empty for secrets in the text itself and names the decodings
     otherwise, whose spans are those of the encoded stretch. Spans are distinct and ordered by start, kind, end; a
     span found both ways counts as base. Null counts as empty, which has none. Texts of any length are scanned
-    whole; cut_short says that a compressed layer exceeded LAYER_BYTES. Repeated rows give equal rows.
+    whole; cut_short says that a compressed layer exceeded LAYER_BYTES. Repeated rows give equal rows, an empty table
+    gives none; other columns are ignored.
     """
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("via", pa.string())])
     schema = pa.schema([("doc_id", pa.int64()), ("found", pa.list_(kind)), ("cut_short", pa.bool_())])
