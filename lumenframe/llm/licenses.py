@@ -52,11 +52,36 @@ SENTENCES = {
     "cc-by-nc-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "cc0": "To the extent possible under law, the author has dedicated all copyright and related rights to the public domain.",
+    "cc0-title": "CC0 1.0 Universal",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "apache2-title": "Apache License Version 2.0, January 2004",
+    "apache2-terms": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "apache2-basis": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "gpl3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "lgpl3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl21-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "agpl3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "gpl-copies": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "agpl-redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl2-title": "Mozilla Public License Version 2.0",
+    "epl2-title": "Eclipse Public License - v 2.0",
+    "epl2-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "bsl1-title": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "bsl1-short": "Distributed under the Boost Software License, Version 1.0.",
+    "zlib-warranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-held": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "bsd4-advert": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "artistic2-title": "The Artistic License 2.0",
+    "psf2-title": "PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2",
     "spdx": "SPDX-License-Identifier: *",
 }
 
 #: Ordered rules. Sentences of a rule follow one another, with others allowed between them.
 RULES = (
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd4-advert")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD", ("bsd-released",)),
@@ -68,6 +93,11 @@ RULES = (
     ("MIT", ("mit-licensed",)),
     ("ISC", ("isc-grant", "as-is-software")),
     ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("Apache-2.0", ("apache2-title", "apache2-terms", "apache2-header", "apache2-comply", "apache2-copy", "apache2-basis")),
+    ("Apache-2.0", ("apache2-title", "apache2-terms")),
+    ("Apache-2.0", ("apache2-title",)),
+    ("Apache-2.0", ("apache2-header", "apache2-comply", "apache2-copy", "apache2-basis")),
     ("Apache-2.0", ("apache2-header", "apache2-comply", "apache2-copy")),
     ("Apache-2.0", ("apache2-header",)),
     ("Apache-2.0", ("apache2-short",)),
@@ -76,9 +106,25 @@ RULES = (
     ("GPL-2.0-or-later", ("gpl2-redistribute", "gpl-hope")),
     ("GPL-2.0-or-later", ("gpl2-redistribute",)),
     ("LGPL-2.1-or-later", ("lgpl-redistribute",)),
+    ("AGPL-3.0-or-later", ("agpl-redistribute", "gpl-hope")),
+    ("AGPL-3.0-or-later", ("agpl-redistribute",)),
+    ("AGPL-3.0", ("agpl3-title",)),
+    ("LGPL-3.0", ("lgpl3-title",)),
+    ("LGPL-2.1", ("lgpl21-title",)),
+    ("GPL-3.0", ("gpl3-title",)),
+    ("GPL-2.0", ("gpl2-title",)),
     ("GPL-3.0", ("gpl3-work",)),
     ("GPL-2.0", ("gpl2-work",)),
     ("MPL-2.0", ("mpl2-terms",)),
+    ("MPL-2.0", ("mpl2-title",)),
+    ("EPL-2.0", ("epl2-terms",)),
+    ("EPL-2.0", ("epl2-title",)),
+    ("BSL-1.0", ("bsl1-title",)),
+    ("BSL-1.0", ("bsl1-short",)),
+    ("Zlib", ("zlib-warranty", "zlib-held", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
+    ("Artistic-2.0", ("artistic2-title",)),
+    ("PSF-2.0", ("psf2-title",)),
     ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa4",)),
     ("CC-BY-NC-4.0", ("cc-by-nc4",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-long",)),
@@ -87,12 +133,15 @@ RULES = (
     ("CC-BY-ND-4.0", ("cc-by-nd4",)),
     ("CC-BY-4.0", ("cc-by4",)),
     ("CC-BY-4.0", ("cc-by-long",)),
+    ("Unlicense", ("unlicense", "unlicense-anyone")),
     ("Unlicense", ("unlicense",)),
+    ("CC0-1.0", ("cc0-title", "cc0")),
+    ("CC0-1.0", ("cc0-title",)),
     ("CC0-1.0", ("cc0",)),
 )
 
 WORD = re.compile(r"[^\W_]+")
-#: Between two words: the end of a sentence or line.
+#: Between two words: the end of a sentence or line. A point between two digits, as in a version, is none.
 BREAK = re.compile(r"\n|[.;:!?]+[\s\"')\]]|[.;:!?]+$")
 #: The end of a line, or of a sentence within it; a point inside a version is none.
 STOP = re.compile(r"\n|[.;:!?]+\s")
@@ -109,20 +158,20 @@ class SentenceBook:
             self.by_head.setdefault(tuple(parts[0][:2]), []).append((name, parts, text.rstrip().endswith("*")))
         for own in self.by_head.values():
             own.sort(key=lambda x: -sum(map(len, x[1])))
-        #: A text without any first word of a known sentence has none; most texts stop here.
-        self.hint = re.compile("|".join(sorted({re.escape(h[0]) + r"[^a-z0-9]+" + re.escape(h[1]) if len(h) > 1 else re.escape(h[0]) for h in self.by_head})))
+        #: The longest word of each sentence: a text with none of them has no known sentence; most texts stop here.
+        self.hints = sorted({max((w for part in parts for w in part), key=len) for own in self.by_head.values() for _, parts, _ in own})
 
     def sentences(self, text: str) -> list[tuple[str, int, int]]:
         """(identifier, start, end) of the recognised sentences, in order, in code points."""
         low = text.lower()
-        if len(low) != len(text) or not self.hint.search(low):
-            if len(low) == len(text) or not self.hint.search(low):
-                return []
+        if not any(w in low for w in self.hints):
+            return []
+        if len(low) != len(text):
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
         found = []
         spans = [m.span() for m in WORD.finditer(low)]
         words = [low[a:b] for a, b in spans]
-        opens = [i == 0 or bool(BREAK.search(low[spans[i - 1][1] : spans[i][0]])) for i in range(len(words))]
+        opens = [i == 0 or self._breaks(low, spans[i - 1][1], spans[i][0]) for i in range(len(words))]
         closes = [*opens[1:], True]
         stops = lambda j: j + 1 == len(words) or bool(STOP.search(low[spans[j][1] : spans[j + 1][0]]))
         i = 0
@@ -135,6 +184,11 @@ class SentenceBook:
                 i += 1
         return found
 
+    @staticmethod
+    def _breaks(low: str, a: int, b: int) -> bool:
+        gap = low[a:b]
+        return gap != " " and bool(BREAK.search(gap)) and not (gap == "." and low[a - 1].isdigit() and low[b].isdigit())
+
     def _at(self, words, closes, stops, i, head) -> Iterator[tuple[str, int]]:
         for name, parts, to_line_end in self.by_head.get(head, ()):
             at, ok = i, True
