@@ -37,7 +37,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     covers = later.groupBy("rid").agg(F.collect_set("pos").alias("starts"))
     covered = F.expr(f"array_distinct(flatten(transform(starts, s -> sequence(s, s + {WINDOW - 1}))))")
     joined = rows.select("doc_id", "rid", "text").join(covers, "rid", "left").withColumn("lines", F.split("text", "\n")).withColumn("gone", covered)
-    kept = F.expr("array_join(filter(lines, (line, i) -> not array_contains(gone, i)), '\n')")
+    # Positions are taken away as a set, so that a long text costs no more than its lines.
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\n')")
     return joined.select(
         "doc_id",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
