@@ -1,17 +1,18 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host share a wrapper. For each host a few exemplar pages (the least hashes of its pages, at most SLOTS)
-give reference trees. Every page's tree of block elements is aligned with its best exemplar by simple tree matching;
-sums over all pages say for each exemplar node how many pages have it and how many have the same text there. Nodes
+give reference trees. Every page's tree of block elements is aligned with the exemplars by simple tree matching;
+sums over all pages say for each exemplar node how many pages of its layout have it and how many have the same text there. Nodes
 with the same text almost everywhere are template; the others are slots. Siblings of the same label are one node, whose
 elements are matched by their text and counted each on its own. Copies of an exemplar (pages whose article
 is the same or mostly the same) do not count, so a copied article does not look like a template.
 
-Extraction aligns a page again, drops template nodes and elements that say what they are (navigation, footers,
-adverts, forms, comments and so on), finds the article's element and joins its blocks.
+Extraction aligns a page again and drops its template nodes. What varies is a slot, and so is what the exemplar does not
+have. Slots are content unless they say that they are something else (navigation, footers, adverts, forms, comments
+and so on, which vary too); where some say that they are the article, those. Their blocks are joined.
 
-Exemplars and sums are one small row a host. They are broadcast while their measured size is below BROADCAST_BYTES, so
-that no page is shuffled; beyond that, pages and wrappers are joined by host with a plain join, whose hot hosts Spark can split.
+Exemplars and sums are one small row a host. They go to each worker once while their measured size is below
+BROADCAST_BYTES, so that no page is shuffled; beyond that, pages and wrappers are joined by host with a plain join, whose hot hosts Spark can split.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import html as entities
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -56,7 +57,6 @@ MAIN_WORD = frozenset("article articlebody content entry post story main maincon
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-SPACE = re.compile(r"\s+")
 DIGITS = re.compile(r"\d+")
 
 
@@ -158,7 +158,7 @@ def blocks(node: Node, inside: bool) -> list[str]:
 
     def flush() -> None:
         if line:
-            t = SPACE.sub(" ", "".join(line)).strip()
+            t = " ".join("".join(line).split())
             if t:
                 out.append(t)
             line.clear()
@@ -236,13 +236,15 @@ class Shape:
         return flat
 
     def dump(self) -> list:
-        return [self.label, self.text, [c.dump() for c in self.children], self.members]
+        """The nodes in document order, each with its number of children."""
+        return [[s.label, s.text, s.members, len(s.children)] for s in self.number()]
 
     @classmethod
     def load(cls, raw: list) -> Shape:
-        return cls(raw[0], raw[1], [cls.load(c) for c in raw[2]], None, raw[3])
-
-DEEP = 60
+        rest: list[Shape] = []
+        for label, text, members, n in reversed(raw):
+            rest.append(cls(label, text, [rest.pop() for _ in range(n)], None, members))
+        return rest[0]
 
 
 #: A run's elements are numbered after it: node * RUN + 1, 2 and so on; the run as a whole is node * RUN.
@@ -261,80 +263,95 @@ def text_hash(node: Node) -> int:
                 out.append(" ")
                 work.append(" ")
             work += reversed(n.children)
-    text = SPACE.sub(" ", "".join(out)).strip()
+    text = " ".join("".join(out).split())
     return xxhash.xxh3_64_intdigest(text) if text else 0
 
 
-def shape_of(nodes: list[Node], depth: int = 0) -> Shape:
-    """The shape of one element, or of a run of siblings with the same label."""
+def parts_of(nodes: list[Node]) -> tuple[list[list[Node]], str]:
+    """The runs of block elements right below the nodes, and the text that stands in none of them."""
     groups: list[list[Node]] = []
     texts: list[str] = []
-
-    def visit(n: Node) -> None:
+    for n in nodes:
         for c in n.children:
             if isinstance(c, str):
                 texts.append(c)
             elif c.tag in INLINE:
-                visit_inline(c)
+                work = [c]
+                while work:
+                    for x in work.pop().children:
+                        if isinstance(x, str):
+                            texts.append(x)
+                        elif x.tag not in RAW:
+                            work.append(x)
             elif c.tag not in RAW:
                 if groups and groups[-1][0].label() == c.label():
                     groups[-1].append(c)
                 else:
                     groups.append([c])
-
-    def visit_inline(n: Node) -> None:
-        work = [n]
-        while work:
-            x = work.pop()
-            for c in x.children:
-                if isinstance(c, str):
-                    texts.append(c)
-                elif c.tag not in RAW:
-                    work.append(c)
-
-    for n in nodes:
-        visit(n)
-    children = [shape_of(g, depth + 1) for g in groups] if depth < DEEP else []
-    own = SPACE.sub(" ", "".join(texts)).strip()
-    text = xxhash.xxh3_64_intdigest(f"{own}|{'|'.join(str(c.text) for c in children)}") if own or any(c.text for c in children) else 0
-    return Shape(nodes[0].label(), text, children, nodes, [text_hash(n) for n in nodes] if len(nodes) > 1 else None)
+    return groups, " ".join("".join(texts).split())
 
 
-def match(a: Shape, b: Shape, memo: dict) -> tuple[int, list]:
-    """Simple tree matching: the size of the largest alignment that keeps order and depth, and its choices."""
+def shape_of(nodes: list[Node]) -> Shape:
+    """The shape of one element, or of a run of siblings with the same label, however deep it goes."""
+    found_: list[tuple[list[Node], str, list[int]]] = []
+    work = [(nodes, -1)]
+    while work:
+        own, above = work.pop()
+        groups, text = parts_of(own)
+        if above >= 0:
+            found_[above][2].append(len(found_))
+        work += [(g, len(found_)) for g in reversed(groups)]
+        found_.append((own, text, []))
+    shapes: list[Shape] = [None] * len(found_)  # type: ignore[list-item]
+    for k in range(len(found_) - 1, -1, -1):
+        own, text, below = found_[k]
+        children = [shapes[c] for c in below]
+        some = text or any(c.text for c in children)
+        print_ = xxhash.xxh3_64_intdigest(f"{text}|{'|'.join(str(c.text) for c in children)}") if some else 0
+        shapes[k] = Shape(own[0].label(), print_, children, own, [text_hash(n) for n in own] if len(own) > 1 else None)
+    return shapes[0]
+
+
+def match(a: Shape, b: Shape, memo: dict) -> int:
+    """Simple tree matching: the size of the largest alignment that keeps order and depth; memo gets its choices.
+
+    A pair of nodes comes up from the pair of their parents only, so the pairs in reverse order of discovery have all
+    pairs below them done.
+    """
     if a.label != b.label:
-        return 0, []
-    key = (a.index, b.index)
-    if key in memo:
-        return memo[key]
-    m, n = len(a.children), len(b.children)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    took = [[False] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            w = match(a.children[i - 1], b.children[j - 1], memo)[0]
-            up = max(best[i - 1][j], best[i][j - 1])
-            if w and best[i - 1][j - 1] + w > up:
-                best[i][j], took[i][j] = best[i - 1][j - 1] + w, True
+        return 0
+    work = [(a, b)]
+    for x, y in work:
+        work += [(c, d) for c in x.children for d in y.children if c.label == d.label]
+    for x, y in reversed(work):
+        m, n = len(x.children), len(y.children)
+        best = [[0] * (n + 1) for _ in range(m + 1)]
+        took = [[False] * (n + 1) for _ in range(m + 1)]
+        for i in range(1, m + 1):
+            for j in range(1, n + 1):
+                below = memo.get((x.children[i - 1].index, y.children[j - 1].index))
+                up = max(best[i - 1][j], best[i][j - 1])
+                if below and best[i - 1][j - 1] + below[0] > up:
+                    best[i][j], took[i][j] = best[i - 1][j - 1] + below[0], True
+                else:
+                    best[i][j] = up
+        pairs, i, j = [], m, n
+        while i and j:
+            if took[i][j]:
+                pairs.append((x.children[i - 1], y.children[j - 1]))
+                i, j = i - 1, j - 1
+            elif best[i - 1][j] >= best[i][j - 1]:
+                i -= 1
             else:
-                best[i][j] = up
-    pairs, i, j = [], m, n
-    while i and j:
-        if took[i][j]:
-            pairs.append((a.children[i - 1], b.children[j - 1]))
-            i, j = i - 1, j - 1
-        elif best[i - 1][j] >= best[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    memo[key] = (best[m][n] + 1, pairs)
-    return memo[key]
+                j -= 1
+        memo[(x.index, y.index)] = (best[m][n] + 1, pairs)
+    return memo[(a.index, b.index)][0]
 
 
 def aligned(a: Shape, b: Shape) -> tuple[int, list[tuple[Shape, Shape]]]:
     """Score and all matched pairs of two numbered shapes."""
     memo: dict = {}
-    score, _ = match(a, b, memo)
+    score = match(a, b, memo)
     out, work = [], [(a, b)] if score else []
     while work:
         x, y = work.pop()
@@ -353,19 +370,24 @@ class Wrapper:
         self.template = [set(s.get("template", ())) for s in slots]
         self.articles = [set(s["article"]) for s in slots]
 
-    def align(self, shape: Shape) -> tuple[int, list[tuple[Shape, Shape]]]:
+    def alignments(self, shape: Shape) -> list[tuple[int, list[tuple[Shape, Shape]]]]:
         shape.number()
-        tried = [aligned(shape, s) for s in self.shapes]
+        return [aligned(shape, s) for s in self.shapes]
+
+    def align(self, shape: Shape) -> tuple[int, list[tuple[Shape, Shape]]]:
+        tried = self.alignments(shape)
         best = max(range(len(tried)), key=lambda k: (tried[k][0], -k)) if tried else -1
         return best, tried[best][1] if tried else []
 
 
+#: Parsed wrappers that a worker keeps, up to this many bytes of their JSON.
+KEPT_BYTES = 8 << 20
 _WRAPPERS: dict[str, Wrapper] = {}
 
 
 def wrapper(raw: str) -> Wrapper:
     if raw not in _WRAPPERS:
-        if len(_WRAPPERS) > 2000:
+        if sum(map(len, _WRAPPERS)) + len(raw) > KEPT_BYTES:
             _WRAPPERS.clear()
         _WRAPPERS[raw] = Wrapper(raw)
     return _WRAPPERS[raw]
@@ -380,22 +402,25 @@ def exemplar(page: str) -> dict:
     return {"shape": shape_of([root]).dump(), "article": sorted(set(block_hashes(root)))}
 
 
-def counted(page: str, own: Wrapper) -> tuple[int, list[tuple[int, bool]]]:
-    """The exemplar that a page aligns with and (node, same text) of what aligned; nothing for copies of the exemplar."""
+def counted(page: str, own: Wrapper) -> list[tuple[int, int, bool]]:
+    """(exemplar, node, same text) of what aligned, for every exemplar that shares at least half of its nodes with the page.
+
+    A page counts for all exemplars of its layout, so that each has as many pages to learn from as the layout has;
+    it counts for none of which it is a copy.
+    """
     root = parse(page)
     shape = shape_of([root])
-    slot, pairs = own.align(shape)
-    if slot < 0:
-        return slot, []
     hashes = block_hashes(root)
-    if hashes and 2 * sum(h in own.articles[slot] for h in hashes) > len(hashes):
-        return slot, []
-    out = [(y.index * RUN, x.text == y.text) for x, y in pairs if y.text]
-    for x, y in pairs:
-        if y.members:
-            have = set(x.members or [text_hash(n) for n in x.nodes])
-            out += [(y.index * RUN + k, h in have) for k, h in enumerate(y.members, 1) if h]
-    return slot, out
+    out = []
+    for slot, (score, pairs) in enumerate(own.alignments(shape)):
+        if 2 * score < own.sizes[slot] or hashes and 2 * sum(h in own.articles[slot] for h in hashes) > len(hashes):
+            continue
+        out += [(slot, y.index * RUN, x.text == y.text) for x, y in pairs if y.text]
+        for x, y in pairs:
+            if y.members:
+                have = set(x.members or [text_hash(n) for n in x.nodes])
+                out += [(slot, y.index * RUN + k, h in have) for k, h in enumerate(y.members, 1) if h]
+    return out
 
 
 def main_text(page: str, own: Wrapper | None) -> str:
@@ -436,13 +461,20 @@ def exemplars(rows: DataFrame) -> DataFrame:
     return one.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "exemplar"))).alias("own")).select("host", F.concat(F.lit("["), F.array_join("own.exemplar", ","), F.lit("]")).alias("wrapper"))
 
 
-def beside(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """rows with their host's wrapper: broadcast if its measured size allows, else a plain join by host."""
+def beside(rows: DataFrame, wrappers: DataFrame) -> tuple[DataFrame, Callable[[str], str | None]]:
+    """rows, and what gives a row's wrapper from its column of that name.
+
+    If the measured size allows, the column holds the host and the wrappers go to each worker once; else a plain join
+    by host, whose hot hosts Spark can split, puts the wrapper itself there.
+    """
     size = wrappers.agg(F.sum(F.length("host") + F.length("wrapper")).alias("n")).first()["n"] or 0
-    return rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
+    if size > BROADCAST_BYTES:
+        return rows.join(wrappers, "host", "left"), lambda raw: raw
+    known = rows.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in wrappers.toLocalIterator()})
+    return rows.withColumn("wrapper", F.col("host")), lambda host: known.value.get(host)
 
 
-def node_counts(rows: DataFrame) -> DataFrame:
+def node_counts(rows: DataFrame, own: Callable[[str], str | None]) -> DataFrame:
     """(host, slot, node, matched, same) summed over all pages; rows has host, html and wrapper."""
     schema = pa.schema([("host", pa.string()), *((c, pa.int64()) for c in ("slot", "node", "matched", "same"))])
 
@@ -457,11 +489,10 @@ def node_counts(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pylist(rows, schema=schema)
 
         for batch in batches:
-            for host, page, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if not raw:
+            for host, page, key in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if not (raw := own(key)):
                     continue
-                slot, pairs = counted(page, wrapper(raw))
-                for node, same in pairs:
+                for slot, node, same in counted(page, wrapper(raw)):
                     seen[(host, slot, node)] += 1
                     if same:
                         equal[(host, slot, node)] += 1
@@ -500,17 +531,18 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     Null and empty pages have the text ''; a page of plain text is its own article. Pages without a readable host
     share the host ''. A host of few pages has no template nodes; what elements say about themselves still counts.
-    Whole pages are read, of any length; repeated rows give equal rows; an empty table gives none. Other columns are
+    Whole pages are read, of any length and depth; repeated rows give equal rows; an empty table gives none. Other columns are
     ignored.
     """
     rows = prepared(pages, id_col, url_col, html_col)
     first = staged(exemplars(rows), "exemplars")
-    learned = staged(induced(first, node_counts(beside(rows, first))), "wrappers")
+    learned = staged(induced(first, node_counts(*beside(rows, first))), "wrappers")
+    placed, own = beside(rows, learned)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page, wrapper(raw) if raw else None) for page, raw in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [main_text(page, wrapper(raw) if (raw := own(key)) else None) for page, key in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema=schema)
 
-    return beside(rows, learned).select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string")
+    return placed.select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string")

@@ -29,6 +29,24 @@ def test_counting_quotient_filters_merge_without_loss():
     assert (np.concatenate([f.fingerprints() for f in cut]) == keys).all()
 
 
+def test_merged_runs_are_exact():
+    r = np.random.default_rng(2)
+    for _ in range(40):
+        parts = [r.choice(np.append(r.integers(0, 2**63, 30, dtype=np.uint64), r.integers(0, 5, 8, dtype=np.uint64)), r.integers(0, 200)) for _ in range(r.integers(1, 6))]
+        whole = exact_dedup.CountingQuotientFilter.merge([exact_dedup.CountingQuotientFilter.build(p) for p in parts])
+        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+        assert (whole.fingerprints() == keys).all() and (whole.counts == counts).all()
+        assert (np.diff(whole.occupied.astype(np.int64)) > 0).all() and whole.run_end.sum() == len(whole.occupied)
+
+
+def test_exact_dedup_without_broadcast(spark, monkeypatch):
+    rows = [(k, "abc"[k % 3] * (k % 7)) for k in range(60)]
+    some = lambda: sorted(map(tuple, exact_dedup.exact_dedup(frame(spark, rows)).collect()))
+    expected = some()
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    assert some() == expected
+
+
 def test_exact_dedup(spark):
     rows = [(5, "Abc"), (7, "aBC"), (9, "ÀBC"), (1, "àbc"), (2, None), (3, ""), (None, "abc"), (None, "lone"), (4, "x" * 50_000), (6, "X" * 50_000), (8, "same"), (8, "same")] + [(100 + k, "hot") for k in range(300)]
     got = exact_dedup.exact_dedup(frame(spark, rows)).collect()
@@ -62,6 +80,7 @@ def test_line_dedup(spark):
     assert got == expected
     repeated = line_dedup.line_dedup(frame(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "a\nb\nc")])).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in repeated) == [(0, 0), (1, 3), (1, 3)]
+    assert line_dedup.line_dedup(frame(spark, rows).limit(0)).count() == 0
 
 
 def shingles(text, n=5):

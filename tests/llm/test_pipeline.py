@@ -68,6 +68,15 @@ def test_run(spark, corpus):
     assert 100 < len(got) < 140 and all(r.n_tokens == len(other.encode_ordinary(texts[(r.doc_id, r.decoded_sha256)])) for r in got)
 
 
+def test_empty_tables(spark, corpus, tmp_path):
+    folder, _ = corpus
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_registered_queries():
     import __spark_entry__
 

@@ -312,6 +312,62 @@ def test_constant_sibling_among_varying_ones(spark):
     assert got == {k: f"Body {k} one Body {k} two Body {k} three More {k}" for k in range(20)}
 
 
+def site(rnd: random.Random, host: str, pages: int) -> list[tuple[int, str, str, str]]:
+    """Pages of one random layout, each with the text that its slots hold."""
+    count = iter(range(10**6))
+
+    def layout(depth: int) -> list:
+        out = []
+        for _ in range(rnd.randint(2, 4)):
+            kind = rnd.choice(["slot", "slot", "fixed", "said", "box" if depth < 4 else "slot"])
+            out.append((kind, f"c{'abcdefghij'[next(count) % 10]}{'klmnopqrst'[next(count) // 10 % 10]}", layout(depth + 1) if kind == "box" else next(count)))
+        return out
+
+    def render(parts: list, k: int, texts: list[str]) -> str:
+        html = ""
+        for kind, name, of in parts:
+            if kind == "box":
+                html += f"<div class={name}>{render(of, k, texts)}</div>\n"
+            elif kind == "slot":
+                words = " ".join(rnd.choice(["river", "stone", "cloud"]) + str(rnd.randrange(10**6)) for _ in range(rnd.randint(3, 9)))
+                texts.append(f"{words} & more")
+                html += f"<div class='{name}'>{words.replace(' ', rnd.choice([chr(10), ' <b>', '  ']), 1)} &amp; more</div><!-- <p>no</p> -->"
+            elif kind == "fixed":
+                html += f"<div class={name}>The same <i>words</i> {of} on every page</div>"
+            else:
+                html += rnd.choice([f"<nav>go {k} {of}</nav>", f"<footer>made {k}</footer>", f"<div class='ad box'>buy {k}</div>", f"<section id=comments><p>said {k}</p></section>", f"<form>{k}<input value=x></form>", f"<script>var a='<div>{k}';</script>"])
+        return html
+
+    parts = layout(0)
+    out = []
+    for k in range(pages):
+        texts: list[str] = []
+        body = render(parts, k, texts)
+        out.append((k, f"http://{host}/{k}", f"<html><body>{body}</body></html>", " ".join(texts)))
+    return out
+
+
+def test_slots_are_content_and_constants_are_template(spark):
+    rnd = random.Random(21)
+    rows = [(1000 * h + k, url, html, text) for h in range(8) for k, url, html, text in site(rnd, f"h{h}.example", 25)]
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").withColumns({"text": F.lit("x"), "wrapper": F.lit(1)})
+    expected = {r[0]: r[3] for r in rows}
+    assert {r.page_id: r.text for r in html_extraction.extract_main_text(pages).collect()} == expected
+    html_extraction.BROADCAST_BYTES, limit = 0, html_extraction.BROADCAST_BYTES
+    try:
+        assert {r.page_id: r.text for r in html_extraction.extract_main_text(pages).collect()} == expected
+    finally:
+        html_extraction.BROADCAST_BYTES = limit
+    assert html_extraction.extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_deep_and_long_pages(spark):
+    deep = lambda k: "<div>" * 3000 + f"<p>Text {k} here</p><p>The same on all</p>" + "</div>" * 3000
+    rows = [(k, f"http://d.example/{k}", deep(k)) for k in range(12)] + [(50, "http://l.example/", "".join(f"<p>w{k}" for k in range(30_000)))]
+    got = {r.page_id: r.text for r in html_extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Text {k} here" for k in range(12)} | {50: " ".join(f"w{k}" for k in range(30_000))}
+
+
 def test_simple_tree_matching():
     shape = lambda html: html_extraction.shape_of([html_extraction.parse(html)])
     a, b = shape("<div><p>x</p><ul><li>1</li><li>2</li></ul><table></table></div>"), shape("<div><ul><li>3</li></ul><p>y</p></div>")
