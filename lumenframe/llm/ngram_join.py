@@ -2,15 +2,15 @@
 
 Documents of equal sets are one class from the start; the join runs over distinct sets. A set is embedded by
 COORDINATES min-hashes. In each of RUNS runs a set goes down a tree: every node samples coordinates, and the sets
-that share the sampled token go to the same child. Nodes of at most BUCKET sets are leaves and are brute-forced;
+that share the sampled token go to the same child. Nodes of at most LEAF sets are leaves and are brute-forced;
 larger ones split again (now and then by two coordinates, so that a similar pair is lost more slowly) down to DEPTH.
 A pair whose shared nodes are small stays together in one run with its similarity. In a crowd it has to survive the
-splits too, so all sets of a large node go on to CROWD_RUNS runs: as many as bring the chance of missing a pair at the
+splits too, so sets that are in more than SPARE large nodes go on to CROWD_RUNS runs: as many as bring the chance of missing a pair at the
 threshold, split down to DEPTH in each of them, below 1 - RECALL, whatever share of the coordinates it agrees in.
 
 Brute force first compares byte sketches of SKETCH min-hashes, which rules out a pair at the threshold with a chance
-of 2e-8, then the sets themselves. A pair that shares several leaves counts in the least of them only. A leaf that
-does not split (a large group of near copies) is dealt out in tiles of TILE x TILE sets. Pairs are never written out:
+of 2e-8, then the sets themselves. A pair that shares several leaves counts in the least of them only. A leaf of more
+than BUCKET sets is dealt out in tiles of TILE x TILE sets. Pairs are never written out:
 a tile gives each set's number of links and a star for each connected part, and the stars' components are the classes.
 """
 
@@ -34,10 +34,14 @@ RECALL = 1 - 1e-6
 #: Runs of every set; one keeps a pair at the threshold in one node with chance 0.8, and 0.2 ** RUNS is far below 1 - RECALL.
 RUNS = 12
 BUCKET, TILE, DEPTH = 256, 512, 5
+#: Sets of a leaf: up to here a split would lose more links than it saves comparisons.
+LEAF = 8 * TILE
 #: One node in BRANCHING splits by two coordinates.
 BRANCHING = 4
 #: Shingles that the sets of one block should have together, which bounds a tile's memory for very long texts.
 TILE_SHINGLES = 1 << 20
+#: Keys of sets that are split are broadcast up to this many rows of 16 bytes.
+BROADCAST_ROWS = 1_000_000
 #: Least number of equal sketch bytes of a pair worth comparing.
 SKETCH_MATCHES = 32
 
@@ -56,7 +60,9 @@ def missed(runs: int, depth: int) -> float:
     return sum(math.comb(n, k) * SIMILARITY**k * (1 - SIMILARITY) ** (n - k) * (1 - survival(k / n, depth)) ** runs for k in range(n + 1))
 
 
-#: Runs of a set that was in a node of more than BUCKET sets.
+#: Large nodes that a set may be in: what the other runs miss of its pairs is still below 1 - RECALL.
+SPARE = RUNS - math.ceil(math.log(1 - RECALL) / math.log(1 - SIMILARITY))
+#: Runs of a set that was in more than SPARE nodes of more than LEAF sets.
 CROWD_RUNS = next(r for r in range(RUNS, COORDINATES) if missed(r, DEPTH) < 1 - RECALL)
 
 U = np.uint64
@@ -188,18 +194,21 @@ def leaves_of(sets: DataFrame) -> DataFrame:
     done = []
     for depth in range(1, DEPTH + 1):
         sized = with_sizes(nodes, f"nodes{depth}")
-        if depth == 1 and not (large := sized.where(F.col("m") > BUCKET)).isEmpty():
-            # Both sets of a pair that no small node holds are in a large one, so both go on.
-            crowd = sets.join(large.select("sid").distinct(), "sid", "left_semi")
+        if depth == 1 and not (large := sized.where(F.col("m") > LEAF)).isEmpty():
+            counts = staged(large.groupBy("sid").agg(F.count(F.lit(1)).alias("n")), "large")
+            # Only the min-hashes of sets in large nodes take part in the splits.
+            split = staged(sets.select("sid", "size", "mins").join(F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts, "sid"), "split")
+            # A pair is safe by the small nodes of either of its sets; else both are in many large ones, so both go on.
+            crowd = split.where(F.col("n") > SPARE)
             sized = sized.unionByName(with_sizes(roots(crowd, RUNS, CROWD_RUNS), "crowd"))
         last = depth == DEPTH
-        done.append(sized if last else sized.where(F.col("m") <= BUCKET))
-        large = sized.where(F.col("m") > BUCKET)
+        done.append(sized if last else sized.where(F.col("m") <= LEAF))
+        large = sized.where(F.col("m") > LEAF)
         if last or large.isEmpty():
             break
         branches = F.explode(F.when(F.pmod(F.xxhash64("leaf", F.lit("branch")), F.lit(BRANCHING)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
         chosen = large.select("leaf", "sid", branches.alias("branch")).withColumn("at", F.pmod(F.xxhash64("leaf", "branch"), F.lit(COORDINATES)).cast("int"))
-        nodes = chosen.join(sets.select("sid", "size", "mins"), "sid").select("sid", "size", F.xxhash64("leaf", "branch", F.get("mins", F.col("at"))).alias("leaf")).distinct()
+        nodes = chosen.join(split.drop("n"), "sid").select("sid", "size", F.xxhash64("leaf", "branch", F.get("mins", F.col("at"))).alias("leaf")).distinct()
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

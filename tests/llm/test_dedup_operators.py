@@ -138,6 +138,7 @@ def linked(rows):
 def test_chosen_path_join_loses_no_link(spark, monkeypatch, bucket, tile, shingles_):
     monkeypatch.setattr(ngram_join, "TILE_SHINGLES", shingles_)
     monkeypatch.setattr(ngram_join, "BUCKET", bucket)
+    monkeypatch.setattr(ngram_join, "LEAF", bucket)
     monkeypatch.setattr(ngram_join, "TILE", tile)
     rnd = random.Random(5)
     words = [f"w{k}" for k in range(400)]
@@ -161,8 +162,10 @@ def test_chosen_path_join_loses_no_link(spark, monkeypatch, bucket, tile, shingl
     assert got == linked(rows)
 
 
-def test_crowd_loses_no_link(spark):
-    """More different sets than BUCKET, nearly all of whose pairs have a similarity of 0.80 to 0.85."""
+@pytest.mark.parametrize("leaf", [256, 4096])
+def test_crowd_loses_no_link(spark, monkeypatch, leaf):
+    """More different sets than BUCKET, nearly all of whose pairs have a similarity of 0.80 to 0.85, in split nodes and in tiles."""
+    monkeypatch.setattr(ngram_join, "LEAF", leaf)
     rnd = random.Random(6)
     base = [f"w{k}" for k in range(300)]
     docs = []
@@ -185,7 +188,7 @@ def test_crowd_loses_no_link(spark):
 
 
 def test_chance_of_a_missed_link():
-    assert ngram_join.missed(ngram_join.CROWD_RUNS, ngram_join.DEPTH) < 1e-6 and ngram_join.missed(ngram_join.RUNS, 1) < 1e-6
+    assert ngram_join.missed(ngram_join.CROWD_RUNS, ngram_join.DEPTH) < 1e-6 and 0.2 ** (ngram_join.RUNS - ngram_join.SPARE) < 1e-6
 
 
 def test_join_of_nothing(spark):
