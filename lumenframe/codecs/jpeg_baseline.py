@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from lumenframe.codecs.jpeg_lossless import Bits, Image, entropy_end, huffman
+from lumenframe.codecs.jpeg_lossless import Bits, Image, entropy_end, expect, huffman
 from lumenframe.codecs.rle import FrameError
 
 _k = np.arange(8)
@@ -66,8 +66,8 @@ def block(bits: Bits, dc: dict, ac: dict, plane: Plane) -> np.ndarray:
     return out
 
 
-def decode(data: bytes) -> Image:
-    """Samples of one frame: grey, or RGB whatever the stream's own subsampling."""
+def decode(data: bytes, size: tuple[int, int, int] | None = None) -> Image:
+    """Samples of one frame: grey, or RGB whatever the stream's own subsampling; size as in jpeg_lossless."""
     if data[:2] != b"\xff\xd8":
         raise FrameError("unsupportedPixelFormat")
     at, quant, tables, frame, restart, transform = 2, {}, {}, None, 0, None
@@ -86,21 +86,32 @@ def decode(data: bytes) -> Image:
         if marker == 0xDB:
             while body:
                 wide, n = body[0] >> 4, body[0] & 15
-                size = 128 if wide else 64
+                length = 128 if wide else 64
+                if len(body) < 1 + length:
+                    raise FrameError("truncatedPixelData")
                 table = np.zeros(64)
-                table[ORDER] = np.frombuffer(body[1 : 1 + size], ">u2" if wide else np.uint8)
-                quant[n], body = table, body[1 + size :]
+                table[ORDER] = np.frombuffer(body[1 : 1 + length], ">u2" if wide else np.uint8)
+                quant[n], body = table, body[1 + length :]
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
+                if len(body) < 17 + n:
+                    raise FrameError("truncatedPixelData")
                 tables[body[0]] = huffman(body[1:17], body[17 : 17 + n])
                 body = body[17 + n :]
         elif marker in (0xC0, 0xC1):
+            if len(body) < 6 or len(body) != 6 + 3 * body[5]:
+                raise FrameError("truncatedPixelData")
             precision, rows, columns, n = struct.unpack_from(">BHHB", body)
             if precision != 8 or not rows or not columns or n not in (1, 3):
                 raise FrameError("unsupportedPixelFormat")
+            expect((rows, columns, n), size)
+            if not all(1 <= body[7 + 3 * k] >> 4 <= 4 and 1 <= body[7 + 3 * k] & 15 <= 4 for k in range(n)):
+                raise FrameError("unsupportedPixelFormat")
             frame = rows, columns, [Plane(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)]
         elif marker == 0xDD:
+            if len(body) != 2:
+                raise FrameError("truncatedPixelData")
             restart = struct.unpack(">H", body)[0]
         elif marker == 0xEE and body[:5] == b"Adobe" and len(body) >= 12:
             transform = body[11]
@@ -108,7 +119,7 @@ def decode(data: bytes) -> Image:
             if frame is None:
                 raise FrameError("unsupportedPixelFormat")
             rows, columns, planes = frame
-            if body[0] != len(planes):
+            if not body or body[0] != len(planes) or len(body) < 1 + 2 * len(planes):
                 raise FrameError("unsupportedPixelFormat")
             for k in range(body[0]):
                 plane = next((p for p in planes if p.id == body[1 + 2 * k]), None)
@@ -135,7 +146,7 @@ def scan(data: bytes, at: int, rows: int, columns: int, planes: list[Plane], tab
     bits = Bits(data[at:end])
     for unit in range(down * across):
         if restart and unit and unit % restart == 0:
-            if data[end + 1] != 0xD0 + (unit // restart - 1) % 8:
+            if end + 1 >= len(data) or data[end + 1] != 0xD0 + (unit // restart - 1) % 8:
                 raise FrameError("truncatedPixelData")
             at, end = end + 2, entropy_end(data, end + 2)
             bits = Bits(data[at:end])
@@ -161,3 +172,64 @@ def assembled(rows: int, columns: int, planes: list[Plane], quant: dict, transfo
         full = [y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)]
     samples = np.clip(np.floor(np.stack(full, axis=2) + 0.5), 0, 255).astype(np.int64)
     return Image(samples, rows, columns, 8, len(full))
+
+
+def encode(planes: list[np.ndarray], sampling: list[tuple[int, int]], rows: int, columns: int, adobe: int | None = None, restart: int = 0) -> bytes:
+    """A baseline stream with quantisers of one, DC codes of four bits and AC codes of eight; planes are at their own size."""
+    high, wide = max(v for _, v in sampling), max(h for h, _ in sampling)
+    if len(planes) == 1:
+        sampling, high, wide = [(1, 1)], 1, 1
+    down, across = -(-rows // (8 * high)), -(-columns // (8 * wide))
+    symbols = [(r << 4) | s for r in range(16) for s in range(1, 11)] + [0x00, 0xF0]
+    out = bytearray(b"\xff\xd8\xff\xdb\x00\x43\x00" + b"\1" * 64)
+    out += b"\xff\xc0" + struct.pack(">HBHHB", 8 + 3 * len(planes), 8, rows, columns, len(planes))
+    out += b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v) in enumerate(sampling))
+    out += b"\xff\xc4" + struct.pack(">H", 19 + 12) + b"\0" + bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12))
+    out += b"\xff\xc4" + struct.pack(">H", 19 + 162) + b"\x10" + bytes([0] * 7 + [162] + [0] * 8) + bytes(symbols)
+    if restart:
+        out += b"\xff\xdd" + struct.pack(">HH", 4, restart)
+    if adobe is not None:
+        out += b"\xff\xee\x00\x0eAdobe\x00\x64\x00\x00\x00\x00" + bytes([adobe])
+    out += b"\xff\xda" + struct.pack(">HB", 6 + 2 * len(planes), len(planes)) + b"".join(bytes([k + 1, 0]) for k in range(len(planes))) + b"\0\x3f\0"
+    padded = [np.pad(p, ((0, down * 8 * v - p.shape[0]), (0, across * 8 * h - p.shape[1])), mode="edge") for p, (h, v) in zip(planes, sampling, strict=True)]
+    last, word = [0] * len(planes), []
+
+    def number(x: int) -> tuple[int, str]:
+        size = abs(x).bit_length()
+        return size, f"{x if x > 0 else x + (1 << size) - 1:0{size}b}" if size else ""
+
+    def flush() -> None:
+        text = "".join(word)
+        text += "1" * (-len(text) % 8)
+        out.extend(b"".join(bytes([b]) + (b"\0" if b == 255 else b"") for b in (int(text[i : i + 8], 2) for i in range(0, len(text), 8))))
+        word.clear()
+
+    for unit in range(down * across):
+        if restart and unit and unit % restart == 0:
+            flush()
+            out.extend(bytes([255, 0xD0 + (unit // restart - 1) % 8]))
+            last = [0] * len(planes)
+        y, x = divmod(unit, across)
+        for k, (h, v) in enumerate(sampling):
+            for r in range(v):
+                for c in range(h):
+                    a, b = (y * v + r) * 8, (x * h + c) * 8
+                    freq = np.rint(BASIS @ (padded[k][a : a + 8, b : b + 8] - 128.0) @ BASIS.T).astype(int).reshape(64)[ORDER]
+                    size, bits = number(int(freq[0]) - last[k])
+                    last[k] = int(freq[0])
+                    word.append(f"{size:04b}{bits}")
+                    run = 0
+                    for f in freq[1:].tolist():
+                        if not f:
+                            run += 1
+                            continue
+                        while run > 15:
+                            word.append(f"{symbols.index(0xF0):08b}")
+                            run -= 16
+                        size, bits = number(f)
+                        word.append(f"{symbols.index(run << 4 | size):08b}{bits}")
+                        run = 0
+                    if run:
+                        word.append(f"{symbols.index(0):08b}")
+    flush()
+    return bytes(out) + b"\xff\xd9"

@@ -87,7 +87,14 @@ class Image:
         return self.samples.astype("<u2" if self.precision > 8 else np.uint8).tobytes()
 
 
-def decode(data: bytes) -> Image:
+def expect(have: tuple[int, int, int], size: tuple[int, int, int] | None) -> None:
+    """The stream's own rows, columns and components must be the file's, before any memory is taken for them."""
+    if size is not None and have != size:
+        raise FrameError("invalidImageAttributes")
+
+
+def decode(data: bytes, size: tuple[int, int, int] | None = None) -> Image:
+    """Samples of one frame; size is (rows, columns, components) that the stream must have."""
     if data[:2] != b"\xff\xd8":
         raise FrameError("unsupportedPixelFormat")
     at, tables, frame, restart = 2, {}, None, 0
@@ -107,14 +114,25 @@ def decode(data: bytes) -> Image:
             while body:
                 counts, kind = body[1:17], body[0]
                 n = sum(counts)
-                tables[kind & 15] = huffman(counts, body[17 : 17 + n])
+                if len(body) < 17 + n:
+                    raise FrameError("truncatedPixelData")
+                if kind > 3 or n > 17:  # tables of class 0 only, one for each category at most
+                    raise FrameError("unsupportedPixelFormat")
+                tables[kind] = huffman(counts, body[17 : 17 + n])
                 body = body[17 + n :]
         elif marker == 0xC3:
+            if frame is not None or len(body) < 6 or len(body) != 6 + 3 * body[5]:
+                raise FrameError("truncatedPixelData")
             precision, rows, columns, n = struct.unpack_from(">BHHB", body)
-            if not (2 <= precision <= 16 and rows and columns and len(body) >= 6 + 3 * n):
+            # No subsampling and no quantisation table in this process.
+            plain = all(body[7 + 3 * k] == 0x11 and not body[8 + 3 * k] for k in range(n))
+            if not (2 <= precision <= 16 and rows and columns and 1 <= n <= 4 and plain):
                 raise FrameError("unsupportedPixelFormat")
+            expect((rows, columns, n), size)
             frame = (precision, rows, columns, [Component(body[6 + 3 * k]) for k in range(n)])
         elif marker == 0xDD:
+            if len(body) != 2:
+                raise FrameError("truncatedPixelData")
             restart = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
             if frame is None:
@@ -126,8 +144,10 @@ def decode(data: bytes) -> Image:
 
 def scan(data: bytes, at: int, head: bytes, frame, tables, restart: int) -> Image:
     precision, rows, columns, components = frame
-    n = head[0]
-    if n != len(components) or len(head) < 4 + 2 * n:
+    n = head[0] if head else 0
+    if n != len(components) or len(head) != 4 + 2 * n:
+        raise FrameError("unsupportedPixelFormat")
+    if any(head[2 + 2 * k] & 15 for k in range(n)) or head[2 + 2 * n] or head[3 + 2 * n] >> 4:
         raise FrameError("unsupportedPixelFormat")
     by_id = {head[1 + 2 * k]: head[2 + 2 * k] >> 4 for k in range(n)}
     try:
@@ -146,7 +166,7 @@ def scan(data: bytes, at: int, head: bytes, frame, tables, restart: int) -> Imag
         above, line = lines[(y + 1) % 2], lines[y % 2]
         for x in range(columns):
             if restart and not left:
-                if data[end + 1] != 0xD0 + marker % 8:
+                if end + 1 >= len(data) or data[end + 1] != 0xD0 + marker % 8:
                     raise FrameError("truncatedPixelData")
                 at, marker = end + 2, marker + 1
                 end = entropy_end(data, at)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from lumenframe.codecs.jpeg_lossless import Image
+from lumenframe.codecs.jpeg_lossless import expect, Image
 from lumenframe.codecs.rle import FrameError
 
 #: Run-length orders of T.87 A.7.1.1.
@@ -203,8 +203,8 @@ class Scan:
         return run_index
 
 
-def decode(data: bytes) -> Image:
-    """Samples of a JPEG-LS stream, interleaved by pixel whatever the stream's own order."""
+def decode(data: bytes, size: tuple[int, int, int] | None = None) -> Image:
+    """Samples of a JPEG-LS stream, interleaved by pixel whatever the stream's own order; size as in jpeg_lossless."""
     if data[:2] != b"\xff\xd8":
         raise FrameError("unsupportedPixelFormat")
     at, frame, preset, planes, near = 2, None, None, {}, 0
@@ -214,23 +214,30 @@ def decode(data: bytes) -> Image:
         marker = data[at + 1]
         if marker == 0xD9:
             break
+        if at + 4 > len(data):
+            raise FrameError("truncatedPixelData")
         length = struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + length]
         if len(body) != length - 2:
             raise FrameError("truncatedPixelData")
         at += 2 + length
         if marker == 0xF7:
+            if len(body) < 6 or len(body) != 6 + 3 * body[5]:
+                raise FrameError("truncatedPixelData")
             precision, rows, columns, n = struct.unpack_from(">BHHB", body)
             if not (2 <= precision <= 16 and rows and columns and n):
                 raise FrameError("unsupportedPixelFormat")
+            expect((rows, columns, n), size)
             frame = (precision, rows, columns, [body[6 + 3 * k] for k in range(n)])
-        elif marker == 0xF8 and body[:1] == b"\1":
+        elif marker == 0xF8 and body[:1] == b"\1" and len(body) >= 11:
             preset = struct.unpack_from(">5H", body, 1)
         elif marker == 0xDA:
             if frame is None:
                 raise FrameError("unsupportedPixelFormat")
             precision, rows, columns, ids = frame
-            count = body[0]
+            count = body[0] if body else 0
+            if not count or len(body) < 3 + 2 * count or any(body[1 + 2 * k] not in ids for k in range(count)):
+                raise FrameError("unsupportedPixelFormat")
             near, interleave = body[1 + 2 * count], body[2 + 2 * count]
             maximum = (preset[0] if preset and preset[0] else (1 << precision) - 1)
             t = defaults(maximum, near)

@@ -7,6 +7,7 @@ work in Arrow batches without a shuffle; the arithmetic for whole tables of samp
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -207,27 +208,37 @@ class Decoded:
 
 
 def decoded_frame(kind: str, fragments: list[bytes], rows: int, columns: int, samples: int, allocated: int, stored: int | None, photometric: str) -> Decoded:
-    """One compressed frame as native samples; raises FrameError where stream and attributes disagree."""
+    """One compressed frame as native samples; raises FrameError where stream and attributes disagree, and for any stream that cannot be read."""
+    if min(rows, columns, samples, allocated) <= 0:
+        raise FrameError("invalidImageAttributes")
+    try:
+        return read_frame(kind, fragments, rows, columns, samples, allocated, stored, photometric)
+    except FrameError:
+        raise
+    except (ArithmeticError, LookupError, ValueError, struct.error) as e:
+        raise FrameError("truncatedPixelData") from e
+
+
+def read_frame(kind: str, fragments: list[bytes], rows: int, columns: int, samples: int, allocated: int, stored: int | None, photometric: str) -> Decoded:
+    size = (rows, columns, samples)
     if kind == "rle":
         if (samples, allocated, photometric) not in {(1, 8, "MONOCHROME1"), (1, 8, "MONOCHROME2"), (1, 16, "MONOCHROME1"), (1, 16, "MONOCHROME2"), (3, 8, "RGB"), (3, 16, "RGB")}:
             raise FrameError("unsupportedPixelFormat")
         return Decoded(rle.decode(fragments, rows * columns, samples, allocated // 8))
     if kind in ("jpeg_lossless", "jpeg_lossless_sv1"):
-        image = jpeg_lossless.decode(b"".join(fragments))
+        image = jpeg_lossless.decode(b"".join(fragments), size)
         if kind == "jpeg_lossless_sv1" and image.predictor != 1:
             raise FrameError("unsupportedPixelFormat")
     elif kind == "jpeg_baseline":
-        image = jpeg_baseline.decode(b"".join(fragments))
+        image = jpeg_baseline.decode(b"".join(fragments), size)
         if image.components == 1 and photometric not in ("MONOCHROME1", "MONOCHROME2"):
             raise FrameError("unsupportedPixelFormat")
     elif kind in ("jpeg_ls", "jpeg_ls_near"):
-        image = jpeg_ls.decode(b"".join(fragments))
+        image = jpeg_ls.decode(b"".join(fragments), size)
         if kind == "jpeg_ls" and image.predictor:
             raise FrameError("unsupportedPixelFormat")
     else:
         raise FrameError("unsupportedCodec")
-    if (image.rows, image.columns, image.components) != (rows, columns, samples):
-        raise FrameError("invalidImageAttributes")
     if stored is not None and stored != image.precision or (8 if image.precision <= 8 else 16) != allocated:
         raise FrameError("unsupportedPixelFormat")
     # The baseline decoder turns the stream's own colour space to RGB.
@@ -267,6 +278,7 @@ def resolved(ds: DataSet, syntax: str) -> list[dict]:
         size = rows * columns * samples * (allocated // 8)
         if photometric == "YBR_FULL_422":  # two pixels share their chroma
             size = rows * columns * 2
+        # Python's numbers do not overflow: what does not fit the value is found here, before anything is allocated.
         if not size or len(pixel.value) < size * frames:
             raise FrameError("truncatedPixelData")
         pixels = [Decoded(pixel.value[k * size : (k + 1) * size]) for k in range(frames)]
@@ -496,6 +508,31 @@ def float_frames(decoded: DataFrame) -> DataFrame:
     return decoded.where("status = 'ok'").select("file_id", "elements").mapInArrow(run, out)
 
 
+def cube(raw: bytes, f: dict) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if f["bits_allocated"] > 8 else np.uint8).reshape(f["rows"], f["columns"], f["samples_per_pixel"])
+
+
+ENCODERS = {
+    "rle": lambda raw, f: rle.encode(raw, f["samples_per_pixel"], f["bits_allocated"] // 8),
+    "jpeg_lossless": lambda raw, f: jpeg_lossless.encode(cube(raw, f), f["bits_stored"]),
+    "jpeg_baseline": lambda raw, f: jpeg_baseline.encode([p for p in np.moveaxis(cube(raw, f), 2, 0)], [(1, 1)] * f["samples_per_pixel"], f["rows"], f["columns"], adobe=0),
+}
+
+
+def compressed(frames: DataFrame, kind: str) -> DataFrame:
+    """(file_id, frame_index, fragment): native frames as streams of one of ENCODERS, ready for encapsulated pixel data."""
+    own = ENCODERS[kind]
+    schema = pa.schema([("file_id", pa.string()), ("frame_index", pa.int32()), ("fragment", pa.binary())])
+    needed = ["file_id", "frame_index", "rows", "columns", "samples_per_pixel", "bits_allocated", "bits_stored", "value"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{"file_id": f["file_id"], "frame_index": f["frame_index"], "fragment": own(f["value"], f)} for f in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return frames.where("status = 'ok'").select(*needed).mapInArrow(run, "file_id string, frame_index int, fragment binary")
+
+
 def frame_ranges(fragment_offsets: Column, starts: Column) -> Column:
     """Per frame the indexes [first, last) of its fragments, as an array; NULL where the table is not valid.
 

@@ -5,6 +5,7 @@ import pytest
 
 from lumenframe.codecs import jpeg_baseline, jpeg_lossless, jpeg_ls, rle
 from lumenframe.codecs.rle import FrameError
+from lumenframe.operators import frames
 
 # JPEG-LS streams of the CharLS test corpus (BSD-3-Clause) or made with its encoder, and their samples.
 STREAMS = {
@@ -75,83 +76,66 @@ def test_rle_rejects(broken):
         rle.decode([broken], 4, 1, 1)
 
 
-def baseline_stream(planes: list[np.ndarray], sampling: list[tuple[int, int]], rows: int, columns: int, adobe: int | None = None, restart: int = 0) -> bytes:
-    """A baseline stream with quantisers of one, DC codes of four bits and AC codes of eight; planes are at their own size."""
-    import struct
-
-    high, wide = max(v for _, v in sampling), max(h for h, _ in sampling)
-    if len(planes) == 1:
-        sampling, high, wide = [(1, 1)], 1, 1
-    down, across = -(-rows // (8 * high)), -(-columns // (8 * wide))
-    symbols = [(r << 4) | s for r in range(16) for s in range(1, 11)] + [0x00, 0xF0]
-    out = bytearray(b"\xff\xd8\xff\xdb\x00\x43\x00" + b"\1" * 64)
-    out += b"\xff\xc0" + struct.pack(">HBHHB", 8 + 3 * len(planes), 8, rows, columns, len(planes))
-    out += b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v) in enumerate(sampling))
-    out += b"\xff\xc4" + struct.pack(">H", 19 + 12) + b"\0" + bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12))
-    out += b"\xff\xc4" + struct.pack(">H", 19 + 162) + b"\x10" + bytes([0] * 7 + [162] + [0] * 8) + bytes(symbols)
-    if restart:
-        out += b"\xff\xdd" + struct.pack(">HH", 4, restart)
-    if adobe is not None:
-        out += b"\xff\xee\x00\x0eAdobe\x00\x64\x00\x00\x00\x00" + bytes([adobe])
-    out += b"\xff\xda" + struct.pack(">HB", 6 + 2 * len(planes), len(planes)) + b"".join(bytes([k + 1, 0]) for k in range(len(planes))) + b"\0\x3f\0"
-    padded = [np.pad(p, ((0, down * 8 * v - p.shape[0]), (0, across * 8 * h - p.shape[1])), mode="edge") for p, (h, v) in zip(planes, sampling, strict=True)]
-    last, word = [0] * len(planes), []
-
-    def number(x: int) -> tuple[int, str]:
-        size = abs(x).bit_length()
-        return size, f"{x if x > 0 else x + (1 << size) - 1:0{size}b}" if size else ""
-
-    def flush() -> None:
-        text = "".join(word)
-        text += "1" * (-len(text) % 8)
-        out.extend(b"".join(bytes([b]) + (b"\0" if b == 255 else b"") for b in (int(text[i : i + 8], 2) for i in range(0, len(text), 8))))
-        word.clear()
-
-    for unit in range(down * across):
-        if restart and unit and unit % restart == 0:
-            flush()
-            out.extend(bytes([255, 0xD0 + (unit // restart - 1) % 8]))
-            last = [0] * len(planes)
-        y, x = divmod(unit, across)
-        for k, (h, v) in enumerate(sampling):
-            for r in range(v):
-                for c in range(h):
-                    a, b = (y * v + r) * 8, (x * h + c) * 8
-                    freq = np.rint(jpeg_baseline.BASIS @ (padded[k][a : a + 8, b : b + 8] - 128.0) @ jpeg_baseline.BASIS.T).astype(int).reshape(64)[jpeg_baseline.ORDER]
-                    size, bits = number(int(freq[0]) - last[k])
-                    last[k] = int(freq[0])
-                    word.append(f"{size:04b}{bits}")
-                    run = 0
-                    for f in freq[1:].tolist():
-                        if not f:
-                            run += 1
-                            continue
-                        while run > 15:
-                            word.append(f"{symbols.index(0xF0):08b}")
-                            run -= 16
-                        size, bits = number(f)
-                        word.append(f"{symbols.index(run << 4 | size):08b}{bits}")
-                        run = 0
-                    if run:
-                        word.append(f"{symbols.index(0):08b}")
-    flush()
-    return bytes(out) + b"\xff\xd9"
-
-
 @pytest.mark.parametrize("restart", [0, 3])
 def test_jpeg_baseline_grey(restart):
     samples = np.random.default_rng(1).integers(0, 256, (19, 21))
-    image = jpeg_baseline.decode(baseline_stream([samples], [(1, 1)], 19, 21, restart=restart))
+    image = jpeg_baseline.decode(jpeg_baseline.encode([samples], [(1, 1)], 19, 21, restart=restart))
     assert (image.rows, image.columns, image.components) == (19, 21, 1) and np.abs(image.samples[:, :, 0] - samples).max() <= 2
 
 
 def test_jpeg_baseline_colour():
     r = np.random.default_rng(2)
     rgb = r.integers(0, 256, (16, 24, 3))
-    image = jpeg_baseline.decode(baseline_stream([rgb[:, :, k] for k in range(3)], [(1, 1)] * 3, 16, 24, adobe=0))
+    image = jpeg_baseline.decode(jpeg_baseline.encode([rgb[:, :, k] for k in range(3)], [(1, 1)] * 3, 16, 24, adobe=0))
     assert np.abs(image.samples - rgb).max() <= 2
     grey, half = r.integers(0, 256, (20, 20)), np.full((10, 10), 128)
-    image = jpeg_baseline.decode(baseline_stream([grey, half, half], [(2, 2), (1, 1), (1, 1)], 20, 20))
+    image = jpeg_baseline.decode(jpeg_baseline.encode([grey, half, half], [(2, 2), (1, 1), (1, 1)], 20, 20))
     assert np.abs(image.samples - grey[:, :, None]).max() <= 2
     with pytest.raises(FrameError):
-        jpeg_baseline.decode(baseline_stream([grey], [(1, 1)], 20, 20)[:-30])
+        jpeg_baseline.decode(jpeg_baseline.encode([grey], [(1, 1)], 20, 20)[:-30])
+
+
+def fuzz_cases():
+    r = np.random.default_rng(5)
+    grey, rgb = r.integers(0, 256, (9, 11)), r.integers(0, 256, (6, 7, 3))
+    yield "jpeg_lossless", jpeg_lossless.encode(grey, 8), (9, 11, 1)
+    yield "jpeg_lossless", jpeg_lossless.encode(rgb, 8, 4, 0, 5), (6, 7, 3)
+    yield "jpeg_baseline", jpeg_baseline.encode([grey], [(1, 1)], 9, 11, restart=1), (9, 11, 1)
+    yield "jpeg_baseline", jpeg_baseline.encode([grey, grey[:5, :6], grey[:5, :6]], [(2, 2), (1, 1), (1, 1)], 9, 11), (9, 11, 3)
+    yield "jpeg_ls", bytes.fromhex(STREAMS["by_plane"][0]), (2, 2, 3)
+    yield "jpeg_ls", bytes.fromhex(STREAMS["by_line"][0]), (2, 2, 3)
+    yield "rle", rle.encode(grey.astype(np.uint8).tobytes(), 1, 1), (9, 11, 1)
+
+
+@pytest.mark.parametrize("case", range(7))
+def test_broken_streams_are_frame_errors(case):
+    """Whatever is wrong with a stream is a FrameError, which becomes a row's status, and takes no memory beyond the frame's."""
+    kind, stream, (rows, columns, samples) = list(fuzz_cases())[case]
+    photometric = "RGB" if samples == 3 else "MONOCHROME2"
+    r = np.random.default_rng(case)
+    read = lambda data: frames.decoded_frame(kind, [data], rows, columns, samples, 8, None, photometric)
+    read(stream)
+    failed = 0
+    for _ in range(400):
+        broken = bytearray(stream)
+        for _ in range(r.integers(1, 4)):
+            broken[r.integers(0, len(broken))] = r.integers(0, 256)
+        if r.random() < 0.3:
+            broken = broken[: r.integers(0, len(broken))]
+        try:
+            read(bytes(broken))
+        except FrameError:
+            failed += 1
+    assert failed > 20
+
+
+def test_jpeg_lossless_headers():
+    stream = bytearray(jpeg_lossless.encode(np.arange(12).reshape(3, 4), 8))
+    frame, table, scan = stream.index(b"\xff\xc3"), stream.index(b"\xff\xc4"), stream.index(b"\xff\xda")
+    for at, value in ((frame + 11, 0x21), (frame + 12, 1), (table + 4, 0x10), (scan + 6, 0x01), (scan + 8, 1), (scan + 9, 0x10)):
+        broken = bytearray(stream)
+        broken[at] = value
+        with pytest.raises(FrameError, match="unsupportedPixelFormat"):
+            jpeg_lossless.decode(bytes(broken))
+    with pytest.raises(FrameError, match="invalidImageAttributes"):
+        jpeg_lossless.decode(bytes(stream), (3, 5, 1))
