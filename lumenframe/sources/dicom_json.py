@@ -77,7 +77,7 @@ def from_json(raw: dict, bulk: Callable[[str], bytes] | None = None) -> dict[int
         raise JSONError("not an object")
     out = {}
     for key, body in raw.items():
-        if not KEY.fullmatch(key) or not isinstance(body, dict) or body.get("vr") not in VRS:
+        if not KEY.fullmatch(key) or not isinstance(body, dict) or not isinstance(body.get("vr"), str) or body["vr"] not in VRS:
             raise JSONError(f"not an element: {key}")
         given = [k for k in ("Value", "InlineBinary", "BulkDataURI") if body.get(k) is not None]
         if len(given) > 1:
@@ -88,6 +88,8 @@ def from_json(raw: dict, bulk: Callable[[str], bytes] | None = None) -> dict[int
 
 
 def element_of(tag: int, vr: str, body: dict, bulk: Callable[[str], bytes] | None) -> Element:
+    if not isinstance(body.get("Value", []), (list, type(None))) or not isinstance(body.get("BulkDataURI", ""), (str, type(None))):
+        raise JSONError("not a list of values, or no reference")
     if body.get("BulkDataURI") is not None:
         if bulk is None:
             raise JSONError("a bulk data reference without a resolver")
@@ -131,6 +133,8 @@ def joined(vr: str, values: list) -> bytes:
             if not isinstance(v, dict) or not any(v.get(g) is not None for g in GROUPS):
                 raise JSONError("not a person name")
             own = [v.get(g) for g in GROUPS]
+            if not all(x is None or isinstance(x, str) for x in own):
+                raise JSONError("not a person name")
             last = max(k for k, x in enumerate(own) if x is not None)
             parts.append("=".join(x or "" for x in own[: last + 1]))
         return "\\".join(parts).encode()
@@ -192,7 +196,8 @@ def read_json(texts: DataFrame, id_col: str = "file_id", json_col: str = "json",
 
         try:
             row["elements"] = flattened(from_json(json.loads(text or ""), fetch if content is not None else None), [], [])
-        except (JSONError, json.JSONDecodeError, RecursionError) as e:
+        except (JSONError, RecursionError, ArithmeticError, AttributeError, LookupError, TypeError, ValueError, struct.error) as e:
+            # Whatever types the text has where others are meant, the file is a row with an error.
             row |= {"status": "error", "error_kind": "invalidDICOMJSON", "error_detail": str(e)}
         return row
 
