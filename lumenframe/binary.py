@@ -11,7 +11,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from lumenframe.model import BUILT_IN_VRS, EXPLICIT_LE, ITEM, ITEM_END, LONG_VRS, SEQUENCE_END, SWAP_WIDTH, TAG, TRANSFER_SYNTAXES, UNDEFINED, VRS, tag_text
+from lumenframe.model import BUILT_IN_VRS, EXPLICIT_LE, ITEM, ITEM_END, LONG_VRS, SEQUENCE_END, SWAP_WIDTH, TAG, TRANSFER_SYNTAXES, UNDEFINED, VRS, ruled_vr, tag_text
 
 PIXEL_DATA, TRANSFER_SYNTAX_UID = TAG["PixelData"], TAG["TransferSyntaxUID"]
 
@@ -122,7 +122,7 @@ class Decoder:
         tag = self.tag()
         if not self.explicit:
             length = self.number("I")
-            return tag, self.vrs.get(tag) or ("SQ" if length == UNDEFINED else "UN"), length
+            return tag, self.vrs.get(tag) or ruled_vr(tag) or ("SQ" if length == UNDEFINED else "UN"), length
         raw = self.take(2)
         vr = raw.decode("ascii", "replace")
         if vr not in VRS:

@@ -70,7 +70,7 @@ SOP_CLASSES = {
     "ophthalmic_photo_8bit": ("1.2.840.10008.5.1.4.1.1.77.1.5.1", True),
 }
 
-# Attributes that the operators use (PS3.6): keyword, tag, VR.
+# Attributes that the operators use and the most common others (PS3.6): keyword, tag, VR.
 ATTRIBUTES = {
     "FileMetaInformationGroupLength": (0x00020000, "UL"),
     "FileMetaInformationVersion": (0x00020001, "OB"),
@@ -93,26 +93,40 @@ ATTRIBUTES = {
     "SOPClassUID": (0x00080016, "UI"),
     "SOPInstanceUID": (0x00080018, "UI"),
     "StudyDate": (0x00080020, "DA"),
+    "SeriesDate": (0x00080021, "DA"),
+    "AcquisitionDate": (0x00080022, "DA"),
     "ContentDate": (0x00080023, "DA"),
     "AcquisitionDateTime": (0x0008002A, "DT"),
     "StudyTime": (0x00080030, "TM"),
+    "SeriesTime": (0x00080031, "TM"),
+    "AcquisitionTime": (0x00080032, "TM"),
     "ContentTime": (0x00080033, "TM"),
     "AccessionNumber": (0x00080050, "SH"),
     "Modality": (0x00080060, "CS"),
+    "ConversionType": (0x00080064, "CS"),
+    "Manufacturer": (0x00080070, "LO"),
     "InstitutionName": (0x00080080, "LO"),
     "ReferringPhysicianName": (0x00080090, "PN"),
+    "CodeValue": (0x00080100, "SH"),
+    "CodingSchemeDesignator": (0x00080102, "SH"),
+    "CodeMeaning": (0x00080104, "LO"),
+    "StationName": (0x00081010, "SH"),
     "StudyDescription": (0x00081030, "LO"),
+    "ProcedureCodeSequence": (0x00081032, "SQ"),
     "SeriesDescription": (0x0008103E, "LO"),
     "PhysiciansOfRecord": (0x00081048, "PN"),
     "PerformingPhysicianName": (0x00081050, "PN"),
     "NameOfPhysiciansReadingStudy": (0x00081060, "PN"),
     "OperatorsName": (0x00081070, "PN"),
+    "ManufacturerModelName": (0x00081090, "LO"),
     "ReferencedStudySequence": (0x00081110, "SQ"),
     "ReferencedSeriesSequence": (0x00081115, "SQ"),
     "ReferencedImageSequence": (0x00081140, "SQ"),
     "ReferencedSOPClassUID": (0x00081150, "UI"),
     "ReferencedSOPInstanceUID": (0x00081155, "UI"),
     "ReferencedFrameNumber": (0x00081160, "IS"),
+    "DerivationDescription": (0x00082111, "ST"),
+    "SourceImageSequence": (0x00082112, "SQ"),
     "StartTrim": (0x00082142, "IS"),
     "StopTrim": (0x00082143, "IS"),
     "RecommendedDisplayFrameRate": (0x00082144, "IS"),
@@ -124,11 +138,17 @@ ATTRIBUTES = {
     "OtherPatientIDs": (0x00101000, "LO"),
     "OtherPatientNames": (0x00101001, "PN"),
     "PatientAge": (0x00101010, "AS"),
+    "PatientSize": (0x00101020, "DS"),
     "PatientWeight": (0x00101030, "DS"),
     "PatientAddress": (0x00101040, "LO"),
     "PatientTelephoneNumbers": (0x00102154, "SH"),
+    "BodyPartExamined": (0x00180015, "CS"),
     "CineRate": (0x00180040, "IS"),
     "SliceThickness": (0x00180050, "DS"),
+    "KVP": (0x00180060, "DS"),
+    "RepetitionTime": (0x00180080, "DS"),
+    "EchoTime": (0x00180081, "DS"),
+    "ProtocolName": (0x00181030, "LO"),
     "FrameTime": (0x00181063, "DS"),
     "FrameTimeVector": (0x00181065, "DS"),
     "ActualFrameDuration": (0x00181242, "IS"),
@@ -147,9 +167,16 @@ ATTRIBUTES = {
     "SeriesInstanceUID": (0x0020000E, "UI"),
     "StudyID": (0x00200010, "SH"),
     "SeriesNumber": (0x00200011, "IS"),
+    "AcquisitionNumber": (0x00200012, "IS"),
     "InstanceNumber": (0x00200013, "IS"),
     "ImagePositionPatient": (0x00200032, "DS"),
     "ImageOrientationPatient": (0x00200037, "DS"),
+    "FrameOfReferenceUID": (0x00200052, "UI"),
+    "SliceLocation": (0x00201041, "DS"),
+    "ImageComments": (0x00204000, "LT"),
+    "FrameContentSequence": (0x00209111, "SQ"),
+    "PlanePositionSequence": (0x00209113, "SQ"),
+    "PlaneOrientationSequence": (0x00209116, "SQ"),
     "SamplesPerPixel": (0x00280002, "US"),
     "PhotometricInterpretation": (0x00280004, "CS"),
     "PlanarConfiguration": (0x00280006, "US"),
@@ -176,6 +203,7 @@ ATTRIBUTES = {
     "GreenPaletteColorLookupTableData": (0x00281202, "OW"),
     "BluePaletteColorLookupTableData": (0x00281203, "OW"),
     "ICCProfile": (0x00282000, "OB"),
+    "LossyImageCompression": (0x00282110, "CS"),
     "ModalityLUTSequence": (0x00283000, "SQ"),
     "LUTDescriptor": (0x00283002, "US"),
     "LUTExplanation": (0x00283003, "LO"),
@@ -183,9 +211,22 @@ ATTRIBUTES = {
     "LUTData": (0x00283006, "OW"),
     "VOILUTSequence": (0x00283010, "SQ"),
     "SoftcopyVOILUTSequence": (0x00283110, "SQ"),
+    "PixelMeasuresSequence": (0x00289110, "SQ"),
+    "FrameVOILUTSequence": (0x00289132, "SQ"),
+    "PixelValueTransformationSequence": (0x00289145, "SQ"),
     "RequestingPhysician": (0x00321032, "PN"),
     "AdmissionID": (0x00380010, "LO"),
     "ScheduledPerformingPhysicianName": (0x00400006, "PN"),
+    "PerformedProcedureStepStartDate": (0x00400244, "DA"),
+    "PerformedProcedureStepStartTime": (0x00400245, "TM"),
+    "RequestAttributesSequence": (0x00400275, "SQ"),
+    "ValueType": (0x0040A040, "CS"),
+    "ConceptNameCodeSequence": (0x0040A043, "SQ"),
+    "TextValue": (0x0040A160, "UT"),
+    "ContentSequence": (0x0040A730, "SQ"),
+    "RadiopharmaceuticalInformationSequence": (0x00540016, "SQ"),
+    "SegmentationType": (0x00620001, "CS"),
+    "SegmentSequence": (0x00620002, "SQ"),
     "GraphicAnnotationSequence": (0x00700001, "SQ"),
     "GraphicLayer": (0x00700002, "CS"),
     "BoundingBoxAnnotationUnits": (0x00700003, "CS"),
@@ -221,8 +262,6 @@ ATTRIBUTES = {
     "PresentationLUTShape": (0x20500020, "CS"),
     "SharedFunctionalGroupsSequence": (0x52009229, "SQ"),
     "PerFrameFunctionalGroupsSequence": (0x52009230, "SQ"),
-    "FrameVOILUTSequence": (0x00289132, "SQ"),
-    "PixelValueTransformationSequence": (0x00289145, "SQ"),
     "ExtendedOffsetTable": (0x7FE00001, "OV"),
     "FloatPixelData": (0x7FE00008, "OF"),
     "DoubleFloatPixelData": (0x7FE00009, "OD"),
@@ -235,6 +274,20 @@ UNDEFINED = 0xFFFFFFFF
 MAX_CHILD = 2**31 - 1
 
 
+#: Elements of the overlay groups 6000 to 60FE (PS3.6).
+OVERLAY_VRS = {0x0010: "US", 0x0011: "US", 0x0015: "IS", 0x0022: "LO", 0x0040: "CS", 0x0045: "LO", 0x0050: "SS", 0x0051: "US", 0x0100: "US", 0x0102: "US", 0x1301: "IS", 0x1302: "DS", 0x1303: "DS", 0x1500: "LO", 0x3000: "OW"}
+
+
+def ruled_vr(tag: int) -> str | None:
+    """The VR of a tag that follows from a rule: group lengths, private creators, repeating overlay groups."""
+    group, number = tag >> 16, tag & 0xFFFF
+    if number == 0:
+        return "UL"
+    if group % 2 and 0x10 <= number <= 0xFF:
+        return "LO"
+    return OVERLAY_VRS.get(number) if 0x6000 <= group <= 0x60FE and not group % 2 else None
+
+
 def tag_text(tag: int) -> str:
     return f"({tag >> 16:04X},{tag & 0xFFFF:04X})"
 
