@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumenframe.functions import values
-from lumenframe.operators.lookup import pivoted
+from lumenframe.operators.lookup import columns_of
 
 
-def instances(elements: DataFrame) -> DataFrame:
-    """One row per file: study_uid, series_uid ('' if missing), sop_uid, instance_number, position, z."""
-    own = pivoted(elements, ["StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID", "InstanceNumber", "ImagePositionPatient"])
+def instances(decoded: DataFrame) -> DataFrame:
+    """One row per decoded file: study_uid, series_uid ('' if missing), sop_uid, instance_number, position, z; no shuffle."""
+    own = columns_of(decoded, ["StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID", "InstanceNumber", "ImagePositionPatient"])
     position = values.decimals("ImagePositionPatient")
     return own.select(
         "file_id",
@@ -28,17 +29,22 @@ ORDER = ("z", "instance_number", "sop_uid")
 
 
 def ordered(own: DataFrame, keys: list[str]) -> DataFrame:
-    """Instances with their place in the series, from 1.
-
-    Places come from sorting each series' array of small structs, so a series is one row after a partial aggregation.
-    """
-    low = lambda c: c.isNull()
-    sort_key = F.struct(low(F.col("z")).alias("a"), F.col("z").alias("b"), low(F.col("instance_number")).alias("c"), F.col("instance_number").alias("d"), F.coalesce("sop_uid", F.lit("")).alias("e"), F.col("file_id").alias("f"))
-    listed = own.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(sort_key.alias("k"), F.struct("file_id", "sop_uid", "instance_number", "z").alias("v")))).alias("all"))
-    return listed.select(*keys, F.posexplode("all").alias("at", "x")).select(*keys, (F.col("at") + 1).alias("place"), "x.v.*")
+    """Instances with their place in the series, from 1: one shuffle of slim rows and a sort that can spill."""
+    order = [*[F.col(c).asc_nulls_last() for c in ORDER[:-1]], F.coalesce(F.col(ORDER[-1]), F.lit("")), F.col("file_id")]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return own.select(*keys, place.alias("place"), "file_id", "sop_uid", "instance_number", "z")
 
 
 def series(own: DataFrame) -> DataFrame:
-    """One row per series: its study's least UID (a label), the number of instances and their UIDs in order."""
+    """One row per series, by UID: the number of its instances and their UIDs in order (NULL ones left out).
+
+    The places' partitioning serves the groups too. Files without a series UID are the series ''.
+    """
     places = ordered(own, ["series_uid"])
-    return places.groupBy("series_uid").agg(F.count(F.lit(1)).alias("n_instances"), F.array_sort(F.collect_list(F.struct("place", "sop_uid"))).alias("own")).select("series_uid", "n_instances", F.col("own.sop_uid").alias("sop_uids"))
+    gathered = places.groupBy("series_uid").agg(F.count(F.lit(1)).alias("n_instances"), F.array_sort(F.collect_list(F.when(F.col("sop_uid").isNotNull(), F.struct("place", "sop_uid")))).alias("own"))
+    return gathered.select("series_uid", "n_instances", F.col("own.sop_uid").alias("sop_uids")).orderBy("series_uid")
+
+
+def first_frames(frames: DataFrame) -> DataFrame:
+    """The first frame of each file."""
+    return frames.where("frame_index = 0")

@@ -10,6 +10,15 @@ from lumenframe.functions import pixels, values
 from lumenframe.model import TAG
 
 
+#: A caller's table goes to all executors as a whole up to this many rows; beyond, it is joined by a shuffle.
+SMALL_ROWS = 100_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """rows with a broadcast hint if they are few, as counted."""
+    return F.broadcast(rows) if rows.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else rows
+
+
 def last_duplicate(elements: DataFrame) -> DataFrame:
     """Of duplicate tags in one data set the last one."""
     own = ["file_id", "is_meta", "path", "tag"]
@@ -24,9 +33,18 @@ def attribute(elements: Column | str, tag: int | str) -> Column:
     return F.when(F.size(own) > 0, F.element_at(own, -1))
 
 
+def columns_of(decoded: DataFrame, names: list[str]) -> DataFrame:
+    """One row per decoded file, also where it has none of them, with a column of bytes for each keyword; no shuffle."""
+    return decoded.where("status = 'ok'").select("file_id", *[attribute("elements", n)["value"].alias(n) for n in names])
+
+
 def pivoted(elements: DataFrame, names: list[str]) -> DataFrame:
-    """One row per file with a column of bytes for each keyword, from top-level elements."""
-    top = elements.where(F.col("depth") == 0).where(F.col("tag").isin([TAG[n] for n in names]))
+    """One row per file with a column of bytes for each keyword, from top-level elements.
+
+    For tables that hold elements as rows already; decoded files have columns_of, which needs no shuffle. Files with
+    elements but none of these have a row of NULLs.
+    """
+    top = elements.where(F.col("depth") == 0)
     picks = [F.max_by(F.when(F.col("tag") == TAG[n], F.col("value")), F.when(F.col("tag") == TAG[n], F.col("ordinal"))).alias(n) for n in names]
     return top.groupBy("file_id").agg(*picks)
 
@@ -38,12 +56,14 @@ def tags_of(elements: DataFrame) -> DataFrame:
 
 
 def with_dictionary(elements: DataFrame, dictionary: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
-    """Elements with keyword and dictionary VR. Dictionaries have one row a public tag, about 5,000, so they are
-    broadcast; a fallback fills what the first leaves open."""
-    out = elements.join(F.broadcast(dictionary.select("tag", "keyword", F.col("vr").alias("dictionary_vr"))), "tag", "left")
+    """Elements with keyword and dictionary VR; a fallback fills what the first leaves open.
+
+    The caller's tables are broadcast if they are small, as counted.
+    """
+    out = elements.join(small(dictionary.select("tag", "keyword", F.col("vr").alias("dictionary_vr"))), "tag", "left")
     if fallback is None:
         return out
-    other = F.broadcast(fallback.select("tag", F.col("keyword").alias("keyword2"), F.col("vr").alias("vr2")))
+    other = small(fallback.select("tag", F.col("keyword").alias("keyword2"), F.col("vr").alias("vr2")))
     return out.join(other, "tag", "left").withColumns({"keyword": F.coalesce("keyword", "keyword2"), "dictionary_vr": F.coalesce("dictionary_vr", "vr2")}).drop("keyword2", "vr2")
 
 

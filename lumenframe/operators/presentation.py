@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.window import Window
 
 from lumenframe import binary
 from lumenframe.dataset import INTEGER, DataSet
 from lumenframe.model import SOP_CLASSES
 from lumenframe.operators.frames import DOUBLE, FRAME, INT, LUT, PRESET, SHUTTER, TEXT, _struct, lut_shape_of, shutter_of, table_of, window_presets
 
+#: References with their VOI are broadcast up to this many bytes of JSON.
+BROADCAST_BYTES = 32 << 20
+
 #: Annotation units and graphic types of PS3.3.
 UNITS = frozenset({"PIXEL", "DISPLAY", "MATRIX"})
 GRAPHIC_TYPES = frozenset({"POINT", "POLYLINE", "INTERPOLATED", "CIRCLE", "ELLIPSE"})
@@ -151,7 +153,9 @@ def apply_states(frames: DataFrame, states: DataFrame) -> DataFrame:
     named = F.filter("softcopy_voi", lambda v: F.array_contains(v["refs"], F.col("sop_instance_uid")))
     general = F.filter("softcopy_voi", lambda v: F.size(v["refs"]) == 0)
     chosen = refs.withColumn("voi", F.coalesce(F.get(named, F.lit(0)), F.get(general, F.lit(0)))).drop("softcopy_voi")
-    joined = frames.where("status = 'ok'").join(chosen, "sop_instance_uid")
+    # Frames carry pixels: while what the states say is small, as measured, it goes to the frames and not the other way round.
+    size = chosen.agg(F.sum(F.length(F.to_json(F.struct(*chosen.columns)))).alias("n")).first()["n"] or 0
+    joined = frames.where("status = 'ok'").join(F.broadcast(chosen) if size <= BROADCAST_BYTES else chosen, "sop_instance_uid")
     preset = F.get(F.col("voi.window_presets"), F.lit(0))
     changed = {
         "window_center": F.coalesce(preset["center"], "window_center"),
@@ -162,8 +166,3 @@ def apply_states(frames: DataFrame, states: DataFrame) -> DataFrame:
         "lut_shape": F.coalesce("s_shape", "image_lut_shape"),
     }
     return joined.select("state_file_id", *[changed[c].alias(c) if c in changed else F.col(c) for c in FRAME.names])
-
-
-def row_number_pick(items: DataFrame, keys: list[str]) -> DataFrame:
-    """The first item by ordinal of each key."""
-    return items.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy("ordinal"))).where("_nth = 1").drop("_nth")

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from lumenframe.operators.lookup import small
+
 # Fixed values of PS3.7/PS3.8.
 APPLICATION_CONTEXT = "1.2.840.10008.3.1.1.1"
 DEFAULT_MAXIMUM = 16384
@@ -336,6 +338,131 @@ def decode_pdus(log: DataFrame, payload: str = "payload") -> DataFrame:
     return log.select(*keys, payload).mapInArrow(run, schema)
 
 
+CONTEXT = "struct<id:int,abstract_syntax:string,transfer_syntaxes:array<string>,result:string,transfer_syntax:string>"
+IDENTITY = "struct<kind:string,primary:binary,secondary:binary,response:boolean>"
+USER = f"struct<maximum:long,implementation_class:string,implementation_version:string,window:struct<invoked:int,performed:int>,roles:array<struct<sop_class:string,scu:boolean,scp:boolean>>,identity:{IDENTITY},identity_response:binary>"
+PDU = f"struct<type:string,called:string,calling:string,application_context:string,contexts:array<{CONTEXT}>,user:{USER},result:int,source:int,reason:int,values:array<struct<context:int,command:boolean,last:boolean,data:binary>>>"
+COMMAND = "struct<command:string,message_id:int,responded_to:int,sop_class:string,sop_instance:string,destination:string,priority:int,status:int,has_data_set:boolean,error_comment:string,remaining:int,completed:int,failed:int,warning:int>"
+
+
+def given(value):
+    """A structure without its NULL fields."""
+    if isinstance(value, dict):
+        return {k: given(v) for k, v in value.items() if v is not None}
+    return [given(v) for v in value] if isinstance(value, list) else value
+
+
+def pdu_bytes(row: dict) -> bytes:
+    own = given(row)
+    if user := own.get("user"):
+        if "window" in user:
+            user["window"] = user["window"]["invoked"], user["window"]["performed"]
+        user["roles"] = [(r["sop_class"], r["scu"], r["scp"]) for r in user.get("roles") or ()]
+    return encode_pdu(own)
+
+
+def pdu_row(raw: bytes) -> dict:
+    own = decode_pdu(raw)
+    if user := own.get("user"):
+        if "window" in user:
+            user["window"] = dict(zip(("invoked", "performed"), user["window"], strict=True))
+        user["roles"] = [dict(zip(("sop_class", "scu", "scp"), r, strict=True)) for r in user["roles"]]
+    return own
+
+
+def _mapped(rows: DataFrame, column: str, out: str, kind: str, work) -> DataFrame:
+    """rows with `column` replaced by `out`, what work makes of it, and a status: ok or the protocol's error."""
+    keys = [c for c in rows.columns if c != column]
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField(out, T.StructType.fromDDL(f"x {kind}")["x"].dataType), T.StructField("status", T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            results, statuses = [], []
+            for value in batch.column(len(keys)).to_pylist():
+                try:
+                    results.append(work(value))
+                    statuses.append("ok")
+                except ProtocolError as e:
+                    results.append(None)
+                    statuses.append(str(e))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(results, arrow.field(out).type), pa.array(statuses, pa.string())], schema=arrow)
+
+    return rows.select(*keys, column).mapInArrow(run, schema)
+
+
+def encode_pdus(rows: DataFrame, pdu: str = "pdu", payload: str = "payload") -> DataFrame:
+    """rows with the bytes of a column of PDU structures (fields of PDU, those that its type has), and a status."""
+    return _mapped(rows, pdu, payload, "binary", lambda v: pdu_bytes(v) if v else fail())
+
+
+def decode_messages(log: DataFrame, payload: str = "payload", pdu: str = "pdu") -> DataFrame:
+    """log with the structure PDU of its messages, all types, and a status."""
+    return _mapped(log, payload, pdu, PDU, lambda v: pdu_row(v or b""))
+
+
+def encode_commands(rows: DataFrame, command: str = "command", payload: str = "payload") -> DataFrame:
+    """rows with the command set of a column of structures (fields of COMMAND), and a status."""
+    return _mapped(rows, command, payload, "binary", lambda v: encode_command(given(v)) if v and v.get("command") in COMMAND_CODES else fail("unsupportedCommand"))
+
+
+def decode_commands(log: DataFrame, payload: str = "payload", command: str = "command") -> DataFrame:
+    """log with the structure COMMAND of its command sets, and a status."""
+    return _mapped(log, payload, command, COMMAND, lambda v: decode_command(v or b""))
+
+
+def retrieve_progress(commands: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row per C-MOVE or C-GET operation: keys, message_id, progress, final_status, category, and the final counters.
+
+    commands has a struct `command` as decode_commands gives it. Progress lists the pending responses up to the final
+    one, in order, with their four counters as they were sent; what follows the final response does not count. An
+    operation without a final response has a NULL final_status.
+    """
+    own = commands.select(*keys, order, "command.*").where(F.col("command").isin("c_move_rsp", "c_get_rsp"))
+    pending = status_category(F.col("status")) == "pending"
+    ended = own.where(~pending).groupBy(*keys, "responded_to").agg(F.min(order).alias("end"), F.min_by(F.struct("status", *COUNTS), order).alias("f"))
+    steps = own.join(ended, [*keys, "responded_to"], "left").where(F.col("end").isNull() | (F.col(order) <= F.col("end")))
+    listed = steps.groupBy(*keys, "responded_to").agg(F.array_sort(F.collect_list(F.when(pending, F.struct(order, *COUNTS)))).alias("progress"), F.first("end").alias("end"), F.first("f").alias("f"))
+    return listed.select(*keys, F.col("responded_to").alias("message_id"), "progress", F.col("f.status").alias("final_status"), status_category(F.col("f.status")).alias("category"), *[F.col(f"f.{c}").alias(c) for c in COUNTS])
+
+
+#: What a control PDU makes of an association's state; any other pair is a violation and aborts it.
+MOVES = {("idle", "associate_rq"): "requested", ("requested", "associate_ac"): "established", ("requested", "associate_rj"): "rejected", ("established", "release_rq"): "releasing", ("releasing", "release_rq"): "releasing", ("releasing", "release_rp"): "released", ("released", "release_rp"): "released"}
+
+
+def association_states(pdus: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row per association of a log of PDUs: its last state, whether a PDU came out of turn, and its P-DATA inside.
+
+    The states are idle, requested, established, rejected, releasing, released and aborted; releasing twice is as
+    once. pdus has the keys, the order and type. Control PDUs are a handful an association and fold in order; P-DATA is
+    only counted, by partial aggregates.
+    """
+    control = pdus.where("type <> 'p_data'").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "type"))).alias("all"))
+    moves = F.create_map(*[F.lit(x) for (a, b), c in MOVES.items() for x in (f"{a} {b}", c)])
+    start = F.struct(F.lit("idle").alias("state"), F.lit(False).alias("violation"), F.lit(None).cast(pdus.schema[order].dataType).alias("opened"), F.lit(None).cast(pdus.schema[order].dataType).alias("closed"))
+
+    def step(acc, x):
+        done = acc["state"].isin("aborted", "rejected")
+        to = F.when(x["type"] == "abort", F.lit("aborted")).otherwise(F.try_element_at(moves, F.concat_ws(" ", acc["state"], x["type"])))
+        state = F.when(done, acc["state"]).otherwise(F.coalesce(to, F.lit("aborted")))
+        opened = F.coalesce(acc["opened"], F.when(state == "established", x["at"]))
+        closed = F.coalesce(acc["closed"], F.when((acc["state"] == "established") & (state != "established"), x["at"]))
+        return F.struct(state.alias("state"), (acc["violation"] | to.isNull() | done).alias("violation"), opened.alias("opened"), closed.alias("closed"))
+
+    states = control.select(*keys, F.aggregate("all", start, step).alias("s")).select(*keys, "s.*")
+    data = pdus.where("type = 'p_data'").join(states, keys, "left")
+    inside = (F.col(order) > F.col("opened")) & (F.col("closed").isNull() | (F.col(order) < F.col("closed")))
+    counted = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_data"), F.sum((~F.coalesce(inside, F.lit(False))).cast("long")).alias("n_outside"))
+    out = states.join(counted, keys, "full")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return out.select(*keys, F.coalesce("state", F.lit("idle")).alias("state"), (F.coalesce("violation", F.lit(False)) | (zero(F.col("n_outside")) > 0)).alias("violation"), zero(F.col("n_data")).cast("long").alias("n_data"))
+
+
+def role_of(roles: Column, sop_class: Column) -> Column:
+    """The first role (sop_class, scu, scp) of a SOP class in an array of them; NULL without one."""
+    return F.get(F.filter(roles, lambda r: r["sop_class"] == sop_class), F.lit(0))
+
+
 def fragmented(messages: DataFrame, content: str, maximum: int) -> DataFrame:
     """Messages cut to pieces that fit a PDU of `maximum` bytes: fragment, last, data. An empty message is one piece."""
     size = max(1, maximum - 12)
@@ -360,7 +487,7 @@ def negotiated(requests: DataFrame, policy_titles: DataFrame | None, abstract_sy
     """(associations, contexts, roles) of association requests under a policy.
 
     requests: assoc_id, application_context, called, contexts (array of id, abstract_syntax, transfer_syntaxes) and
-    optionally roles (array of sop_class, scu, scp). The policy's tables are short lists and are broadcast:
+    optionally roles (array of sop_class, scu, scp). The policy's tables are broadcast if they are small, as counted:
     policy_titles(title) or None for any, abstract_syntaxes(uid), transfer_syntaxes(uid, preference), scp_roles(uid).
     """
     checked = requests
@@ -368,23 +495,23 @@ def negotiated(requests: DataFrame, policy_titles: DataFrame | None, abstract_sy
         checked = checked.withColumn("known", F.lit(True))
     else:
         titles = policy_titles.select(F.col("title").alias("called")).distinct().withColumn("known", F.lit(True))
-        checked = checked.join(F.broadcast(titles), "called", "left")
+        checked = checked.join(small(titles), "called", "left")
     reason = F.when(F.col("application_context") != APPLICATION_CONTEXT, 2).when(F.col("known").isNull(), 7)
     associations = checked.select("assoc_id", reason.isNull().alias("accepted"), reason.alias("reason"))
     fine = requests.join(associations.where("accepted").select("assoc_id"), "assoc_id", "left_semi")
     offers = fine.select("assoc_id", F.explode("contexts").alias("c")).select("assoc_id", "c.id", "c.abstract_syntax", "c.transfer_syntaxes")
     supported = abstract_syntaxes.select(F.col("uid").alias("abstract_syntax")).distinct().withColumn("supported", F.lit(True))
-    each = offers.join(F.broadcast(supported), "abstract_syntax", "left").select("*", F.explode_outer("transfer_syntaxes").alias("uid"))
-    ranked = each.join(F.broadcast(transfer_syntaxes.groupBy("uid").agg(F.min("preference").alias("preference"))), "uid", "left")
+    each = offers.join(small(supported), "abstract_syntax", "left").select("*", F.explode_outer("transfer_syntaxes").alias("uid"))
+    ranked = each.join(small(transfer_syntaxes.groupBy("uid").agg(F.min("preference").alias("preference"))), "uid", "left")
     chosen = ranked.groupBy("assoc_id", "id", "abstract_syntax").agg(F.max("supported").alias("supported"), F.min_by(F.when(F.col("preference").isNotNull(), F.col("uid")), "preference").alias("best"), F.first("transfer_syntaxes").alias("offered"))
     result = F.when(F.col("supported").isNull(), "abstract_syntax_not_supported").when(F.col("best").isNull(), "transfer_syntaxes_not_supported").otherwise("acceptance")
     contexts = chosen.withColumn("result", result).select("assoc_id", "id", "abstract_syntax", "result", F.when(F.col("result") == "acceptance", F.col("best")).otherwise(F.coalesce(F.get("offered", F.lit(0)), F.lit(""))).alias("transfer_syntax"))
     roles = None
     if "roles" in requests.columns:
         own = fine.select("assoc_id", F.posexplode("roles").alias("ordinal", "r")).select("assoc_id", "ordinal", "r.*")
-        own = own.join(F.broadcast(abstract_syntaxes.select(F.col("uid").alias("sop_class")).distinct()), "sop_class", "left_semi")
+        own = own.join(small(abstract_syntaxes.select(F.col("uid").alias("sop_class")).distinct()), "sop_class", "left_semi")
         may = (scp_roles if scp_roles is not None else abstract_syntaxes.limit(0)).select(F.col("uid").alias("sop_class")).distinct().withColumn("may", F.lit(True))
-        roles = own.join(F.broadcast(may), "sop_class", "left").select("assoc_id", "ordinal", "sop_class", "scu", (F.col("scp") & F.coalesce("may", F.lit(False))).alias("scp"))
+        roles = own.join(small(may), "sop_class", "left").select("assoc_id", "ordinal", "sop_class", "scu", (F.col("scp") & F.coalesce("may", F.lit(False))).alias("scp"))
     return associations, contexts, roles
 
 

@@ -9,13 +9,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenframe import binary
-from lumenframe.model import ATTRIBUTES, ELEMENT, EXPLICIT_LE
+from lumenframe.functions import values
+from lumenframe.model import ATTRIBUTES, ELEMENT, EXPLICIT_LE, dictionary
+from lumenframe.operators.frames import frame_ranges
+from lumenframe.operators.lookup import attribute
 
 DECODED = T.StructType(
     [
@@ -50,10 +54,11 @@ def decode_files(files: DataFrame, id_col: str = "file_id", content_col: str = "
 
     transfer_syntax: the content is a raw data set of that syntax instead of a Part 10 file. pixels='skip' leaves the
     top-level pixel data's bytes out and keeps their place; tags keeps the bytes of these top-level elements only.
-    vrs replaces the dictionary for Implicit VR. A null content is an error like an empty one.
+    vrs adds to the dictionary for Implicit VR, say model.read_dictionary's whole table; the built-in rows win. A null content is an error like an empty one.
     """
     schema = to_arrow_schema(DECODED)
     wanted = None if tags is None else frozenset(tags)
+    vrs = None if vrs is None else dictionary(vrs)
 
     def one(content: bytes | None) -> tuple[dict, list[dict]]:
         row = {"length": None if content is None else len(content), "transfer_syntax_uid": transfer_syntax, "status": "ok", "error_kind": None, "error_detail": None}
@@ -193,9 +198,9 @@ def element(tag: int, vr: str, value: Column | None, *, ordinal: int = 0, path:
     return body if value is None or items is not None else F.when(value.isNotNull(), body)
 
 
-def data_set(values: dict[str, Column]) -> Column:
+def data_set(own: dict[str, Column]) -> Column:
     """The elements array of a flat data set by keyword; NULL values are left out."""
-    return F.array_compact(F.array(*[element(*ATTRIBUTES[name], value, ordinal=k) for k, (name, value) in enumerate(values.items())]))
+    return F.array_compact(F.array(*[element(*ATTRIBUTES[name], value, ordinal=k) for k, (name, value) in enumerate(own.items())]))
 
 
 def pixel_ranges(elements: DataFrame) -> DataFrame:
@@ -214,6 +219,88 @@ def read_ranges(contents: DataFrame, ranges: DataFrame, content_col: str = "cont
     return joined.select("file_id", "part", F.when(~short, got).alias("bytes"), F.when(short, "truncatedData").otherwise("ok").alias("status"))
 
 
+def native_frame_ranges(decoded: DataFrame) -> DataFrame:
+    """(file_id, part, offset, length): where each native frame of a file lies, from a scan that skipped the pixels.
+
+    Files without the attributes that the size follows from, with encapsulated pixels or too short a value have none.
+    """
+    number = lambda n: values.us(attribute("elements", n)["value"]).cast("long")
+    count = F.coalesce(values.integer(attribute("elements", "NumberOfFrames")["value"]), F.lit(1)).cast("long")
+    own = decoded.where("status = 'ok'").select("file_id", attribute("elements", "PixelData").alias("p"), (number("Rows") * number("Columns") * number("SamplesPerPixel") * F.floor(number("BitsAllocated") / 8)).alias("length"), count.alias("frames"))
+    fits = own.where("p.fragment_ranges is null and length > 0 and frames > 0 and length * frames <= p.value_length")
+    return fits.select("file_id", F.explode(F.sequence(F.lit(0), (F.col("frames") - 1).cast("int"))).alias("part"), "length", "p.value_offset").select("file_id", "part", (F.col("value_offset") + F.col("part") * F.col("length")).alias("offset"), "length")
+
+
+def encapsulated_frame_ranges(decoded: DataFrame) -> DataFrame:
+    """(file_id, part, fragment, offset, length): the fragments of each frame, by the basic offset table or one a frame."""
+    own = decoded.where("status = 'ok'").select("file_id", attribute("elements", "PixelData").alias("p")).where("p.fragment_ranges is not null")
+    bot = F.coalesce(values.ul_list(F.col("p.bot")), F.array().cast("array<long>"))
+    starts = F.when(F.size(bot) > 0, bot.cast("array<long>")).otherwise(F.col("p.fragment_offsets"))
+    frames = own.select("file_id", F.col("p.fragment_ranges").alias("all"), F.posexplode(frame_ranges(F.col("p.fragment_offsets"), starts)).alias("part", "own"))
+    each = frames.select("file_id", "part", F.posexplode(F.slice("all", F.col("own.first") + 1, (F.col("own.last") - F.col("own.first")).cast("int"))).alias("fragment", "r"))
+    return each.select("file_id", "part", "fragment", "r.offset", "r.length")
+
+
+def read_at(ranges: DataFrame, path_col: str = "file_id") -> DataFrame:
+    """ranges (path, offset, length and more) with their bytes and status, by positional reads: no file is read whole.
+
+    Paths are URIs or local paths that Arrow's file systems open on the executors; a range beyond its file is
+    truncatedData, a file that cannot be opened notFound. Only the ranges are shuffled, by path, so that a file's are
+    read in order through one handle.
+    """
+    keys = [c for c in ranges.columns]
+    schema = T.StructType([*ranges.schema.fields, T.StructField("bytes", T.BinaryType()), T.StructField("status", T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, handle = None, None
+
+        def rows() -> Iterator[tuple[dict, int]]:
+            nonlocal path, handle
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row[path_col] != path:
+                        path = row[path_col]
+                        try:
+                            system, name = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+                            handle = system.open_input_file(name)
+                        except (OSError, pa.ArrowInvalid):
+                            handle = None
+                    if handle is None:
+                        yield row | {"status": "notFound"}, 0
+                        continue
+                    fits = row["offset"] >= 0 and row["offset"] + row["length"] <= handle.size()
+                    got = handle.read_at(row["length"], row["offset"]) if fits else None
+                    yield row | {"bytes": got, "status": "ok" if fits else "truncatedData"}, len(got or b"")
+
+        return _batches(rows(), arrow)
+
+    return ranges.repartition(path_col).sortWithinPartitions(path_col, "offset").select(*keys).mapInArrow(run, schema)
+
+
+def multipart_bodies(instances: DataFrame, boundary: str) -> DataFrame:
+    """(file_id, body): each row's array `parts` of Part 10 files as one multipart/related body."""
+    schema = pa.schema([("file_id", pa.string()), ("body", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([binary.multipart_body(x, boundary) for x in batch.column(1).to_pylist()], pa.binary())], schema=schema)
+
+    return instances.select("file_id", "parts").mapInArrow(run, "file_id string, body binary")
+
+
+def first_parts(bodies: DataFrame) -> DataFrame:
+    """(file_id, content, status): the first part of each multipart body by the boundary that its content_type names."""
+    schema = pa.schema([("file_id", pa.string()), ("content", pa.binary()), ("status", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [binary.first_multipart_body(b or b"", c or "") for b, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(["invalidMultipartResponse" if f is None else "ok" for f in found], pa.string())], schema=schema)
+
+    return bodies.select("file_id", "body", "content_type").mapInArrow(run, "file_id string, content binary, status string")
+
+
 def register_parser(spark: SparkSession, name: str = "dicom_elements") -> None:
     """A table function of a file's content for SQL: SELECT ... FROM files, LATERAL dicom_elements(content)."""
     from pyspark.sql.functions import udtf

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -81,3 +81,9 @@ def reassemble_stream(fragments: DataFrame, timeout_ms: int | None = None) -> Da
     """Messages of a stream of (assoc_id, context, command, seq, last, data); needs STATE_STORE as state store provider."""
     keyed = fragments.groupBy("assoc_id", "context", "command")
     return keyed.transformWithStateInPandas(Reassembler(timeout_ms), MESSAGES, "append", "ProcessingTime" if timeout_ms is not None else "None")
+
+
+def for_each_message(messages: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str):
+    """Starts a query that gives each micro-batch of messages and its number to handler; a batch may come again after a failure,
+    so handlers should write by its number."""
+    return messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handler).start()
