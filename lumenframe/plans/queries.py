@@ -12,26 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe import model, protocol
-from lumenframe.codecs import rle
 from lumenframe.functions import pixels, values
 from lumenframe.model import TAG
 from lumenframe.operators import deidentify, directory, frames, hierarchy, lookup, presentation, validate
+from lumenframe.plans.registry import QUERIES, Query, query
 from lumenframe.plans.sql import SQL
-from lumenframe.plans.tables import bytes_text, customers, decoded_customers, image_files, images, spread, table, text, words_bytes
+from lumenframe.plans.tables import bytes_text, customers, decoded_customers, image_files, images, raw_bytes, spread, table, text, with_doubles, words_bytes
 from lumenframe.sources import dicom_json, part10
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-
-
-def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
-    return f
-
-
 def round_trip(syntax: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = lookup.pivoted(part10.elements_of(decoded_customers(spark, sf_dir, syntax)), ["PatientName", "PatientID", "PatientWeight", "Rows", "InstitutionName"])
+        own = lookup.columns_of(decoded_customers(spark, sf_dir, syntax), ["PatientName", "PatientID", "PatientWeight", "Rows", "InstitutionName"])
         return own.select(values.text("PatientID").cast("long").alias("c_custkey"), values.text("PatientName").alias("c_name"), values.text("InstitutionName").alias("c_mktsegment"), F.round(values.decimal("PatientWeight") * 100).cast("long").alias("cents"), (values.us("Rows") - 1).alias("c_nationkey"))
 
     return run
@@ -62,23 +53,22 @@ def decode_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def hierarchy_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as instances: orders are series, the position's z is the quantity."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("int").alias("q"))
-    uid = F.concat_ws(".", F.lit("1.2"), "l_orderkey", "l_linenumber")
+    li = table(spark, sf_dir, "lineitem").withColumn("q", F.col("l_quantity").cast("int"))
+    uid = F.concat_ws(".", F.lit("1.2"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     files = spread(li, "l_orderkey").select(uid.alias("file_id"), part10.data_set({"SOPInstanceUID": text(uid), "StudyInstanceUID": text(F.lit("1.2")), "SeriesInstanceUID": text("l_orderkey"), "InstanceNumber": text("l_linenumber"), "ImagePositionPatient": text(F.concat(F.lit("0\\0\\"), F.col("q")))}).alias("elements"))
-    own = hierarchy.instances(part10.elements_of(part10.decode_files(part10.encode_arrays(files))))
+    own = hierarchy.instances(part10.decode_files(part10.encode_arrays(files)))
     return hierarchy.ordered(own, ["study_uid", "series_uid"]).select(F.col("series_uid").cast("long").alias("l_orderkey"), F.col("place").cast("long").alias("place"), F.col("instance_number").alias("l_linenumber"))
 
 
 @query
 def series_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = hierarchy.instances(part10.elements_of(decoded_customers(spark, sf_dir, model.EXPLICIT_LE)))
+    own = hierarchy.instances(decoded_customers(spark, sf_dir, model.EXPLICIT_LE))
     return hierarchy.series(own).select("series_uid", F.col("n_instances").cast("long"), F.array_join("sop_uids", ",").alias("sop_uids"))
 
 
 @query
 def deid_basic_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    elements = part10.elements_of(decoded_customers(spark, sf_dir, model.EXPLICIT_LE))
-    own = lookup.pivoted(deidentify.apply_rules(elements, deidentify.basic_profile(spark)), ["PatientName", "PatientID", "InstitutionName", "SOPInstanceUID", "Rows"])
+    own = lookup.columns_of(deidentify.apply_to_files(decoded_customers(spark, sf_dir, model.EXPLICIT_LE), deidentify.basic_profile(spark)), ["PatientName", "PatientID", "InstitutionName", "SOPInstanceUID", "Rows"])
     return own.select(F.col("file_id").cast("long").alias("c_custkey"), values.text("PatientName").alias("name"), values.text("PatientID").alias("id"), values.text("InstitutionName").alias("institution"), values.text("SOPInstanceUID").alias("uid"), values.us("Rows").alias("rows"))
 
 
@@ -189,9 +179,12 @@ def lut_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ybr_to_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of each vector by threes."""
     part = lambda i: F.pmod(F.element_at("samples", i), F.lit(256)).cast("double")
-    rgb = pixels.fixed_point_ybr(part(1), part(2), part(3))
-    return images(spark, sf_dir).select("vec_id", rgb["red"].alias("red"), rgb["green"].alias("green"), rgb["blue"].alias("blue"))
+    firsts = F.filter(F.sequence(F.lit(1), F.size("samples")), lambda i: (i % 3 == 1) & (i + 2 <= F.size("samples")))
+    rgb = F.transform(firsts, lambda i: pixels.fixed_point_ybr(part(i), part(i + 1), part(i + 2)))
+    own = images(spark, sf_dir).select("vec_id", rgb.alias("rgb"))
+    return own.select("vec_id", *[F.array_join(F.col("rgb")[c], ",").alias(c) for c in ("red", "green", "blue")])
 
 
 @query
@@ -207,37 +200,48 @@ def shutter_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.size(seen).cast("long").alias("visible"), F.array_join(seen, ",").alias("pixels"))
 
 
-@query
-def rle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames encoded as RLE fragments by a Python function, written as Part 10, read and decoded."""
+def compressed_files(spark: SparkSession, sf_dir: str, kind: str, own: dict[str, Column] | None = None) -> DataFrame:
+    """(file_id, elements): the images with their pixel data as one compressed fragment."""
+    files = image_files(spark, sf_dir, own)
+    native = frames.frames_of(part10.decode_files(part10.encode_arrays(files)))
+    kept = lambda e, **new: F.struct(*[new.get(c, e[c]).alias(c) for c in part10.WRITTEN])
+    own = F.transform("elements", lambda e: F.when(e["tag"] == TAG["PixelData"], kept(e, fragments=F.array("fragment"), value=F.lit(b""), bot=F.lit(b""))).otherwise(kept(e)))
+    return files.join(frames.compressed(native, kind), "file_id").select("file_id", own.alias("elements"))
+
+
+def compressed_round_trip(kind: str, syntax: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = frames.frames_of(part10.decode_files(part10.encode_arrays(compressed_files(spark, sf_dir, kind), syntax)))
+        return own.select(F.col("file_id").cast("long").alias("vec_id"), "status", F.array_join(values.us_list("value"), ",").alias("samples"))
+
+    return run
 
-    @F.udf("binary")
-    def encoded(raw: bytes) -> bytes:
-        return rle.encode(bytes(raw), 1, 2)
 
-    files = image_files(spark, sf_dir)
-    fragment = encoded(F.get(F.filter("elements", lambda e: e["tag"] == TAG["PixelData"]), F.lit(0))["value"])
-    rest = F.transform("elements", lambda e: F.when(e["tag"] == TAG["PixelData"], F.struct(*[(F.array("fragment") if c == "fragments" else F.lit(b"") if c in ("value", "bot") else e[c]).alias(c) for c in part10.WRITTEN])).otherwise(F.struct(*[e[c].alias(c) for c in part10.WRITTEN])))
-    compressed = files.withColumn("fragment", fragment).select("file_id", rest.alias("elements"))
-    own = frames.frames_of(part10.decode_files(part10.encode_arrays(compressed, model.RLE)))
-    return own.select(F.col("file_id").cast("long").alias("vec_id"), "status", F.array_join(values.us_list("value"), ",").alias("samples"))
+for _name, _kind, _syntax in (("rle_roundtrip", "rle", model.RLE), ("jpeg_lossless_roundtrip", "jpeg_lossless", "1.2.840.10008.1.2.4.57"), ("jpeg_lossless_sv1_roundtrip", "jpeg_lossless", "1.2.840.10008.1.2.4.70")):
+    QUERIES[_name] = compressed_round_trip(_kind, _syntax)
 
 
 @query
-def number_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signed and unsigned readings of the same bytes: the first eight samples of each, as its SQL has it."""
-    return readings(spark, sf_dir, lambda raw: F.substring(raw, 1, 16))
+def jpeg_baseline_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """8 x 8 samples of 8 bits through the lossy codec at quantisation one: no sample is off by more than two."""
+    samples = F.transform("samples", lambda x: F.pmod(x, F.lit(256)))
+    eight = {"Rows": values.us_bytes(F.lit(8)), "Columns": values.us_bytes(F.lit(8)), "BitsAllocated": values.us_bytes(F.lit(8)), "BitsStored": values.us_bytes(F.lit(8)), "PixelData": raw_bytes(samples)}
+    own = frames.frames_of(part10.decode_files(part10.encode_arrays(compressed_files(spark, sf_dir, "jpeg_baseline", eight), "1.2.840.10008.1.2.4.50")))
+    back = own.select(F.col("file_id").cast("long").alias("vec_id"), "status", F.split(bytes_text(F.col("value")), ",").cast("array<int>").alias("back"))
+    both = back.join(images(spark, sf_dir).select("vec_id", samples.alias("was")), "vec_id")
+    off = F.array_max(F.transform(F.arrays_zip("back", "was"), lambda x: F.abs(x["back"] - x["was"])))
+    return both.select("vec_id", "status", F.size("back").cast("long").alias("n"), (off <= 2).cast("string").alias("close"))
 
 
 @query
-def number_lists_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signed and unsigned readings of the same bytes, all samples."""
-    return readings(spark, sf_dir, lambda raw: raw)
+def number_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed and unsigned readings of the same bytes."""
+    return readings(spark, sf_dir)
 
 
-def readings(spark: SparkSession, sf_dir: str, part: Callable[[Column], Column]) -> DataFrame:
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = words_bytes(F.transform("samples", lambda x: x * 23))
-    own = images(spark, sf_dir).select("vec_id", part(raw).alias("raw"))
+    own = images(spark, sf_dir).select("vec_id", raw.alias("raw"))
     join = lambda c: F.array_join(c, ",")
     return own.select("vec_id", join(values.us_list("raw")).alias("us"), join(values.ss_list("raw")).alias("ss"), join(values.ul_list("raw")).alias("ul"), join(values.sl_list("raw")).alias("sl"), join(values.uv_list("raw")).alias("uv"), join(values.sv_list("raw")).alias("sv"), join(values.at_list("raw")).alias("at"))
 
@@ -271,13 +275,7 @@ def person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def charset_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latin-1 and UTF-8 texts of documents by their declared character set: the first 60 characters, as its SQL has it."""
-    return by_charset(spark, sf_dir, F.substring("text", 1, 60))
-
-
-@query
-def charset_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latin-1 and UTF-8 texts of documents by their declared character set, whole."""
+    """Latin-1 and UTF-8 texts of documents by their declared character set."""
     return by_charset(spark, sf_dir, F.col("text"))
 
 
@@ -418,11 +416,8 @@ def pdv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
     pieces = protocol.fragmented(d, "content", 1012)
 
-    @F.udf("binary")
-    def pdu(last: bool, data: bytes) -> bytes:
-        return protocol.encode_pdu({"type": "p_data", "values": [{"context": 1, "command": False, "last": last, "data": bytes(data)}]})
-
-    log = pieces.select("doc_id", "fragment", pdu("last", "data").alias("payload"))
+    data = F.struct(F.lit("p_data").alias("type"), F.array(F.struct(F.lit(1).alias("context"), F.lit(False).alias("command"), "last", "data")).alias("values"))
+    log = protocol.encode_pdus(pieces.select("doc_id", "fragment", data.alias("pdu"))).drop("status")
     own = protocol.reassembled(protocol.decode_pdus(log), ["doc_id"], ["fragment"])
     return own.select("doc_id", "complete", F.length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("content"))
 
@@ -530,26 +525,10 @@ def transfer_syntaxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("uid", F.coalesce("name", F.lit("unknown")).alias("name"), F.col("big_endian").cast("string").alias("big_endian"), F.col("encapsulated").cast("string").alias("encapsulated")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query
-def command_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as store requests, encoded as command sets and decoded."""
-
-    @F.udf("binary")
-    def encoded(key: int, customer: int) -> bytes:
-        return protocol.encode_command({"command": "c_store_rq", "sop_class": f"1.2.{customer}", "message_id": key % 65536, "sop_instance": f"1.2.{customer}.{key}"})
-
-    @F.udf("struct<command:string,message_id:int,sop_class:string,sop_instance:string,has_data_set:boolean>")
-    def decoded(raw: bytes) -> dict:
-        return protocol.decode_command(bytes(raw))
-
-    o = spread(table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", encoded("o_orderkey", "o_custkey").alias("raw"))
-    return o.select("o_orderkey", decoded("raw").alias("c")).select("o_orderkey", "c.*")
-
-
 @query
 def nested_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as sequences of line items, two levels deep, with undefined lengths; the inner values come back by path."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part"))
+    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "part")
     outer, inner = TAG["ReferencedSeriesSequence"], TAG["ReferencedImageSequence"]
     empty = F.lit(b"").alias("value")
     row = lambda path, depth, k, tag, vr, value, items: F.struct(F.lit(False).alias("is_meta"), path.cast(model.PATH).alias("path"), F.lit(depth).alias("depth"), k.cast("int").alias("ordinal"), F.lit(tag).cast("long").alias("tag"), F.lit(vr).alias("vr"), value.cast("binary").alias("value"), items.cast("int").alias("item_count"), F.lit(None).cast("array<binary>").alias("fragments"), F.lit(None).cast("binary").alias("bot"))
@@ -568,14 +547,9 @@ def nested_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def float_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two float frames a part from IEEE bytes; a third of the files lack half of their data."""
 
-    @F.udf("binary")
-    def raw(a: float, b: float, whole: bool) -> bytes:
-        import struct
-
-        return struct.pack("<2d", a, b) if whole else struct.pack("<d", a)
-
-    p = spread(table(spark, sf_dir, "part"), "p_partkey")
-    files = p.select(F.col("p_partkey").cast("string").alias("file_id"), part10.data_set({"Rows": values.us_bytes(F.lit(1)), "Columns": values.us_bytes(F.lit(1)), "NumberOfFrames": text(F.lit("2")), "DoubleFloatPixelData": raw(F.col("p_size").cast("double"), "p_retailprice", F.col("p_size") % 3 != 0)}).alias("elements"))
+    numbers = F.when(F.col("p_size") % 3 != 0, F.array(F.col("p_size").cast("double"), "p_retailprice")).otherwise(F.array(F.col("p_size").cast("double")))
+    p = with_doubles(spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", numbers.alias("numbers")), "numbers", "raw")
+    files = p.select(F.col("p_partkey").cast("string").alias("file_id"), part10.data_set({"Rows": values.us_bytes(F.lit(1)), "Columns": values.us_bytes(F.lit(1)), "NumberOfFrames": text(F.lit("2")), "DoubleFloatPixelData": F.col("raw")}).alias("elements"))
     own = frames.float_frames(part10.decode_files(part10.encode_arrays(files)))
     return own.select(F.col("file_id").cast("long").alias("p_partkey"), "frame_index", F.round(F.get("values", F.lit(0)) * 100).cast("long").alias("cents"))
 
@@ -600,8 +574,12 @@ def dangling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from lumenframe.plans import imaging, messages  # noqa: F401  they register their own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in SQL.items() if k in QUERIES}
+    from lumenframe.plans import imaging, messages
+
+    return {k: v for k, v in (SQL | imaging.SQL | messages.SQL).items() if k in QUERIES}

@@ -6,7 +6,7 @@ _ROUND_TRIP = "SELECT c_custkey, c_name, c_mktsegment, CAST(round(c_acctbal * 10
 _SAMPLES = "SELECT vec_id, label, list_transform(embedding, lambda x: CAST(greatest(0, least(4095, round((CAST(x AS DOUBLE) + 1) * 1000))) AS INTEGER)) AS samples FROM embeddings"
 _WINDOW = "CASE WHEN x <= {c} - 0.5 - ({w} - 1) / 2.0 THEN 0 WHEN x > {c} - 0.5 + ({w} - 1) / 2.0 THEN 255 ELSE CAST(round(((x - ({c} - 0.5)) / ({w} - 1) + 0.5) * 255) AS INTEGER) END"
 _FNV = "CAST(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split({x}, ''), lambda c: ascii(c)::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS VARCHAR)"
-_READ16 = "list_transform(range(1, 9), lambda i: CAST((samples[i] * 23) % 65536 AS BIGINT))"
+_READ16 = "list_transform(range(1, len(samples) + 1), lambda i: CAST((samples[i] * 23) % 65536 AS BIGINT))"
 
 SQL = {
     **{f"part10_roundtrip_{k}": _ROUND_TRIP for k in ("explicit_le", "implicit_le", "explicit_be", "deflated_le")},
@@ -16,8 +16,8 @@ SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'ok' ELSE 'error' END AS stat
        CASE c_custkey % 4 WHEN 1 THEN 'truncatedData' WHEN 2 THEN 'missingPart10Preamble' WHEN 3 THEN 'unsupportedTransferSyntax' END AS error_kind
 FROM customer""",
     "hierarchy_order": """
-WITH l AS (SELECT l_orderkey, l_linenumber, CAST(trunc(max(l_quantity)) AS INTEGER) AS q FROM lineitem GROUP BY ALL)
-SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY q, l_linenumber) AS place, l_linenumber::BIGINT AS l_linenumber FROM l""",
+SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(trunc(l_quantity) AS INTEGER), l_linenumber, '1.2.' || l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey) AS place,
+       l_linenumber::BIGINT AS l_linenumber FROM lineitem""",
     "series_grouping": """
 SELECT '1.2.840.99.' || c_nationkey || '.' || (c_custkey % 5) AS series_uid, count(*) AS n_instances,
        string_agg('1.2.840.99.7.' || c_custkey, ',' ORDER BY c_custkey) AS sop_uids
@@ -59,10 +59,10 @@ SELECT vec_id, 'ok' AS status, array_to_string(CASE WHEN vec_id % 2 = 0 THEN p E
 WITH m AS (SELECT vec_id, list_transform(samples, lambda x: least(greatest(x // 20 - 10, 0), 99)) AS i FROM ({_SAMPLES}))
 SELECT vec_id, array_to_string(list_transform(i, lambda k: CAST(least(255, round(least(greatest(k * k - 100, 0), 4000) * 255 / 4095.0)) AS INTEGER)), ',') AS pixels FROM m""",
     "ybr_to_rgb": f"""
-WITH y AS (SELECT vec_id, (samples[1] % 256)::DOUBLE AS y, (samples[2] % 256)::DOUBLE AS cb, (samples[3] % 256)::DOUBLE AS cr FROM ({_SAMPLES}))
-SELECT vec_id, CAST(least(255, greatest(0, round(y + 1.402 * (cr - 128)))) AS INTEGER) AS red,
-       CAST(least(255, greatest(0, round(y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128)))) AS INTEGER) AS green,
-       CAST(least(255, greatest(0, round(y + 1.772 * (cb - 128)))) AS INTEGER) AS blue FROM y""",
+WITH y AS (SELECT vec_id, samples, list_transform(range(len(samples) // 3), lambda i: 3 * i + 1) AS firsts FROM ({_SAMPLES}))
+SELECT vec_id, array_to_string(list_transform(firsts, lambda i: CAST(least(255, greatest(0, round((samples[i] % 256)::DOUBLE + 1.402 * ((samples[i + 2] % 256)::DOUBLE - 128)))) AS INTEGER)), ',') AS red,
+       array_to_string(list_transform(firsts, lambda i: CAST(least(255, greatest(0, round((samples[i] % 256)::DOUBLE - 0.344136 * ((samples[i + 1] % 256)::DOUBLE - 128) - 0.714136 * ((samples[i + 2] % 256)::DOUBLE - 128)))) AS INTEGER)), ',') AS green,
+       array_to_string(list_transform(firsts, lambda i: CAST(least(255, greatest(0, round((samples[i] % 256)::DOUBLE + 1.772 * ((samples[i + 1] % 256)::DOUBLE - 128)))) AS INTEGER)), ',') AS blue FROM y""",
     "shutter_mask": """
 WITH g AS (SELECT p_partkey, p_size, i, i // 8 + 1 AS r, i % 8 + 1 AS c FROM part, range(64) t(i)),
 v AS (SELECT p_partkey, i FROM g
@@ -70,12 +70,13 @@ v AS (SELECT p_partkey, i FROM g
     AND (r - 4) * (r - 4) + (c - 4) * (c - 4) <= (3 + p_size % 3) * (3 + p_size % 3)
     AND r < 9 AND c < (9 + p_size % 4) * r / 9.0)
 SELECT p_partkey, count(i) AS visible, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i), '') AS pixels FROM part LEFT JOIN v USING (p_partkey) GROUP BY p_partkey""",
-    "rle_roundtrip": f"SELECT vec_id, 'ok' AS status, array_to_string(samples, ',') AS samples FROM ({_SAMPLES})",
+    **{k: f"SELECT vec_id, 'ok' AS status, array_to_string(samples, ',') AS samples FROM ({_SAMPLES})" for k in ("rle_roundtrip", "jpeg_lossless_roundtrip", "jpeg_lossless_sv1_roundtrip")},
+    "jpeg_baseline_roundtrip": "SELECT vec_id, 'ok' AS status, 64::BIGINT AS n, 'true' AS close FROM embeddings",
     "range_reads": f"SELECT vec_id, 'ok' AS status, array_to_string(samples, ',') AS samples FROM ({_SAMPLES})",
     "number_lists": f"""
 WITH u AS (SELECT vec_id, {_READ16} AS u FROM ({_SAMPLES})),
-l AS (SELECT vec_id, u, list_transform(range(1, 5), lambda i: u[2 * i - 1] + 65536 * u[2 * i]) AS l FROM u),
-v AS (SELECT vec_id, u, l, list_transform(range(1, 3), lambda i: l[2 * i - 1]::HUGEINT + 4294967296::HUGEINT * l[2 * i]) AS v FROM l)
+l AS (SELECT vec_id, u, list_transform(range(1, len(u) // 2 + 1), lambda i: u[2 * i - 1] + 65536 * u[2 * i]) AS l FROM u),
+v AS (SELECT vec_id, u, l, list_transform(range(1, len(l) // 2 + 1), lambda i: l[2 * i - 1]::HUGEINT + 4294967296::HUGEINT * l[2 * i]) AS v FROM l)
 SELECT vec_id, array_to_string(u, ',') AS us, array_to_string(list_transform(u, lambda x: CASE WHEN x >= 32768 THEN x - 65536 ELSE x END), ',') AS ss,
        array_to_string(l, ',') AS ul, array_to_string(list_transform(l, lambda x: CASE WHEN x >= 2147483648 THEN x - 4294967296 ELSE x END), ',') AS sl,
        array_to_string(v, ',') AS uv, array_to_string(list_transform(v, lambda x: CASE WHEN x >= 9223372036854775808::HUGEINT THEN x - 18446744073709551616::HUGEINT ELSE x END), ',') AS sv,
@@ -89,7 +90,7 @@ SELECT event_id, year(ts)::INTEGER AS year, month(ts)::INTEGER AS month, day(ts)
     "person_names": """
 SELECT c_custkey, c_name || '^' || c_mktsegment AS alphabetic, CASE WHEN c_custkey % 2 = 0 THEN 'i' || c_custkey END AS ideographic,
        CASE WHEN c_custkey % 6 = 0 THEN 'p=q' || c_custkey END AS phonetic FROM customer""",
-    "charset_text": r"SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 60), '[^\x{20}-\x{ff}]', '?', 'g'), '[\x00 ]+$', '') AS line FROM documents",
+    "charset_text": r"SELECT doc_id, regexp_replace(regexp_replace(text, '[^\x{20}-\x{ff}]', '?', 'g'), '[\x00 ]+$', '') AS line FROM documents",
     "private_elements": "SELECT c_custkey, c_name FROM customer",
     "last_duplicate": "SELECT l_orderkey, arg_max(p, l_linenumber) AS l_partkey FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS p FROM lineitem GROUP BY ALL) GROUP BY l_orderkey",
     "dictionary_lookup": """
@@ -148,10 +149,8 @@ FROM (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 'missingSOPClassUID' WHEN o_or
 SELECT uid, name, big_endian::VARCHAR AS big_endian, encapsulated::VARCHAR AS encapsulated, count(*) AS n FROM events
 JOIN (VALUES (0, '1.2.840.10008.1.2', 'implicit_le', false, false), (1, '1.2.840.10008.1.2.2', 'explicit_be', true, false), (2, '1.2.840.10008.1.2.5', 'rle', false, true), (3, '1.2.3', 'unknown', NULL, NULL)) t(k, uid, name, big_endian, encapsulated) ON k = event_id % 4
 GROUP BY ALL""",
-    "command_roundtrip": "SELECT o_orderkey, 'c_store_rq' AS command, (o_orderkey % 65536)::INTEGER AS message_id, '1.2.' || o_custkey AS sop_class, '1.2.' || o_custkey || '.' || o_orderkey AS sop_instance, true AS has_data_set FROM orders",
     "nested_sequences": """
-WITH l AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS part FROM lineitem GROUP BY ALL)
-SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS item, 2::INTEGER AS depth, '1.' || part AS uid FROM l""",
+SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS item, 2::INTEGER AS depth, '1.' || l_partkey AS uid FROM lineitem""",
     "float_pixels": """
 SELECT p_partkey, f::INTEGER AS frame_index, CAST(round(CASE WHEN f = 0 THEN p_size ELSE p_retailprice END * 100) AS BIGINT) AS cents FROM part, range(2) t(f) WHERE p_size % 3 <> 0""",
     "json_bulk": """

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenframe.functions import values
 from lumenframe.sources import part10
@@ -27,6 +33,31 @@ def words_bytes(numbers: Column) -> Column:
     return F.unhex(F.array_join(swapped, ""))
 
 
+def raw_bytes(numbers: Column) -> Column:
+    """An array of numbers from 0 to 255 as bytes."""
+    return F.unhex(F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), ""))
+
+
+def sl_bytes(numbers: Column) -> Column:
+    """An array of 32-bit numbers as little-endian bytes."""
+    halves = F.flatten(F.transform(numbers, lambda x: F.array(F.pmod(x.cast("long"), F.lit(65536)), F.pmod(F.floor(x / 65536).cast("long"), F.lit(65536)))))
+    return words_bytes(halves)
+
+
+def with_doubles(rows: DataFrame, numbers: str, out: str) -> DataFrame:
+    """rows with an array of doubles as little-endian bytes."""
+    keys = [c for c in rows.columns if c != numbers]
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField(out, T.BinaryType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [None if x is None else np.array(x, "<f8").tobytes() for x in batch.column(len(keys)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(raw, pa.binary())], schema=arrow)
+
+    return rows.select(*keys, numbers).mapInArrow(run, schema)
+
+
 def text(column: Column | str) -> Column:
     return values.text_bytes((F.col(column) if isinstance(column, str) else column).cast("string"))
 

@@ -78,7 +78,7 @@ def test_values(spark):
 
 def test_hierarchy(spark):
     own = decoded(spark, elements(SeriesInstanceUID="s", SOPInstanceUID="b", InstanceNumber="1", ImagePositionPatient="0\\0\\10"), elements(SeriesInstanceUID="s", SOPInstanceUID="a", InstanceNumber="2", ImagePositionPatient="0\\0\\0"), elements(SOPInstanceUID="c"))
-    got = {r.series_uid: r.sop_uids for r in hierarchy.series(hierarchy.instances(part10.elements_of(own))).collect()}
+    got = {r.series_uid: r.sop_uids for r in hierarchy.series(hierarchy.instances(own)).collect()}
     assert got == {"s": ["a", "b"], "": ["c"]}
 
 
@@ -295,18 +295,67 @@ def test_streams(spark, tmp_path):
 
 
 def test_whole_texts_and_vectors(spark, tmp_path):
-    """Against brute force, as these queries have no SQL."""
+    """Against brute force, besides their SQL."""
     texts = ["a" * 200 + "é" * 50 + " end  ", "漢 é\n" * 40 + "x", None, ""] * 2
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.line for r in queries.charset_text_whole(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.line for r in queries.charset_text(spark, str(tmp_path)).collect()}
     assert got == {k: t and re.sub("[^\x20-\xff]", "?", t).rstrip("\0 ") for k, t in enumerate(texts)}
 
     vectors = [np.random.default_rng(k).uniform(-1, 1, 64).astype("<f4").tolist() for k in range(6)]
     spark.createDataFrame([(k, 0, v) for k, v in enumerate(vectors)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    rows = {r.vec_id: r for r in queries.number_lists_whole(spark, str(tmp_path)).collect()}
+    rows = {r.vec_id: r for r in queries.number_lists(spark, str(tmp_path)).collect()}
     for k, v in enumerate(vectors):
         samples = [max(0, min(4095, int(np.floor((x + 1) * 1000 + 0.5)))) for x in v]
         raw = np.array([x * 23 % 65536 for x in samples], "<u2").tobytes()
         for name, kind in {"us": "<u2", "ss": "<i2", "ul": "<u4", "sl": "<i4", "uv": "<u8", "sv": "<i8"}.items():
             assert rows[k][name] == ",".join(map(str, np.frombuffer(raw, kind).tolist()))
         assert rows[k]["at"] == ",".join(str(a << 16 | b) for a, b in np.frombuffer(raw, "<u2").reshape(-1, 2).tolist())
+
+
+def test_json_of_wrong_types(spark):
+    bad = ['{"00081140":{"vr":"SQ","Value":3}}', '{"00100010":{"vr":"PN","Value":[{"Alphabetic":3}]}}', '{"00100020":{"vr":["x"]}}', '{"00100020":{"vr":"LO","Value":{"a":1}}}', '{"00100020":3}', '{"00280010":{"vr":"US","Value":[1e400]}}', '{"00081140":{"vr":"SQ","Value":[[]]}}', '{"00091004":{"vr":"OB","InlineBinary":[1]}}']
+    rows = dicom_json.read_json(spark.createDataFrame([(str(k), b) for k, b in enumerate(bad)], "file_id string, json string")).collect()
+    assert [r.status for r in rows] == ["error"] * len(bad)
+
+
+def test_positional_reads(spark, tmp_path):
+    paths = []
+    for k in range(3):
+        own = elements(Rows=1, Columns=2, SamplesPerPixel=1, BitsAllocated=16, NumberOfFrames="3") | {TAG["PixelData"]: Element(TAG["PixelData"], "OW", bytes(range(12 * k, 12 * k + 12)))}
+        path = tmp_path / f"f{k}.dcm"
+        path.write_bytes(encode_part10({}, own))
+        paths.append(str(path))
+    own = part10.scan_part10(spark, str(tmp_path), pixels="skip")
+    ranges = part10.native_frame_ranges(own)
+    assert ranges.count() == 9
+    got = {(r.file_id[-6:], r.part): (r.status, r.bytes and bytes(r.bytes)) for r in part10.read_at(ranges).collect()}
+    assert got == {(f"f{k}.dcm", p): ("ok", bytes(range(12 * k + 4 * p, 12 * k + 4 * p + 4))) for k in range(3) for p in range(3)}
+    odd = spark.createDataFrame([(paths[0], 0, 10**9, 4), (str(tmp_path / "none"), 0, 0, 4)], "file_id string, part int, offset long, length long")
+    assert sorted(r.status for r in part10.read_at(odd).collect()) == ["notFound", "truncatedData"]
+
+
+def test_no_file_is_lost(spark):
+    own = decoded(spark, elements(PatientName="A"), elements(SOPInstanceUID="1"))
+    assert lookup.columns_of(own, ["SOPInstanceUID"]).count() == lookup.pivoted(part10.elements_of(own), ["SOPInstanceUID"]).count() == 2
+    rules = deidentify.basic_profile(spark)
+    rows = lambda d: sorted((r.file_id, r.tag, bytes(r.value)) for r in d.collect())
+    assert rows(part10.elements_of(deidentify.apply_to_files(own, rules))) == rows(deidentify.apply_rules(part10.elements_of(own), rules))
+
+
+def test_long_lists_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(deidentify, "LONGEST_LIST", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        deidentify.listed(spark.range(5))
+
+
+def test_messages_for_each_batch(spark, tmp_path):
+    from lumenframe.streaming.landing import for_each_message
+
+    spark.createDataFrame([("a", b"x")], "assoc_id string, data binary").write.parquet(str(tmp_path / "in"))
+    seen = []
+    q = for_each_message(spark.readStream.schema("assoc_id string, data binary").parquet(str(tmp_path / "in")), lambda rows, n: seen.append((n, rows.count())), str(tmp_path / "c"))
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert seen == [(0, 1)]
