@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenframe import binary
-from lumenframe.codecs import jpeg_baseline, jpeg_lossless, jpeg_ls, rle
+from lumenframe.codecs import jpeg_2000, jpeg_baseline, jpeg_lossless, jpeg_ls, rle
 from lumenframe.codecs.rle import FrameError
 from lumenframe.dataset import INTEGER, DataSet
 from lumenframe.model import TRANSFER_SYNTAXES
@@ -237,12 +237,17 @@ def read_frame(kind: str, fragments: list[bytes], rows: int, columns: int, sampl
         image = jpeg_ls.decode(b"".join(fragments), size)
         if kind == "jpeg_ls" and image.predictor:
             raise FrameError("unsupportedPixelFormat")
+    elif kind in ("jpeg_2000", "jpeg_2000_lossless"):
+        image = jpeg_2000.decode(b"".join(fragments).rstrip(b"\0"), size)
+        if kind == "jpeg_2000_lossless" and image.predictor:
+            raise FrameError("unsupportedPixelFormat")
     else:
         raise FrameError("unsupportedCodec")
     if stored is not None and stored != image.precision or (8 if image.precision <= 8 else 16) != allocated:
         raise FrameError("unsupportedPixelFormat")
-    # The baseline decoder turns the stream's own colour space to RGB.
-    return Decoded(image.native(), image.precision, "RGB" if kind == "jpeg_baseline" and image.components == 3 else None)
+    # These decoders turn the stream's own colour space to RGB.
+    colour = image.components == 3 and (kind == "jpeg_baseline" or photometric in ("YBR_RCT", "YBR_ICT"))
+    return Decoded(image.native(), image.precision, "RGB" if colour else None)
 
 
 def frames_in(file_id: str, syntax: str, elements: list[dict]) -> list[dict]:
@@ -515,6 +520,7 @@ def cube(raw: bytes, f: dict) -> np.ndarray:
 ENCODERS = {
     "rle": lambda raw, f: rle.encode(raw, f["samples_per_pixel"], f["bits_allocated"] // 8),
     "jpeg_lossless": lambda raw, f: jpeg_lossless.encode(cube(raw, f), f["bits_stored"]),
+    "jpeg_2000": lambda raw, f: jpeg_2000.encode(cube(raw, f), f["bits_stored"], levels=3),
     "jpeg_baseline": lambda raw, f: jpeg_baseline.encode([p for p in np.moveaxis(cube(raw, f), 2, 0)], [(1, 1)] * f["samples_per_pixel"], f["rows"], f["columns"], adobe=0),
 }
 

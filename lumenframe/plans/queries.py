@@ -217,7 +217,7 @@ def compressed_round_trip(kind: str, syntax: str) -> Query:
     return run
 
 
-for _name, _kind, _syntax in (("rle_roundtrip", "rle", model.RLE), ("jpeg_lossless_roundtrip", "jpeg_lossless", "1.2.840.10008.1.2.4.57"), ("jpeg_lossless_sv1_roundtrip", "jpeg_lossless", "1.2.840.10008.1.2.4.70")):
+for _name, _kind, _syntax in (("rle_roundtrip", "rle", model.RLE), ("jpeg_lossless_roundtrip", "jpeg_lossless", "1.2.840.10008.1.2.4.57"), ("jpeg_lossless_sv1_roundtrip", "jpeg_lossless", "1.2.840.10008.1.2.4.70"), ("jpeg_2000_roundtrip", "jpeg_2000", "1.2.840.10008.1.2.4.90")):
     QUERIES[_name] = compressed_round_trip(_kind, _syntax)
 
 

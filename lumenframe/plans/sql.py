@@ -70,7 +70,7 @@ v AS (SELECT p_partkey, i FROM g
     AND (r - 4) * (r - 4) + (c - 4) * (c - 4) <= (3 + p_size % 3) * (3 + p_size % 3)
     AND r < 9 AND c < (9 + p_size % 4) * r / 9.0)
 SELECT p_partkey, count(i) AS visible, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i), '') AS pixels FROM part LEFT JOIN v USING (p_partkey) GROUP BY p_partkey""",
-    **{k: f"SELECT vec_id, 'ok' AS status, array_to_string(samples, ',') AS samples FROM ({_SAMPLES})" for k in ("rle_roundtrip", "jpeg_lossless_roundtrip", "jpeg_lossless_sv1_roundtrip")},
+    **{k: f"SELECT vec_id, 'ok' AS status, array_to_string(samples, ',') AS samples FROM ({_SAMPLES})" for k in ("rle_roundtrip", "jpeg_lossless_roundtrip", "jpeg_lossless_sv1_roundtrip", "jpeg_2000_roundtrip")},
     "jpeg_baseline_roundtrip": "SELECT vec_id, 'ok' AS status, 64::BIGINT AS n, 'true' AS close FROM embeddings",
     "range_reads": f"SELECT vec_id, 'ok' AS status, array_to_string(samples, ',') AS samples FROM ({_SAMPLES})",
     "number_lists": f"""

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lumenframe.codecs import jpeg_baseline, jpeg_lossless, jpeg_ls, rle
+from lumenframe.codecs import jpeg_2000, jpeg_baseline, jpeg_lossless, jpeg_ls, rle
 from lumenframe.codecs.rle import FrameError
 from lumenframe.operators import frames
 
@@ -104,10 +104,12 @@ def fuzz_cases():
     yield "jpeg_baseline", jpeg_baseline.encode([grey, grey[:5, :6], grey[:5, :6]], [(2, 2), (1, 1), (1, 1)], 9, 11), (9, 11, 3)
     yield "jpeg_ls", bytes.fromhex(STREAMS["by_plane"][0]), (2, 2, 3)
     yield "jpeg_ls", bytes.fromhex(STREAMS["by_line"][0]), (2, 2, 3)
+    yield "jpeg_2000", jpeg_2000.encode(grey[:, :, None], 8, 2, block=8), (9, 11, 1)
+    yield "jpeg_2000", jpeg_2000.encode(rgb, 8, 1, transform=True, style=6, progression=3), (6, 7, 3)
     yield "rle", rle.encode(grey.astype(np.uint8).tobytes(), 1, 1), (9, 11, 1)
 
 
-@pytest.mark.parametrize("case", range(7))
+@pytest.mark.parametrize("case", range(9))
 def test_broken_streams_are_frame_errors(case):
     """Whatever is wrong with a stream is a FrameError, which becomes a row's status, and takes no memory beyond the frame's."""
     kind, stream, (rows, columns, samples) = list(fuzz_cases())[case]
@@ -139,3 +141,49 @@ def test_jpeg_lossless_headers():
             jpeg_lossless.decode(bytes(broken))
     with pytest.raises(FrameError, match="invalidImageAttributes"):
         jpeg_lossless.decode(bytes(stream), (3, 5, 1))
+
+
+def test_arithmetic_coder_golden():
+    """The test sequence of the arithmetic coder's standard (T.88, annex H.2)."""
+    coded = bytes.fromhex("84C73BFCE1A1430402200000410DBB86F4317FFF88FF37471ADB6ADFFFAC")
+    plain = bytes.fromhex("00020051000000C0035287 2AAAAAAAAA82C02000FCD79EF6BF7FED904F46A3BF".replace(" ", ""))
+    coder = jpeg_2000.Arithmetic(coded, [0] * 19, [0] * 19)
+    assert np.packbits([coder.bit(0) for _ in range(256)]).tobytes() == plain
+    writer = jpeg_2000.ArithmeticWriter([0] * 19, [0] * 19)
+    for b in np.unpackbits(np.frombuffer(plain, np.uint8)).tolist():
+        writer.bit(0, b)
+    assert writer.end() == coded[:-2]
+
+
+def test_jpeg_2000_block_golden():
+    """A code-block of the worked example of T.800, annex J.10."""
+    block, coder = jpeg_2000.Block("LH", 1, 4), jpeg_2000.Arithmetic(bytes.fromhex("0FB176"))
+    block.passes(lambda k: coder, 3, 7, 0)
+    value, minus = block.magnitudes()
+    assert (value * (1 - 2 * minus)).reshape(-1).tolist() == [1, 5, 1, 0]
+    low, high = np.array([[-26], [-22], [-30], [-32], [-19]]), np.array([[1], [5], [1], [0]])
+    assert (jpeg_2000.merged(low, high, 0, 9, True) + 128).reshape(-1).tolist() == [101, 103, 104, 105, 96, 97, 96, 102, 109]
+
+
+@pytest.mark.parametrize("case", [(1, 1, 1, 8, 0, 0, 64, 0, 0), (9, 1, 1, 8, 1, 0, 64, 0, 0), (40, 37, 1, 16, 3, 0, 8, 0, 2), (20, 33, 3, 8, 2, 1, 16, 0, 1), (20, 33, 3, 8, 2, 1, 16, 4, 3), (20, 33, 3, 8, 2, 0, 16, 6, 4), (33, 20, 1, 10, 5, 0, 4, 32, 0)])
+def test_jpeg_2000(case):
+    rows, columns, n, precision, levels, transform, block, style, progression = case
+    samples = np.random.default_rng(rows).integers(0, 1 << precision, (rows, columns, n))
+    image = jpeg_2000.decode(jpeg_2000.encode(samples, precision, levels, True, bool(transform), block, style, progression), (rows, columns, n))
+    assert (image.samples == samples).all() and (image.precision, image.predictor) == (precision, 0)
+
+
+@pytest.mark.parametrize("start", [0, 1, 2, 5])
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 9])
+def test_wavelets_invert(start, n):
+    x = np.random.default_rng(n).integers(-99, 99, (n, 3))
+    assert (jpeg_2000.merged(*jpeg_2000.parted(x, start, True), start, start + n, True) == x).all()
+    assert np.allclose(jpeg_2000.merged(*jpeg_2000.parted(x.astype(float), start, False), start, start + n, False), x)
+
+
+@pytest.mark.parametrize("transform", [False, True])
+def test_jpeg_2000_irreversible(transform):
+    r = np.random.default_rng(3)
+    samples = np.clip(np.add.outer(np.arange(40) * 3, np.arange(50) * 2)[:, :, None] + r.integers(0, 20, (40, 50, 3)), 0, 255)
+    image = jpeg_2000.decode(jpeg_2000.encode(samples, 8, 3, False, transform))
+    assert image.predictor == 1 and np.abs(image.samples - samples).max() <= 2
