@@ -8,6 +8,7 @@ work in Arrow batches without a shuffle; the arithmetic for whole tables of samp
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -494,6 +495,27 @@ def render(frames: DataFrame, window_center: float | None = None, window_width:
     return frames.select(*FRAME.names).mapInArrow(run, RENDERED)
 
 
+def png_bytes(pixels: bytes, rows: int, columns: int, components: int) -> bytes:
+    """An 8-bit grey or RGB image as PNG, without filters."""
+    chunk = lambda kind, raw: struct.pack(">I", len(raw)) + kind + raw + struct.pack(">I", zlib.crc32(kind + raw))
+    width = columns * components
+    lines = b"".join(b"\0" + pixels[y * width : (y + 1) * width] for y in range(rows))
+    head = struct.pack(">IIBBBBB", columns, rows, 8, 2 if components == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def as_png(rendered_frames: DataFrame) -> DataFrame:
+    """(file_id, frame_index, status, png) of rendered frames."""
+    schema = pa.schema([("file_id", pa.string()), ("frame_index", pa.int32()), ("status", pa.string()), ("png", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{"file_id": f["file_id"], "frame_index": f["frame_index"], "status": f["status"], "png": png_bytes(f["pixels"], f["rows"], f["columns"], f["components"]) if f["status"] == "ok" else None} for f in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return rendered_frames.select(*RENDERED.names).mapInArrow(run, "file_id string, frame_index int, status string, png binary")
+
+
 def float_frames(decoded: DataFrame) -> DataFrame:
     """(file_id, frame_index, rows, columns, values) of float or double float pixel data whose size fits."""
     out = _struct(file_id=TEXT, frame_index=INT, rows=INT, columns=INT, values=T.ArrayType(DOUBLE))

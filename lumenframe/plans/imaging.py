@@ -58,6 +58,15 @@ def one_bit_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixel_text(frames.render(found.withColumns({"columns": F.lit(64), "bits_allocated": F.lit(1), "bits_stored": F.lit(1)})))
 
 
+@query
+def png_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered images as PNG: its signature and the size that its header gives."""
+    found = frames.frames_of(part10.decode_files(part10.encode_arrays(image_files(spark, sf_dir, {**square(), "PixelData": raw_bytes(low_bytes())}))))
+    own = frames.as_png(frames.render(found))
+    number = lambda at: F.conv(F.hex(F.substring("png", at, 4)), 16, 10).cast("long")
+    return own.select(F.col("file_id").cast("long").alias("vec_id"), "status", F.hex(F.substring("png", 1, 8)).alias("signature"), number(17).alias("columns"), number(21).alias("rows"))
+
+
 @query
 def grey8_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8-bit grey as it is, turned round for MONOCHROME1."""
@@ -338,6 +347,7 @@ _HALVES = "samples[32 * f + 1:32 * f + 32]"
 SQL = {
     "palette_frames": _pixels("flatten(list_transform(samples, lambda x: CASE least(x % 4, 2) WHEN 0 THEN [0, 5, 9] WHEN 1 THEN [10, 15, 19] ELSE [200, 205, 209] END))"),
     "one_bit_frames": _pixels("list_transform(samples, lambda x: CASE WHEN (x % 2 = 1) <> (vec_id % 2 = 1) THEN 255 ELSE 0 END)"),
+    "png_images": "SELECT vec_id, 'ok' AS status, '89504E470D0A1A0A' AS signature, 8::BIGINT AS columns, 8::BIGINT AS rows FROM embeddings",
     "grey8_frames": _pixels("list_transform(samples, lambda x: CASE WHEN vec_id % 2 = 1 THEN 255 - x % 256 ELSE x % 256 END)"),
     "rgb_planar_frames": _pixels("flatten(list_transform(range(1, 21), lambda i: [samples[i] % 256, samples[20 + i] % 256, samples[40 + i] % 256]))"),
     "rgb16_frames": _pixels("list_transform(samples[1:60], lambda x: x * 16 // 256)"),

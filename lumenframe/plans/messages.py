@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe import protocol
+from lumenframe.functions import values
+from lumenframe.operators import lookup
 from lumenframe.plans.registry import query
 from lumenframe.plans.tables import spread, table
-from lumenframe.sources import part10
+from lumenframe.sources import part10, web
 
 
 def null(kind: str) -> Column:
@@ -112,6 +114,49 @@ def negotiated_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("assoc_id").alias("c_custkey"), F.coalesce(F.size("roles"), F.lit(0)).cast("long").alias("n"), role["scu"].cast("string").alias("scu"), role["scp"].cast("string").alias("scp"))
 
 
+@query
+def command_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses to echo and store requests, encoded and decoded; every fourth store fails."""
+    o = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    name = F.element_at(F.array(*[F.lit(n) for n in ("c_echo_rq", "c_store_rq", "c_find_rq")]), (F.pmod("o_orderkey", F.lit(3)) + 1).cast("int"))
+    own = F.struct(name.alias("command"), F.pmod("o_orderkey", F.lit(65536)).cast("int").alias("message_id"), F.lit("1.2").alias("sop_class"), F.lit("1.2.3").alias("sop_instance"))
+    asked = protocol.decode_commands(protocol.encode_commands(o.select("o_orderkey", own.alias("command"))).drop("status")).drop("status")
+    said = protocol.answers(asked, F.when(F.pmod("o_orderkey", F.lit(4)) == 0, 0xA700).otherwise(0))
+    got = protocol.decode_commands(protocol.encode_commands(said).drop("status")).drop("status")
+    return got.select("o_orderkey", "command.command", F.col("command.responded_to").cast("long").alias("responded_to"), F.col("command.status").cast("long").alias("status"))
+
+
+@query
+def web_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches, instances and frames of customers as DICOMweb addresses; frame numbers below one have none."""
+    c = table(spark, sf_dir, "customer")
+    study, key = F.concat(F.lit("1.2."), F.col("c_nationkey")), F.col("c_custkey").cast("string")
+    search = web.search_url("http://pacs/rs/", "series", study, query=F.create_map(F.lit("PatientName"), F.concat("c_name", F.lit(" &x")), F.lit("Modality"), F.lit("CT")), limit=10, offset=5)
+    numbers = F.array(F.col("c_nationkey").cast("int"), F.lit(2))
+    return c.select("c_custkey", search.alias("search"), web.instance_url("http://pacs/rs", study, F.lit("1.3"), key, "metadata").alias("metadata"), web.frames_url("http://pacs/rs", study, F.lit("1.3"), key, numbers).alias("frames"))
+
+
+def echoed(method: str, address: str, headers: dict, body: bytes | None) -> tuple[int, dict, bytes]:
+    """A transport without a network: what a small archive would answer, by the last part of the address."""
+    key = int(address.rsplit("/", 1)[-1])
+    if key % 5 == 0:
+        return 404, {}, b""
+    if key % 7 == 0:
+        return 503, {}, b""
+    text = '[{"00100020":{"vr":"LO","Value":["%d"]}},{"00100020":{"vr":"LO","Value":["second"]}}]' % key
+    return 200, {"content-type": headers.get("Accept", "")}, text.encode()
+
+
+@query
+def web_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a transport as decoded rows: what was not found or failed for good has its status."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("file_id"), web.url("http://pacs", F.col("c_custkey")).alias("url"), F.lit(web.JSON).alias("accept"))
+    got = web.performed(c, echoed, attempts=3)
+    files = web.found(got).select(F.split("file_id", "#")[0].alias("file_id"), values.text(lookup.attribute("elements", "PatientID")["value"]).alias("id"))
+    ids = files.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    return got.join(ids, "file_id", "left").select(F.col("file_id").cast("long").alias("c_custkey"), "status", F.col("code").cast("long").alias("code"), F.col("attempts").cast("long").alias("attempts"), "ids")
+
+
 @query
 def retry_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", (F.pmod("event_id", F.lit(400)) + 200).cast("int").alias("status"))
@@ -161,6 +206,16 @@ FROM (SELECT o_orderkey, true AS c FROM orders UNION SELECT l_orderkey, false FR
     "negotiated_roles": """
 SELECT c_custkey, (1 + (c_nationkey % 2 = 0)::INTEGER)::BIGINT AS n, CASE WHEN c_nationkey % 2 = 0 THEN 'true' END AS scu,
        CASE WHEN c_nationkey % 2 = 0 THEN CASE c_nationkey % 4 WHEN 0 THEN 'true' ELSE 'false' END END AS scp FROM customer""",
+    "command_answers": """
+SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'c_echo_rsp' ELSE 'c_store_rsp' END AS command, (o_orderkey % 65536)::BIGINT AS responded_to,
+       CASE WHEN o_orderkey % 3 = 1 AND o_orderkey % 4 = 0 THEN 42752 ELSE 0 END::BIGINT AS status FROM orders WHERE o_orderkey % 3 < 2""",
+    "web_addresses": """
+SELECT c_custkey, 'http://pacs/rs/studies/1.2.' || c_nationkey || '/series?Modality=CT&PatientName=' || replace(c_name, '#', '%23') || '%20%26x&limit=10&offset=5' AS search,
+       'http://pacs/rs/studies/1.2.' || c_nationkey || '/series/1.3/instances/' || c_custkey || '/metadata' AS metadata,
+       CASE WHEN c_nationkey > 0 THEN 'http://pacs/rs/studies/1.2.' || c_nationkey || '/series/1.3/instances/' || c_custkey || '/frames/' || c_nationkey || ',2' END AS frames FROM customer""",
+    "web_searches": """
+SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN 'unsuccessfulHTTPStatus' ELSE 'ok' END AS status, CASE WHEN c_custkey % 5 = 0 THEN 404 WHEN c_custkey % 7 = 0 THEN 503 ELSE 200 END::BIGINT AS code,
+       CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 7 = 0 THEN 3 ELSE 1 END::BIGINT AS attempts, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 THEN c_custkey || ',second' END AS ids FROM customer""",
     "retry_statuses": "SELECT event_id, CASE WHEN event_id % 400 + 200 = 429 OR event_id % 400 + 200 BETWEEN 500 AND 599 THEN 'true' ELSE 'false' END AS again FROM events",
     "multipart_bodies": """
 SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'invalidMultipartResponse' ELSE 'ok' END AS status, CASE WHEN doc_id % 5 <> 0 THEN sha256(coalesce(text, '')) END AS content FROM documents""",

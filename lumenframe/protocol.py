@@ -458,6 +458,17 @@ def association_states(pdus: DataFrame, keys: list[str], order: str) -> DataFram
     return out.select(*keys, F.coalesce("state", F.lit("idle")).alias("state"), (F.coalesce("violation", F.lit(False)) | (zero(F.col("n_outside")) > 0)).alias("violation"), zero(F.col("n_data")).cast("long").alias("n_data"))
 
 
+def answers(commands: DataFrame, store_status: Column | None = None) -> DataFrame:
+    """commands' rows that are C-ECHO or C-STORE requests, with the struct `command` of the response to each.
+
+    store_status is the status of each store, 0 unless given; other commands have no row.
+    """
+    asked = F.col("command.command")
+    status = F.when(asked == "c_echo_rq", F.lit(0)).otherwise(F.lit(0) if store_status is None else store_status).cast("int")
+    answer = F.struct(F.replace(asked, F.lit("_rq"), F.lit("_rsp")).alias("command"), F.col("command.message_id").alias("responded_to"), status.alias("status"), F.lit(False).alias("has_data_set"))
+    return commands.where(asked.isin("c_echo_rq", "c_store_rq")).withColumn("command", answer)
+
+
 def role_of(roles: Column, sop_class: Column) -> Column:
     """The first role (sop_class, scu, scp) of a SOP class in an array of them; NULL without one."""
     return F.get(F.filter(roles, lambda r: r["sop_class"] == sop_class), F.lit(0))

@@ -13,7 +13,7 @@ from lumenframe.functions import pixels, values
 from lumenframe.model import ATTRIBUTES, TAG
 from lumenframe.operators import deidentify, directory, frames, hierarchy, lookup, presentation, validate
 from lumenframe.plans import queries
-from lumenframe.sources import dicom_json, part10
+from lumenframe.sources import dicom_json, part10, web
 
 
 def elements(**own) -> dict[int, Element]:
@@ -359,3 +359,72 @@ def test_messages_for_each_batch(spark, tmp_path):
     finally:
         q.stop()
     assert seen == [(0, 1)]
+
+
+def test_web(spark):
+    """Against a small server on this machine: a search, an instance in parts, a store, and one failure that passes."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    stored, asked = [], []
+    content = encode_part10({}, elements(PatientName="Doe"))
+
+    class Handler(BaseHTTPRequestHandler):
+        def answer(self, code, kind=None, body=b""):
+            self.send_response(code)
+            if kind:
+                self.send_header("Content-Type", kind)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_GET(self):
+            asked.append(self.path)
+            if self.path.startswith("/studies?"):
+                self.answer(200, web.JSON, b'[{"00100020":{"vr":"LO","Value":["x"]}},{"00100020":{"vr":"LO","Value":3}}]')
+            elif self.path.endswith("/metadata"):
+                self.answer(503 if asked.count(self.path) < 3 else 200, web.JSON, b"[]")
+            elif self.path.endswith("/instances/i"):
+                self.answer(200, 'multipart/related; boundary="b"', binary.multipart_body([content], "b"))
+            else:
+                self.answer(404)
+
+        def do_POST(self):
+            stored.append(self.rfile.read(int(self.headers["Content-Length"])))
+            self.answer(200, web.JSON, b"{}")
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        one = spark.range(1)
+        u = lambda x: F.lit(x)
+        search = one.select(F.lit("q").alias("file_id"), web.search_url(base, "studies", limit=2).alias("url"))
+        assert [r.status for r in web.found(web.performed(search)).orderBy("file_id").collect()] == ["ok", "error"]
+        whole = one.select(F.lit("i").alias("file_id"), web.instance_url(base, u("s"), u("t"), u("i")).alias("url"))
+        got = web.retrieved(web.performed(whole))
+        assert [bytes(r.content) for r in got.collect()] == [content] and part10.decode_files(got).first().status == "ok"
+        again = one.select(F.lit("m").alias("file_id"), web.instance_url(base, u("s"), u("t"), u("i"), "metadata").alias("url"))
+        assert web.performed(again, attempts=5).first().attempts == 3
+        missing = spark.createDataFrame([("n", base + "/none"), ("w", "nonsense")], "file_id string, url string")
+        assert {(r.file_id, r.code, r.status) for r in web.performed(missing).collect()} == {("n", 404, "unsuccessfulHTTPStatus"), ("w", None, "invalidHTTPResponse")}
+        parts = spark.createDataFrame([("p", [content, b"2"])], "file_id string, parts array<binary>")
+        assert web.performed(web.store_requests(parts, base)).first().code == 200 and stored == [binary.multipart_body([content, b"2"], "lumenframe")]
+    finally:
+        server.shutdown()
+    with pytest.raises(ValueError, match="invalidQIDOPagination"):
+        web.search_url(base, "studies", limit=0)
+    with pytest.raises(ValueError, match="invalidRetryPolicy"):
+        web.performed(missing, attempts=0)
+
+
+def test_png():
+    import struct
+    import zlib
+
+    raw = frames.png_bytes(bytes(range(24)), 2, 4, 3)
+    at = raw.index(b"IDAT")
+    lines = zlib.decompress(raw[at + 4 : at + 4 + struct.unpack(">I", raw[at - 4 : at])[0]])
+    assert lines == b"\0" + bytes(range(12)) + b"\0" + bytes(range(12, 24)) and raw.endswith(b"IEND\xaeB`\x82")
