@@ -259,8 +259,9 @@ def tree(rows: list[dict]) -> dict[int, Element]:
         e = Element(row["tag"], row["vr"], bytes(row["value"] or b""), None, row.get("fragments"), bytes(row.get("bot") or b""), row)
         if row.get("item_count") is not None:
             e.items = [{} for _ in range(row["item_count"])]
-        for stale in [k for k in places if len(k) > len(where) and k[: len(where)] == where and k[len(where)][0] == e.tag]:
-            del places[stale]
+        if e.tag in places[where]:  # a duplicate takes the items of the one before it away
+            for stale in [k for k in places if len(k) > len(where) and k[: len(where)] == where and k[len(where)][0] == e.tag]:
+                del places[stale]
         places[where][e.tag] = e
         for i, item in enumerate(e.items or []):
             places[(*where, (e.tag, i))] = item

@@ -21,8 +21,7 @@ us = values.us_bytes
 
 def shown(spark: SparkSession, sf_dir: str, own: dict[str, Column], **options) -> DataFrame:
     """The images with other attributes, written, read, assembled and rendered: vec_id, frame, status, pixels."""
-    found = frames.frames_of(part10.decode_files(part10.encode_arrays(image_files(spark, sf_dir, own))))
-    return pixel_text(frames.render(found, **options))
+    return pixel_text(frames.render_files(part10.decode_files(part10.encode_arrays(image_files(spark, sf_dir, own))), **options))
 
 
 def pixel_text(rendered: DataFrame) -> DataFrame:
@@ -58,6 +57,70 @@ def one_bit_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixel_text(frames.render(found.withColumns({"columns": F.lit(64), "bits_allocated": F.lit(1), "bits_stored": F.lit(1)})))
 
 
+@query
+def modality_lut_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored values through a modality table of 4,000 entries that begins at 100, then a window of the caller's."""
+    files = image_files(spark, sf_dir, {"PhotometricInterpretation": text(F.lit("MONOCHROME2"))})
+    sequence = TAG["ModalityLUTSequence"]
+    e = part10.element
+    extra = F.array(
+        e(sequence, "SQ", F.lit(b""), ordinal=100, items=1),
+        e(TAG["LUTDescriptor"], "US", words_bytes(F.lit([4000, 100, 16])), ordinal=101, path=[(sequence, 0)]),
+        e(TAG["LUTData"], "OW", F.lit(struct.pack("<4000H", *[k * 3 % 5000 for k in range(4000)])), ordinal=102, path=[(sequence, 0)]),
+    )
+    whole = files.select("file_id", F.concat("elements", extra).alias("elements"))
+    return pixel_text(frames.render_files(part10.decode_files(part10.encode_arrays(whole)), window_center=2500.0, window_width=5001.0))
+
+
+#: JPEG-LS streams of the CharLS test corpus (BSD-3-Clause) or made with its encoder: rows, columns, components, precision, samples.
+JPEG_LS = (
+    ("FFD8FFF7000B080002000201011100FFDA00080101000000005A98FFD9", 2, 2, 1, 8, "1,2,3,4"),
+    ("FFD8FFF7000B0C0002000201011100FFDA000801010000000041830C0000000210FFD9", 2, 2, 1, 12, "1,2,4095,1024"),
+    ("FFD8FFF70011080001000103011100021100031100FFDA000C0301000200030000020002020700FFD9", 1, 1, 3, 8, "10,20,30"),
+    ("FFD8FFF70011080002000203011100021100031100FFDA000C0301000200030000010007000383DC86C000E000002EE00020D9D000000BBB80FFD9", 2, 2, 3, 8, "10,20,30,40,50,60,70,80,90,100,110,120"),
+)
+
+
+@query
+def jpeg_ls_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of another encoder as frames; every fifth is cut short and has its status."""
+    p = spread(table(spark, sf_dir, "part"), "p_partkey")
+    kind = (F.pmod("p_partkey", F.lit(len(JPEG_LS))) + 1).cast("int")
+    pick = lambda k: F.element_at(F.array(*[F.lit(s[k]) for s in JPEG_LS]), kind)
+    stream = F.unhex(pick(0))
+    stream = F.when(F.pmod("p_partkey", F.lit(5)) == 0, F.substring(stream, 1, 20)).otherwise(stream)
+    e, wide = part10.element, F.when(pick(4) > 8, 16).otherwise(8)
+    rows = [
+        e(TAG["SamplesPerPixel"], "US", us(pick(3)), ordinal=0),
+        e(TAG["PhotometricInterpretation"], "CS", F.when(pick(3) == 3, text(F.lit("RGB"))).otherwise(text(F.lit("MONOCHROME2"))), ordinal=1),
+        e(TAG["Rows"], "US", us(pick(1)), ordinal=2),
+        e(TAG["Columns"], "US", us(pick(2)), ordinal=3),
+        e(TAG["BitsAllocated"], "US", us(wide), ordinal=4),
+        e(TAG["BitsStored"], "US", us(pick(4)), ordinal=5),
+    ]
+    pixel = e(TAG["PixelData"], "OB", F.lit(b""), ordinal=6)
+    pixel = F.struct(*[(F.array(stream) if c == "fragments" else F.lit(b"") if c == "bot" else pixel[c]).alias(c) for c in part10.WRITTEN])
+    files = p.select(F.col("p_partkey").cast("string").alias("file_id"), F.concat(F.array(*rows), F.array(pixel)).alias("elements"))
+    found = frames.frames_of(part10.decode_files(part10.encode_arrays(files, "1.2.840.10008.1.2.4.80")))
+    samples = F.when(F.col("bits_allocated") == 16, F.array_join(values.us_list("value"), ",")).otherwise(bytes_text(F.col("value")))
+    return found.select(F.col("file_id").cast("long").alias("p_partkey"), (F.col("status") == "ok").cast("string").alias("fine"), samples.alias("samples"))
+
+
+#: Texts in the coded character sets of Japanese.
+JAPANESE = (("ISO_IR 13", "shift_jis", "ﾔﾏﾀﾞ ﾀﾛｳ"), ("\\ISO 2022 IR 87", "iso2022_jp", "山田 太郎"), ("ISO 2022 IR 87", "iso2022_jp", "検査 Kensa"), ("ISO_IR 192", "utf-8", "Größe 大"))
+
+
+@query
+def japanese_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes in four character sets, by what a data set declares; an unknown one gives no text."""
+    c = table(spark, sf_dir, "customer")
+    kind = (F.pmod("c_custkey", F.lit(5)) + 1).cast("int")
+    raw = F.element_at(F.array(*[F.lit(t.encode(codec)) for _, codec, t in JAPANESE], F.lit(b"x")), kind)
+    declared = F.element_at(F.array(*[F.lit(d) for d, _, _ in JAPANESE], F.lit("ISO_IR 999")), kind)
+    own = c.select("c_custkey", raw.alias("raw"), declared.alias("declared"))
+    return own.select("c_custkey", values.charset_text(F.col("raw"), F.col("declared")).alias("text"))
+
+
 @query
 def png_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered images as PNG: its signature and the size that its header gives."""
@@ -347,6 +410,11 @@ _HALVES = "samples[32 * f + 1:32 * f + 32]"
 SQL = {
     "palette_frames": _pixels("flatten(list_transform(samples, lambda x: CASE least(x % 4, 2) WHEN 0 THEN [0, 5, 9] WHEN 1 THEN [10, 15, 19] ELSE [200, 205, 209] END))"),
     "one_bit_frames": _pixels("list_transform(samples, lambda x: CASE WHEN (x % 2 = 1) <> (vec_id % 2 = 1) THEN 255 ELSE 0 END)"),
+    "modality_lut_frames": f"""
+WITH m AS (SELECT vec_id, list_transform(samples, lambda x: ((greatest(0, least(3999, x - 100))) * 3) % 5000) AS v FROM ({_SAMPLES}))
+SELECT vec_id, 0::BIGINT AS frame, 'ok' AS status, array_to_string(list_transform(v, lambda x: CASE WHEN x <= -0.5 THEN 0 WHEN x > 4999.5 THEN 255 ELSE CAST(round(((x - 2499.5) / 5000 + 0.5) * 255) AS INTEGER) END), ',') AS pixels FROM m""",
+    "jpeg_ls_frames": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'false' ELSE 'true' END AS fine, CASE WHEN p_partkey % 5 <> 0 THEN [" + ", ".join(f"'{s[5]}'" for s in JPEG_LS) + "][p_partkey % 4 + 1] END AS samples FROM part",
+    "japanese_text": "SELECT c_custkey, [" + ", ".join(f"'{t}'" for _, _, t in JAPANESE) + ", NULL][c_custkey % 5 + 1] AS text FROM customer",
     "png_images": "SELECT vec_id, 'ok' AS status, '89504E470D0A1A0A' AS signature, 8::BIGINT AS columns, 8::BIGINT AS rows FROM embeddings",
     "grey8_frames": _pixels("list_transform(samples, lambda x: CASE WHEN vec_id % 2 = 1 THEN 255 - x % 256 ELSE x % 256 END)"),
     "rgb_planar_frames": _pixels("flatten(list_transform(range(1, 21), lambda i: [samples[i] % 256, samples[20 + i] % 256, samples[40 + i] % 256]))"),

@@ -420,6 +420,12 @@ def test_web(spark):
         web.performed(missing, attempts=0)
 
 
+def test_rendering_in_one_step(spark):
+    own = decoded(spark, elements(**BASE, Columns=4, NumberOfFrames="2") | {TAG["PixelData"]: Element(TAG["PixelData"], "OW", np.arange(8, dtype="<u2").tobytes())}, elements(PatientName="x"))
+    rows = lambda d: sorted((r.file_id, r.frame_index or 0, r.status, bytes(r.pixels or b"")) for r in d.collect())
+    assert rows(frames.render_files(own)) == rows(frames.render(frames.frames_of(own))) and len(rows(frames.render_files(own))) == 3
+
+
 def test_png():
     import struct
     import zlib
