@@ -230,11 +230,37 @@ def test_suffix_dedup(spark, monkeypatch, spread, shard, block):
     docs += [d[: rnd.randint(0, len(d))] + "Q" + d[rnd.randint(0, len(d)) :] for d in docs[:10]]
     rows = list(enumerate(docs))
     rows += [rows[0], (None, docs[1])]
-    got = sorted(((r.doc_id if r.doc_id is not None else -1), *tuple(r)[1:]) for r in suffix_arrays.digests(suffix_arrays.suffix_dedup(frame(spark, rows))).collect())
+    got = sorted(((r.doc_id if r.doc_id is not None else -1), *tuple(r)[1:5]) for r in suffix_arrays.digests(suffix_arrays.suffix_dedup(frame(spark, rows))).collect())
     expected = sorted((-1 if d is None else d, *b) for (d, _), b in zip(rows, brute_spans([(t or "").encode() for _, t in rows], 400), strict=True))
     assert got == expected
 
 
+def test_passages_of_many_documents(spark):
+    """Passages of 51 to 200 words in several documents: those of LENGTH bytes go, as brute force says; shorter ones stay."""
+    rnd = random.Random(31)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = [prose(n) for n in (51, 55, 60, 64, 68, 72, 80, 120, 200)]
+    rows = [(k, " ".join([prose(rnd.randint(5, 60)), passages[k % 9], prose(rnd.randint(5, 60))])) for k in range(36)] + [(100 + k, prose(150)) for k in range(10)]
+    seen = defaultdict(int)
+    raw = {d: t.encode() for d, t in rows}
+    for t in raw.values():
+        for i in range(len(t) - suffix_arrays.LENGTH + 1):
+            seen[t[i : i + suffix_arrays.LENGTH]] += 1
+    got = {r.doc_id: r for r in suffix_arrays.digests(suffix_arrays.suffix_dedup(frame(spark, rows))).collect()}
+    for d, t in raw.items():
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - suffix_arrays.LENGTH + 1):
+            if seen[t[i : i + suffix_arrays.LENGTH]] > 1:
+                gone[i : i + suffix_arrays.LENGTH] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]])))
+        spans = ",".join(f"{a}:{b}" for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()))
+        assert (got[d].n_bytes, got[d].n_removed, got[d].spans) == (len(t), int(gone.sum()), spans)
+        long = d < 100 and len(passages[d % 9]) >= suffix_arrays.LENGTH
+        assert (got[d].n_removed > 0) == long
+    assert 0 < sum(len(p) < suffix_arrays.LENGTH for p in passages) < 9
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_arrays.suffix_dedup(frame(spark, [(1, "a")]).limit(0)).count() == 0
 
