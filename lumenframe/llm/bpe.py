@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.common import small_batches
+
 LONG = 512
 NONE = np.int32(2**31 - 1)
 #: Cells of one matrix, and pieces that a worker remembers.
@@ -237,6 +239,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, id_col:
     an empty text has no ids. Texts of any length are encoded whole; repeated rows give equal rows; an empty table
     gives none. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     with open(vocabulary_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])

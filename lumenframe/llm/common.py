@@ -40,6 +40,17 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), rid_of(id_col, text_col).alias("rid"))
 
 
+#: Rows of whole texts that go to a Python worker together, at most; Spark's own 10,000 may be far beyond a worker's memory.
+TEXTS_PER_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to TEXTS_PER_BATCH rows; a lower setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= TEXTS_PER_BATCH:
+        spark.conf.set(key, str(TEXTS_PER_BATCH))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; in local mode a temporary one where none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

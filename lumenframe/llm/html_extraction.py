@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import staged
+from lumenframe.llm.common import small_batches, staged
 
 SLOTS = 3
 BROADCAST_BYTES = 32 << 20
@@ -534,6 +534,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Whole pages are read, of any length and depth; repeated rows give equal rows; an empty table gives none. Other columns are
     ignored.
     """
+    small_batches(pages.sparkSession)
     rows = prepared(pages, id_col, url_col, html_col)
     first = staged(exemplars(rows), "exemplars")
     learned = staged(induced(first, node_counts(*beside(rows, first))), "wrappers")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.common import small_batches
+
 #: Identifiers and texts of public licences' sentences. An asterisk stands for any words: inside, up to where the
 #: sentence goes on, and before it begins anew; at the end, up to the end of the line or sentence.
 SENTENCES = {
@@ -252,6 +254,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     equal rows; an empty table gives none. Sentences that no rule uses are reported but give no licence. An SPDX line
     gives the identifier it names. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     item = pa.struct([("id", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("sentences", pa.list_(item)), ("licences", pa.list_(pa.string()))])
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import keyed, staged
+from lumenframe.llm.common import keyed, small_batches, staged
 
 SHINGLE, SIMILARITY = 5, 0.8
 COORDINATES, SKETCH = 128, 64
@@ -351,6 +351,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     and empty texts and texts without words have no links and are classes of their own. Repeated rows are copies.
     Null doc_ids come first in a class. An empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     described_ = staged(describe_sets(rows), "sets")
     sid = F.xxhash64("identity", "size")

@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.common import small_batches
+
 SAMPLE_PER_CLASS = 6000
 CHUNKS_PER_CLASS = 2000
 CHUNK = 2000
@@ -119,6 +121,7 @@ def score_udf(model: QualityModel):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Learns from labelled rows outside the held-out fold; labels that are null or neither 0 nor 1 count for nothing."""
+    small_batches(docs.sparkSession)
     label = F.col(label_col).cast("int")
     usable = labels.select(F.col(id_col).cast("long").alias("doc_id"), label.alias("y")).where("y in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
     totals = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}

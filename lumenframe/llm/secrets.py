@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.common import small_batches
+
 #: Kinds in order of listing, with their patterns and least lengths.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -255,6 +257,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole; cut_short says that a compressed layer exceeded LAYER_BYTES. Repeated rows give equal rows, an empty table
     gives none; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("via", pa.string())])
     schema = pa.schema([("doc_id", pa.int64()), ("found", pa.list_(kind)), ("cut_short", pa.bool_())])
 

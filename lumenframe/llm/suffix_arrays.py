@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenframe.llm.common import keyed, staged
+from lumenframe.llm.common import keyed, small_batches, staged
 
 LENGTH, GRAM = 400, 64
 #: Bytes of text that a worker looks at together, bytes of a shard (its suffixes need about 100 times that), segments
@@ -367,6 +367,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     long texts are looked at in overlapping stretches. Rows that repeat doc_id and text repeat each other's strings,
     so from `length` bytes on they are removed whole. An empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     spans = repeated_spans(rows.select("rid", "text"), length, gram)
     joined = rows.join(spans, "rid", "left").select("doc_id", F.col("text").cast("binary").alias("raw"), F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"))

@@ -213,6 +213,20 @@ def test_secret_rows(spark):
     assert rows[None].spans == "access:0:20,hex:21:61" and rows[0].spans == rows[1].spans == rows[4].spans == ""
 
 
+def test_batches_of_texts_are_small(spark):
+    from lumenframe.llm.common import small_batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for own, then in (("10000", "1000"), ("0", "1000"), ("200", "200")):
+            spark.conf.set(key, own)
+            small_batches(spark)
+            assert spark.conf.get(key) == then
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_licences(spark):
     mit = "MIT License\n\n" + "\n".join(licenses.SENTENCES[k].replace("free of charge,", "free of\ncharge,") for k in ("mit-grant", "mit-notice", "as-is-software"))
     texts = [None, "", "foo.\nLicensed under the Apache License, Version 2.0.\nbar", "We are not licensed under the Apache License, Version 2.0. Sorry.", mit, "SPDX-License-Identifier: MIT-0\nx", "RELEASED  under the MIT license!\nLicensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3."]
