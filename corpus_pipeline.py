@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import bpe, decontamination, exact_dedup, ngram_join, quality
-from lumenframe.llm.common import fresh, rid_of, scratch_dir, table
+from lumenframe.llm.common import few_or_all, fresh, rid_of, scratch_dir, staged, table, without
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -38,12 +38,16 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     stays, whichever it is where they differ in other columns. An empty table gives no rows; texts may have any length;
     other columns stay, whatever their names.
     """
-    kept = exact_dedup.exact_dedup(docs).where("kept")
     rid, own = fresh(docs, "rid"), exact_dedup.normalised(F.col("text").cast("string"))
     marked = docs.withColumn(rid, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(own, 256).alias("text_sha256")))
-    kept = kept.select(F.struct("doc_id", "text_sha256").alias(rid))
-    # Only rows that repeat doc_id and text share a key; the join has dealt the rows out by it already.
-    return marked.join(kept, rid, "left_semi").dropDuplicates([rid]).drop(rid)
+    copies = exact_dedup.exact_dedup(docs).where("group_size > 1").groupBy(F.struct("doc_id", "text_sha256").alias(rid)).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    # Copies that go, and rows that repeat doc_id and text; everything else stays where it is.
+    odd = staged(copies.where("not kept or n > 1"), "copies")
+    out = without(marked, odd, rid)
+    twins = staged(odd.where("kept").select(rid), "twins")
+    if not twins.isEmpty():
+        out = out.unionByName(marked.join(few_or_all(twins), rid, "left_semi").dropDuplicates([rid]))
+    return out.drop(rid)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +57,9 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeat doc_id and text stay or go together. An empty table gives no rows; texts may have any length; other columns
     stay, whatever their names.
     """
-    firsts = ngram_join.similar_documents(docs).where("first")
     rid = fresh(docs, "rid")
-    return docs.withColumn(rid, rid_of("doc_id", "text")).join(firsts.select(F.col("rid").alias(rid)), rid, "left_semi").drop(rid)
+    later = ngram_join.similar_documents(docs).where("not first").select(F.col("rid").alias(rid)).distinct()
+    return without(docs.withColumn(rid, rid_of("doc_id", "text")), later, rid).drop(rid)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +69,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     table gives no rows, an empty benchmark takes none away; texts may have any length; other columns stay, whatever
     their names.
     """
-    hits = decontamination.contained_items(docs, table(spark, sf_dir, "benchmark")).select("rid").distinct()
     rid = fresh(docs, "rid")
-    return docs.withColumn(rid, rid_of("doc_id", "text")).join(hits.withColumnRenamed("rid", rid), rid, "left_anti").drop(rid)
+    hits = decontamination.contained_items(docs, table(spark, sf_dir, "benchmark")).select(F.col("rid").alias(rid)).distinct()
+    return without(docs.withColumn(rid, rid_of("doc_id", "text")), hits, rid).drop(rid)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
