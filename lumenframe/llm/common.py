@@ -71,20 +71,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Keys that rows are held against are broadcast up to this many (of some 20 to 60 bytes); beyond, both sides are shuffled.
-KEY_ROWS = 500_000
-
-
-def few_or_all(keys: DataFrame) -> DataFrame:
-    """A written table of keys, with a broadcast hint if it is small, as counted."""
-    return F.broadcast(keys) if keys.count() <= KEY_ROWS else keys
-
-
-def without(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """rows whose key is not among the keys; while those are few, rows stay where they are."""
-    return rows.join(few_or_all(staged(keys.select(on), "left_out")), on, "left_anti")
-
-
 def hex_of(column: Column) -> Column:
     return F.lower(F.hex(column))
 
