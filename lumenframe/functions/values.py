@@ -22,7 +22,7 @@ def _col(c: Column | str) -> Column:
 
 def text(value: Column | str) -> Column:
     """UTF-8 text without trailing spaces and zeros; leading ones stay."""
-    return F.regexp_replace(F.try_validate_utf8(_col(value).cast("string")), "[\\x00 ]+$", "")
+    return F.rtrim(F.try_validate_utf8(_col(value).cast("string")), F.lit("\0 "))
 
 
 def texts(value: Column | str) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenframe import binary
+from lumenframe.arrow import mapped
 from lumenframe.dataset import DataSet
 
 RECORD = T.StructType(
@@ -64,7 +65,7 @@ def directory_records(decoded: DataFrame) -> DataFrame:
             for file_id, own in zip(batch.column(0).to_pylist(), binary.element_rows(batch.column(1)), strict=True):
                 yield pa.RecordBatch.from_pylist(records_in(file_id, own), schema=schema)
 
-    return decoded.where("status = 'ok'").select("file_id", "elements").mapInArrow(run, RECORD)
+    return mapped(decoded.where("status = 'ok'").select("file_id", "elements"), run, RECORD)
 
 
 NODE = "file_id string, status string, place long, level int, offset long, parent_offset long"

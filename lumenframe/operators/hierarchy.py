@@ -10,9 +10,16 @@ from lumenframe.functions import values
 from lumenframe.operators.lookup import columns_of
 
 
+#: What places an instance; part10.decode_columns reads it alone.
+KEYS = ["StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID", "InstanceNumber", "ImagePositionPatient"]
+
+
 def instances(decoded: DataFrame) -> DataFrame:
-    """One row per decoded file: study_uid, series_uid ('' if missing), sop_uid, instance_number, position, z; no shuffle."""
-    own = columns_of(decoded, ["StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID", "InstanceNumber", "ImagePositionPatient"])
+    """One row per decoded file: study_uid, series_uid ('' if missing), sop_uid, instance_number, position, z; no shuffle.
+
+    decoded has elements, or the columns KEYS as part10.decode_columns gives them.
+    """
+    own = columns_of(decoded, KEYS) if "elements" in decoded.columns else decoded
     position = values.decimals("ImagePositionPatient")
     return own.select(
         "file_id",

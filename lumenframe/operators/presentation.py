@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenframe import binary
+from lumenframe.arrow import mapped
 from lumenframe.dataset import INTEGER, DataSet
 from lumenframe.model import SOP_CLASSES
 from lumenframe.operators.frames import DOUBLE, FRAME, INT, LUT, PRESET, SHUTTER, TEXT, _struct, lut_shape_of, shutter_of, table_of, window_presets
@@ -122,7 +123,7 @@ def presentation_states(decoded: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_pylist([state_in(a, b) for a, b in zip(batch.column(0).to_pylist(), binary.element_rows(batch.column(1)), strict=True)], schema=schema)
 
-    return decoded.where("status = 'ok'").select("file_id", "elements").mapInArrow(run, STATE)
+    return mapped(decoded.where("status = 'ok'").select("file_id", "elements"), run, STATE)
 
 
 def scoped(items: DataFrame, targets: DataFrame, keys: list[str], uid: str = "sop_instance_uid") -> DataFrame:

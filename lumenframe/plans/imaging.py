@@ -396,7 +396,7 @@ def hierarchy_without_uids(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spread(table(spark, sf_dir, "customer"), "c_custkey")
     third = F.pmod("c_nationkey", F.lit(3)) == 0
     own = {"SeriesInstanceUID": F.when(~third, text(F.concat(F.lit("1."), "c_nationkey"))), "SOPInstanceUID": F.when(F.pmod("c_custkey", F.lit(2)) == 0, text(F.lpad(F.col("c_custkey").cast("string"), 9, "0"))), "InstitutionName": F.when(F.pmod("c_custkey", F.lit(5)) == 0, text("c_name"))}
-    decoded = part10.decode_files(part10.encode_arrays(c.select(F.col("c_custkey").cast("string").alias("file_id"), part10.data_set(own).alias("elements"))))
+    decoded = part10.decode_columns(part10.encode_arrays(c.select(F.col("c_custkey").cast("string").alias("file_id"), part10.data_set(own).alias("elements"))), hierarchy.KEYS)
     found = hierarchy.series(hierarchy.instances(decoded))
     return found.select("series_uid", F.col("n_instances").cast("long").alias("n_instances"), F.array_join("sop_uids", ",").alias("sop_uids"))
 

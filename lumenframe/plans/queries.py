@@ -22,7 +22,8 @@ from lumenframe.sources import dicom_json, part10
 
 def round_trip(syntax: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = lookup.columns_of(decoded_customers(spark, sf_dir, syntax), ["PatientName", "PatientID", "PatientWeight", "Rows", "InstitutionName"])
+        files = part10.encode_arrays(customers(spark, sf_dir), syntax)
+        own = part10.decode_columns(files, ["PatientName", "PatientID", "PatientWeight", "Rows", "InstitutionName"])
         return own.select(values.text("PatientID").cast("long").alias("c_custkey"), values.text("PatientName").alias("c_name"), values.text("InstitutionName").alias("c_mktsegment"), F.round(values.decimal("PatientWeight") * 100).cast("long").alias("cents"), (values.us("Rows") - 1).alias("c_nationkey"))
 
     return run
@@ -56,13 +57,13 @@ def hierarchy_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").withColumn("q", F.col("l_quantity").cast("int"))
     uid = F.concat_ws(".", F.lit("1.2"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     files = spread(li, "l_orderkey").select(uid.alias("file_id"), part10.data_set({"SOPInstanceUID": text(uid), "StudyInstanceUID": text(F.lit("1.2")), "SeriesInstanceUID": text("l_orderkey"), "InstanceNumber": text("l_linenumber"), "ImagePositionPatient": text(F.concat(F.lit("0\\0\\"), F.col("q")))}).alias("elements"))
-    own = hierarchy.instances(part10.decode_files(part10.encode_arrays(files)))
+    own = hierarchy.instances(part10.decode_columns(part10.encode_arrays(files), hierarchy.KEYS))
     return hierarchy.ordered(own, ["study_uid", "series_uid"]).select(F.col("series_uid").cast("long").alias("l_orderkey"), F.col("place").cast("long").alias("place"), F.col("instance_number").alias("l_linenumber"))
 
 
 @query
 def series_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = hierarchy.instances(decoded_customers(spark, sf_dir, model.EXPLICIT_LE))
+    own = hierarchy.instances(part10.decode_columns(part10.encode_arrays(customers(spark, sf_dir)), hierarchy.KEYS))
     return hierarchy.series(own).select("series_uid", F.col("n_instances").cast("long"), F.array_join("sop_uids", ",").alias("sop_uids"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lumenframe.arrow import mapped
 from lumenframe.functions import values
 from lumenframe.sources import part10
 
@@ -55,7 +56,7 @@ def with_doubles(rows: DataFrame, numbers: str, out: str) -> DataFrame:
             raw = [None if x is None else np.array(x, "<f8").tobytes() for x in batch.column(len(keys)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(raw, pa.binary())], schema=arrow)
 
-    return rows.select(*keys, numbers).mapInArrow(run, schema)
+    return mapped(rows.select(*keys, numbers), run, schema)
 
 
 def text(column: Column | str) -> Column:

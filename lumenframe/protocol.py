@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from lumenframe.arrow import mapped
 from lumenframe.operators.lookup import small
 
 # Fixed values of PS3.7/PS3.8.
@@ -335,7 +336,7 @@ def decode_pdus(log: DataFrame, payload: str = "payload") -> DataFrame:
                 out += [{**row, "type": pdu["type"], "pdv": k, **v, "status": "ok"} for k, v in enumerate(parts)]
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return log.select(*keys, payload).mapInArrow(run, schema)
+    return mapped(log.select(*keys, payload), run, schema)
 
 
 CONTEXT = "struct<id:int,abstract_syntax:string,transfer_syntaxes:array<string>,result:string,transfer_syntax:string>"
@@ -388,7 +389,7 @@ def _mapped(rows: DataFrame, column: str, out: str, kind: str, work) -> DataFram
                     statuses.append(str(e))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(results, arrow.field(out).type), pa.array(statuses, pa.string())], schema=arrow)
 
-    return rows.select(*keys, column).mapInArrow(run, schema)
+    return mapped(rows.select(*keys, column), run, schema)
 
 
 def encode_pdus(rows: DataFrame, pdu: str = "pdu", payload: str = "payload") -> DataFrame:

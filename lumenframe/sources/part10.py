@@ -6,7 +6,7 @@ that array. A file that cannot be read becomes a row with status 'error', it doe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -16,10 +16,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenframe import binary
+from lumenframe.arrow import mapped
 from lumenframe.functions import values
-from lumenframe.model import ATTRIBUTES, ELEMENT, EXPLICIT_LE, dictionary
+from lumenframe.model import ATTRIBUTES, ELEMENT, EXPLICIT_LE, TAG, dictionary
 from lumenframe.operators.frames import frame_ranges
 from lumenframe.operators.lookup import attribute
+from lumenframe.sources import shapes
 
 DECODED = T.StructType(
     [
@@ -57,40 +59,52 @@ def decode_files(files: DataFrame, id_col: str = "file_id", content_col: str = "
     vrs adds to the dictionary for Implicit VR, say model.read_dictionary's whole table; the built-in rows win. A null content is an error like an empty one.
     """
     schema = to_arrow_schema(DECODED)
+    make = _reader(transfer_syntax, pixels, tags, vrs, mode)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = make()
+        for batch in batches:
+            yield from reader.batches(batch.column(0), batch.column(1))
+
+    return mapped(files.select(F.col(id_col).cast("string"), F.col(content_col).cast("binary")), run, DECODED)
+
+
+def decode_columns(files: DataFrame, names: list[str], id_col: str = "file_id", content_col: str = "content", *, transfer_syntax: str | None = None, vrs: dict[int, str] | None = None, mode: str = "PERMISSIVE") -> DataFrame:
+    """The same rows as lookup.columns_of(decode_files(files), names) in one step: other elements than these never leave the batch."""
+    out = T.StructType([T.StructField("file_id", T.StringType()), *[T.StructField(n, T.BinaryType()) for n in names]])
+    schema, wanted = to_arrow_schema(out), [TAG[n] for n in names]
+    make = _reader(transfer_syntax, "load", wanted, vrs, mode)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = make()
+        for batch in batches:
+            yield from reader.column_batches(batch.column(0), batch.column(1), wanted, schema)
+
+    return mapped(files.select(F.col(id_col).cast("string"), F.col(content_col).cast("binary")), run, out)
+
+
+def _reader(transfer_syntax: str | None, pixels: str, tags: list[int] | None, vrs: dict[int, str] | None, mode: str) -> Callable[[], shapes.Reader]:
+    """What makes a task's reader of contents."""
+    schema = to_arrow_schema(DECODED)
     wanted = None if tags is None else frozenset(tags)
     vrs = None if vrs is None else dictionary(vrs)
+    options = {"pixels": pixels, "tags": wanted, "vrs": vrs}
 
     def one(content: bytes | None) -> tuple[dict, list[dict]]:
         row = {"length": None if content is None else len(content), "transfer_syntax_uid": transfer_syntax, "status": "ok", "error_kind": None, "error_detail": None}
         rows: list[dict] = []
         try:
             if transfer_syntax is None:
-                row["transfer_syntax_uid"], rows = binary.decode_part10(content or b"", pixels=pixels, tags=wanted, vrs=vrs)
+                row["transfer_syntax_uid"], rows = binary.decode_part10(content or b"", **options)
             else:
-                rows = binary.decode_dataset(content or b"", transfer_syntax, pixels=pixels, tags=wanted, vrs=vrs)
+                rows = binary.decode_dataset(content or b"", transfer_syntax, **options)
         except binary.DecodeError as e:
             if mode == "FAILFAST":
                 raise
             row |= {"status": "error", "error_kind": e.kind, "error_detail": e.detail}
         return row, rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, heads, own, size = [], [], [], 0
-        for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                content = b.as_py()
-                head, rows = one(content)
-                ids.append(a.as_py())
-                heads.append(head)
-                own.append(rows)
-                size += len(content or b"") + 200 * len(rows)
-                if size >= BATCH_BYTES:
-                    yield _decoded_batch(ids, heads, own, schema)
-                    ids, heads, own, size = [], [], [], 0
-        if ids:
-            yield _decoded_batch(ids, heads, own, schema)
-
-    return files.select(F.col(id_col).cast("string"), F.col(content_col).cast("binary")).mapInArrow(run, DECODED)
+    return lambda: shapes.Reader(one, transfer_syntax, options, schema, _decoded_batch)
 
 
 def _lists(parts: list[list | None]) -> tuple[pa.Array, list]:
@@ -169,15 +183,11 @@ def encode_arrays(files: DataFrame, transfer_syntax: str = EXPLICIT_LE, *, datas
         return row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[dict, int]]:
-            for batch in batches:
-                for a, own in zip(batch.column(0).to_pylist(), binary.element_rows(batch.column(1)), strict=True):
-                    row = one(a, own)
-                    yield row, len(row["content"] or b"")
-
-        return _batches(rows(), schema)
+        writer = shapes.Writer(transfer_syntax, dataset_only, undefined_lengths, one, schema)
+        for batch in batches:
+            yield from writer.batches(batch.column(0), batch.column(1))
 
-    return files.select(F.col("file_id").cast("string"), "elements").mapInArrow(run, ENCODED)
+    return mapped(files.select(F.col("file_id").cast("string"), "elements"), run, ENCODED)
 
 
 def element(tag: int, vr: str, value: Column | None, *, ordinal: int = 0, path: list[tuple[int, int]] = (), is_meta: bool = False, items: int | None = None) -> Column:
@@ -275,7 +285,7 @@ def read_at(ranges: DataFrame, path_col: str = "file_id") -> DataFrame:
 
         return _batches(rows(), arrow)
 
-    return ranges.repartition(path_col).sortWithinPartitions(path_col, "offset").select(*keys).mapInArrow(run, schema)
+    return mapped(ranges.repartition(path_col).sortWithinPartitions(path_col, "offset").select(*keys), run, schema)
 
 
 def multipart_bodies(instances: DataFrame, boundary: str) -> DataFrame:
@@ -286,7 +296,7 @@ def multipart_bodies(instances: DataFrame, boundary: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([binary.multipart_body(x, boundary) for x in batch.column(1).to_pylist()], pa.binary())], schema=schema)
 
-    return instances.select("file_id", "parts").mapInArrow(run, "file_id string, body binary")
+    return mapped(instances.select("file_id", "parts"), run, "file_id string, body binary")
 
 
 def first_parts(bodies: DataFrame) -> DataFrame:
@@ -298,7 +308,7 @@ def first_parts(bodies: DataFrame) -> DataFrame:
             found = [binary.first_multipart_body(b or b"", c or "") for b, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(["invalidMultipartResponse" if f is None else "ok" for f in found], pa.string())], schema=schema)
 
-    return bodies.select("file_id", "body", "content_type").mapInArrow(run, "file_id string, content binary, status string")
+    return mapped(bodies.select("file_id", "body", "content_type"), run, "file_id string, content binary, status string")
 
 
 def register_parser(spark: SparkSession, name: str = "dicom_elements") -> None:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.arrow import mapped
 from lumenframe.sources import dicom_json, part10
 
 Transport = Callable[[str, str, dict, bytes | None], tuple[int, dict, bytes]]
@@ -98,7 +99,7 @@ def performed(requests: DataFrame, transport: Transport = urllib_transport, atte
                 yield pa.RecordBatch.from_pylist([one(r) for r in batch.slice(k, 16).to_pylist()], schema=schema)
 
     have = [F.col(c) if c in requests.columns else F.lit(None).cast(t).alias(c) for c, t in (("file_id", "string"), ("url", "string"), ("method", "string"), ("accept", "string"), ("content_type", "string"), ("body", "binary"))]
-    return requests.select(*have).mapInArrow(run, "file_id string, url string, code int, content_type string, body binary, attempts int, status string")
+    return mapped(requests.select(*have), run, "file_id string, url string, code int, content_type string, body binary, attempts int, status string")
 
 
 def found(responses: DataFrame) -> DataFrame:
