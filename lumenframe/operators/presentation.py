@@ -121,7 +121,7 @@ def presentation_states(decoded: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([state_in(a, b) for a, b in zip(batch.column(0).to_pylist(), binary.element_rows(batch.column(1)), strict=True)], schema=schema)
+            yield pa.RecordBatch.from_pylist([state_in(a, b) for a, b in zip(batch.column(0).to_pylist(), binary.element_rows(batch.column(1), binary.NEEDED), strict=True)], schema=schema)
 
     return mapped(decoded.where("status = 'ok'").select("file_id", "elements"), run, STATE)
 

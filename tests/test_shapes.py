@@ -133,3 +133,14 @@ def test_what_a_worker_holds_does_not_grow_with_the_batch():
     contents = pa.concat_arrays([b.column(1) for b in batches])
     assert [b.num_rows for b in reader.batches(ids, contents)] == [shapes.FILES] * 4
     assert struct.unpack("<H", reader.batch(ids[:1], contents[:1]).column("elements")[0].as_py()[-1]["value"])
+
+
+def test_python_values_equal_to_pylist():
+    rng = random.Random(9)
+    maybe = lambda x: None if rng.random() < 0.3 else x
+    one = lambda: {"i": maybe(rng.randrange(-5, 5)), "b": maybe(rng.random() < 0.5), "t": maybe("é" * rng.randrange(3)), "raw": maybe(b"x" * rng.randrange(3)), "d": maybe(0.5), "own": maybe([maybe({"tag": maybe(1 << 40), "item": maybe(1)}) for _ in range(rng.randrange(3))]), "many": maybe([maybe(b"a") for _ in range(rng.randrange(3))])}
+    kind = pa.struct([("i", pa.int32()), ("b", pa.bool_()), ("t", pa.string()), ("raw", pa.binary()), ("d", pa.float64()), ("own", pa.list_(pa.struct([("tag", pa.int64()), ("item", pa.int32())]))), ("many", pa.list_(pa.binary()))])
+    column = pa.array([maybe([maybe(one()) for _ in range(rng.randrange(4))]) for _ in range(200)], pa.list_(kind))
+    for own in (column, column.slice(7, 90), column[:0]):
+        assert binary.python_values(own) == own.to_pylist()
+        assert list(binary.element_rows(own)) == [x or [] for x in own.to_pylist()]
