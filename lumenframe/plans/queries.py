@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe import model, protocol
+from lumenframe.arrow import small_batches
 from lumenframe.functions import pixels, values
 from lumenframe.model import TAG
 from lumenframe.operators import deidentify, directory, frames, hierarchy, lookup, presentation, validate
@@ -195,10 +196,9 @@ def shutter_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     rectangle = F.expr("named_struct('kind','RECTANGULAR','left',1 + p_size % 3,'right',8 - p_size % 2,'upper',1,'lower',4 + p_size % 5,'row',0,'column',0,'radius',0,'vertices',cast(array() as array<struct<row:int,column:int>>))").cast(whole)
     circle = F.expr("named_struct('kind','CIRCULAR','left',0,'right',0,'upper',0,'lower',0,'row',4,'column',4,'radius',3 + p_size % 3,'vertices',cast(array() as array<struct<row:int,column:int>>))").cast(whole)
     triangle = F.expr("named_struct('kind','POLYGONAL','left',0,'right',0,'upper',0,'lower',0,'row',0,'column',0,'radius',0,'vertices',array(named_struct('row',0,'column',0),named_struct('row',9,'column',0),named_struct('row',9,'column',9 + p_size % 4)))").cast(whole)
-    p = table(spark, sf_dir, "part").select("p_partkey", F.array(rectangle, circle, triangle).alias("shapes"))
-    grid = F.sequence(F.lit(0), F.lit(63))
-    seen = F.filter(grid, lambda i: ~pixels.obscured(F.floor(i / 8).cast("int") + 1, F.pmod(i, F.lit(8)) + 1, F.col("shapes")))
-    return p.select("p_partkey", F.size(seen).cast("long").alias("visible"), F.array_join(seen, ",").alias("pixels"))
+    small_batches(spark)
+    p = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", pixels.visible(F.array(rectangle, circle, triangle), 8, 8).alias("seen"))
+    return p.select("p_partkey", F.size("seen").cast("long").alias("visible"), F.array_join("seen", ",").alias("pixels"))
 
 
 def compressed_files(spark: SparkSession, sf_dir: str, kind: str, own: dict[str, Column] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -434,3 +435,31 @@ def test_png():
     at = raw.index(b"IDAT")
     lines = zlib.decompress(raw[at + 4 : at + 4 + struct.unpack(">I", raw[at - 4 : at])[0]])
     assert lines == b"\0" + bytes(range(12)) + b"\0" + bytes(range(12, 24)) and raw.endswith(b"IEND\xaeB`\x82")
+
+
+def test_visible_pixels_equal_those_that_are_not_obscured(spark):
+    """Masks in numpy against the expression, with shapes that lack numbers or vertices; a large table took 64 interpreted tests a row."""
+    shape = "struct<kind:string,left:int,right:int,upper:int,lower:int,row:int,column:int,radius:int,vertices:array<struct<row:int,column:int>>>"
+    corner = [(0, 0), (9, 0), (9, 7)]
+    shapes = [("RECTANGULAR", 2, 7, 1, 5, 0, 0, 0, []), ("RECTANGULAR", None, 7, 1, 5, 0, 0, 0, []), ("CIRCULAR", 0, 0, 0, 0, 4, 4, 3, []), ("CIRCULAR", 0, 0, 0, 0, 4, 4, None, []), ("POLYGONAL", 0, 0, 0, 0, 0, 0, 0, corner), ("POLYGONAL", 0, 0, 0, 0, 0, 0, 0, corner[:2]), ("POLYGONAL", 0, 0, 0, 0, 0, 0, 0, [*corner, (None, 3)]), ("BITMAP", 0, 0, 0, 0, 0, 0, 0, [])]
+    rows = [(k, own) for k, own in enumerate([[], *[[a, b] for a in shapes for b in shapes]])]
+    df = spark.createDataFrame(rows, f"k int, shapes array<{shape}>")
+    grid = F.sequence(F.lit(0), F.lit(63))
+    slow = F.filter(grid, lambda i: ~pixels.obscured(F.floor(i / 8).cast("int") + 1, F.pmod(i, F.lit(8)) + 1, F.col("shapes")))
+    got = df.select(slow.alias("a"), pixels.visible(F.col("shapes"), 8, 8).alias("b")).collect()
+    assert len(got) == 65 and all(r.a == r.b for r in got) and any(0 < len(r.a) < 64 for r in got)
+
+
+def test_batches_for_python_are_small(spark):
+    """At most arrow.ROWS_PER_BATCH rows, whatever the session says, unless it says less."""
+    from lumenframe import arrow
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for own, then in (("10000", 500), ("0", 500), ("70", 70)):
+            spark.conf.set(key, own)
+            sizes = arrow.mapped(spark.range(0, 1200, 1, 1), lambda batches: (b.slice(0, 1).set_column(0, "n", pa.array([b.num_rows])) for b in batches), "n long")
+            assert max(r.n for r in sizes.collect()) == then
+    finally:
+        spark.conf.set(key, before)
