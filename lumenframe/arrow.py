@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -23,3 +24,16 @@ def mapped(rows: DataFrame, run: Callable, schema: T.StructType | str) -> DataFr
     """rows.mapInArrow with small batches."""
     small_batches(rows.sparkSession)
     return rows.mapInArrow(run, schema)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about so many rows, or bytes where they come first: for work that has a cost a batch."""
+    own, n, size = [], 0, 0
+    for batch in batches:
+        if own and (n + batch.num_rows > rows or size + batch.nbytes > limit):
+            yield pa.concat_batches(own)
+            own, n, size = [], 0, 0
+        own.append(batch)
+        n, size = n + batch.num_rows, size + batch.nbytes
+    if own:
+        yield pa.concat_batches(own)

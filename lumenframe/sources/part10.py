@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenframe import binary
-from lumenframe.arrow import mapped
+from lumenframe.arrow import gathered, mapped
 from lumenframe.functions import values
 from lumenframe.model import ATTRIBUTES, ELEMENT, EXPLICIT_LE, TAG, dictionary
 from lumenframe.operators.frames import frame_ranges
@@ -63,7 +63,7 @@ def decode_files(files: DataFrame, id_col: str = "file_id", content_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = make()
-        for batch in batches:
+        for batch in gathered(batches, shapes.FILES, shapes.BYTES):
             yield from reader.batches(batch.column(0), batch.column(1))
 
     return mapped(files.select(F.col(id_col).cast("string"), F.col(content_col).cast("binary")), run, DECODED)
@@ -77,7 +77,7 @@ def decode_columns(files: DataFrame, names: list[str], id_col: str = "file_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = make()
-        for batch in batches:
+        for batch in gathered(batches, shapes.FILES, shapes.BYTES):
             yield from reader.column_batches(batch.column(0), batch.column(1), wanted, schema)
 
     return mapped(files.select(F.col(id_col).cast("string"), F.col(content_col).cast("binary")), run, out)
@@ -184,7 +184,7 @@ def encode_arrays(files: DataFrame, transfer_syntax: str = EXPLICIT_LE, *, datas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = shapes.Writer(transfer_syntax, dataset_only, undefined_lengths, one, schema)
-        for batch in batches:
+        for batch in gathered(batches, shapes.FILES, shapes.BYTES):
             yield from writer.batches(batch.column(0), batch.column(1))
 
     return mapped(files.select(F.col("file_id").cast("string"), "elements"), run, ENCODED)

@@ -20,7 +20,7 @@ from lumenframe.binary import DecodeError, Element, Encoder, element_rows
 from lumenframe.model import EXPLICIT_LE, ITEM, ITEM_END, LONG_VRS, SEQUENCE_END, TAG, TRANSFER_SYNTAXES, UNDEFINED
 
 #: Files, and bytes of their values, that are worked on at once; what a worker holds does not grow beyond them.
-FILES, BYTES = 500, 16 << 20
+FILES, BYTES = 2000, 16 << 20
 #: Shapes that a task remembers; after so many in a row that only their first file has, the rest of a batch is read one by one.
 SHAPES, ALONE = 64, 8
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenframe import binary, model
+from lumenframe.arrow import gathered
 from lumenframe.model import TAG
 from lumenframe.sources import part10, shapes
 
@@ -123,7 +124,7 @@ def test_reading_by_shape_equals_reading_file_by_file(syntax, undefined):
 def test_what_a_worker_holds_does_not_grow_with_the_batch():
     """Ten thousand rows of Arrow come out in batches of at most shapes.FILES files and about shapes.BYTES."""
     rng = random.Random(3)
-    files = [data_set(k % 4, rng) for k in range(2000)]
+    files = [data_set(k % 4, rng) for k in range(3 * shapes.FILES)]
     writer = shapes.Writer(model.EXPLICIT_LE, False, False, None, to_arrow_schema(part10.ENCODED))
     ids = pa.array([str(k) for k in range(len(files))])
     batches = list(writer.batches(ids, pa.array(files, READ.field("elements").type)))
@@ -131,7 +132,10 @@ def test_what_a_worker_holds_does_not_grow_with_the_batch():
     assert list(shapes.cuts(pa.array([5, 5, 30, 1, 1]).to_numpy(), 10, 10)) == [(0, 2), (2, 3), (3, 5)]
     reader = shapes.Reader(None, None, {}, READ, None)
     contents = pa.concat_arrays([b.column(1) for b in batches])
-    assert [b.num_rows for b in reader.batches(ids, contents)] == [shapes.FILES] * 4
+    assert [b.num_rows for b in reader.batches(ids, contents)] == [shapes.FILES] * 3
+    pieces = [b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)]
+    assert [b.num_rows for b in gathered(iter(pieces), shapes.FILES, 1 << 30)] == [shapes.FILES] * 3
+    assert max(b.num_rows for b in gathered(iter(pieces), shapes.FILES, 1000)) == 500
     assert struct.unpack("<H", reader.batch(ids[:1], contents[:1]).column("elements")[0].as_py()[-1]["value"])
 
 
