@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from lumenframe.arrow import mapped
+from lumenframe.binary import python_values
 from lumenframe.operators.lookup import small
 
 # Fixed values of PS3.7/PS3.8.
@@ -325,7 +326,7 @@ def decode_pdus(log: DataFrame, payload: str = "payload") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
+            for row in (dict(zip(batch.schema.names, x, strict=True)) for x in zip(*map(python_values, batch.columns), strict=True)):
                 raw = row.pop(payload)
                 try:
                     pdu = decode_pdu(raw or b"")
@@ -371,6 +372,14 @@ def pdu_row(raw: bytes) -> dict:
     return own
 
 
+def arrow_values(values: list, kind: pa.DataType) -> pa.Array:
+    """pa.array of dictionaries or other values, column by column."""
+    if not pa.types.is_struct(kind):
+        return pa.array(values, kind)
+    whole = [{} if v is None else v for v in values]
+    return pa.StructArray.from_arrays([pa.array([v.get(f.name) for v in whole], f.type) for f in kind], fields=list(kind), mask=pa.array([v is None for v in values], pa.bool_()))
+
+
 def _mapped(rows: DataFrame, column: str, out: str, kind: str, work) -> DataFrame:
     """rows with `column` replaced by `out`, what work makes of it, and a status: ok or the protocol's error."""
     keys = [c for c in rows.columns if c != column]
@@ -380,14 +389,14 @@ def _mapped(rows: DataFrame, column: str, out: str, kind: str, work) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             results, statuses = [], []
-            for value in batch.column(len(keys)).to_pylist():
+            for value in python_values(batch.column(len(keys))):
                 try:
                     results.append(work(value))
                     statuses.append("ok")
                 except ProtocolError as e:
                     results.append(None)
                     statuses.append(str(e))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(results, arrow.field(out).type), pa.array(statuses, pa.string())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], arrow_values(results, arrow.field(out).type), pa.array(statuses, pa.string())], schema=arrow)
 
     return mapped(rows.select(*keys, column), run, schema)
 
@@ -420,11 +429,12 @@ def retrieve_progress(commands: DataFrame, keys: list[str], order: str) -> DataF
     operation without a final response has a NULL final_status.
     """
     own = commands.select(*keys, order, "command.*").where(F.col("command").isin("c_move_rsp", "c_get_rsp"))
+    # One pass: a join of the responses with their final ones would decode the log twice.
     pending = status_category(F.col("status")) == "pending"
-    ended = own.where(~pending).groupBy(*keys, "responded_to").agg(F.min(order).alias("end"), F.min_by(F.struct("status", *COUNTS), order).alias("f"))
-    steps = own.join(ended, [*keys, "responded_to"], "left").where(F.col("end").isNull() | (F.col(order) <= F.col("end")))
-    listed = steps.groupBy(*keys, "responded_to").agg(F.array_sort(F.collect_list(F.when(pending, F.struct(order, *COUNTS)))).alias("progress"), F.first("end").alias("end"), F.first("f").alias("f"))
-    return listed.select(*keys, F.col("responded_to").alias("message_id"), "progress", F.col("f.status").alias("final_status"), status_category(F.col("f.status")).alias("category"), *[F.col(f"f.{c}").alias(c) for c in COUNTS])
+    final = F.when(~pending, F.col(order))
+    found = own.groupBy(*keys, "responded_to").agg(F.min(final).alias("end"), F.min_by(F.struct("status", *COUNTS), final).alias("f"), F.array_sort(F.collect_list(F.when(pending, F.struct(order, *COUNTS)))).alias("all"))
+    upto = F.filter("all", lambda x: F.col("end").isNull() | (x[order] <= F.col("end")))
+    return found.select(*keys, F.col("responded_to").alias("message_id"), upto.alias("progress"), F.col("f.status").alias("final_status"), status_category(F.col("f.status")).alias("category"), *[F.col(f"f.{c}").alias(c) for c in COUNTS])
 
 
 #: What a control PDU makes of an association's state; any other pair is a violation and aborts it.

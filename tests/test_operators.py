@@ -463,3 +463,16 @@ def test_batches_for_python_are_small(spark):
             assert max(r.n for r in sizes.collect()) == then
     finally:
         spark.conf.set(key, before)
+
+
+def test_retrieve_progress_decodes_the_log_once(spark):
+    """No join of the responses with their final ones, so one pass; what follows the final response does not count."""
+    from lumenframe.plans import messages
+
+    plan = messages.retrieve_progress(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan
+    kind = "assoc_id long, seq int, command struct<command:string,responded_to:int,status:int,remaining:int,completed:int,failed:int,warning:int>"
+    rows = [(1, k, ("c_get_rsp", 7, s, 9 - k, k, 0, 0)) for k, s in enumerate([0xFF00, None, 0xFF00, 0xB000, 0xFF00, 0])] + [(2, 0, ("c_move_rsp", 1, 0xFF00, 1, 0, 0, 0)), (3, 0, ("c_find_rsp", 1, 0, 1, 0, 0, 0)), (4, 5, ("c_get_rsp", 1, None, 1, 0, 0, 0))]
+    got = {r.assoc_id: r for r in protocol.retrieve_progress(spark.createDataFrame(rows, kind), ["assoc_id"], "seq").collect()}
+    assert [x.seq for x in got[1].progress] == [0, 2] and (got[1].final_status, got[1].category, got[1].completed) == (0xB000, "warning", 3)
+    assert [x.seq for x in got[2].progress] == [0] and got[2].final_status is None and sorted(got) == [1, 2, 4] and got[4].progress == []
